@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from rastra.llm.line_dedup import OP3_SQL, op3_line_dedup
 from rastra.llm.packing import op10_best_fit_packing
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
