@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from rastra.llm.fingerprints import op9_fingerprints
 from rastra.llm.line_dedup import OP3_SQL, op3_line_dedup
 from rastra.llm.packing import op10_best_fit_packing
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
