@@ -1,0 +1,36 @@
+"""Connected components by alternating large-star and small-star rounds over edge tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rastra.llm.common import stage_table
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """edges: u > v, distinct. Hub nodes are handled by joining two staged tables, which adaptive execution can split."""
+    if large:  # every larger neighbour of a node goes to the node's least neighbour
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = stage_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:  # a node and all its smaller neighbours go to the least of them
+        least = stage_table(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return stage_table(moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+
+
+def _summary(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node and component (the least node reachable) for every node that an edge between two nodes names."""
+    edges = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    edges, before = stage_table(edges, "edges"), None
+    now = _summary(edges)
+    while now != before:
+        before = now
+        edges = _star(_star(edges, True), False)
+        now = _summary(edges)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
