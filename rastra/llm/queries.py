@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rastra.llm.fingerprints import op9_fingerprints
 from rastra.llm.line_dedup import OP3_SQL, op3_line_dedup
-from rastra.llm.near_dedup import op8_minhash_near_dedup
+from rastra.llm.near_dedup import OP8_SQL, op8_minhash_near_dedup
 from rastra.llm.packing import op10_best_fit_packing
 from rastra.llm.pii import op1_pii
 
@@ -15,4 +15,4 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op8_minhash_near_dedup": OP8_SQL}
