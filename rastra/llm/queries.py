@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rastra.llm.fingerprints import op9_fingerprints
 from rastra.llm.line_dedup import OP3_SQL, op3_line_dedup
+from rastra.llm.lm import op6_hmm_lm
 from rastra.llm.near_dedup import OP8_SQL, op8_minhash_near_dedup
 from rastra.llm.packing import op10_best_fit_packing
 from rastra.llm.pii import op1_pii
@@ -11,6 +12,7 @@ from rastra.llm.pii import op1_pii
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_line_dedup": op3_line_dedup,
+    "op6_hmm_lm": op6_hmm_lm,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_best_fit_packing": op10_best_fit_packing,
