@@ -8,9 +8,11 @@ from rastra.llm.lm import op6_hmm_lm
 from rastra.llm.near_dedup import OP8_SQL, op8_minhash_near_dedup
 from rastra.llm.packing import op10_best_fit_packing
 from rastra.llm.pii import op1_pii
+from rastra.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op6_hmm_lm": op6_hmm_lm,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
