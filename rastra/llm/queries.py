@@ -8,6 +8,7 @@ from rastra.llm.lm import op6_hmm_lm
 from rastra.llm.near_dedup import OP8_SQL, op8_minhash_near_dedup
 from rastra.llm.packing import op10_best_fit_packing
 from rastra.llm.pii import op1_pii
+from rastra.llm.topk import OP7_SQL, op7_exact_top_k
 from rastra.llm.toxicity import op2_toxicity
 
 QUERIES = {
@@ -15,8 +16,9 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op6_hmm_lm": op6_hmm_lm,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op8_minhash_near_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}
