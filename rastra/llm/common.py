@@ -39,6 +39,23 @@ def doc_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text as in doc_rows, and row: all columns as one struct, so that no working column can clash with them."""
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    return docs.select(whole, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def unboxed(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns names of row, some of them changed."""
+    return df.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in names])
+
+
+def with_text(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The rows of df with the columns of docs and a new text; n_chars, where there is one, follows it."""
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return unboxed(df, docs.columns, **changed)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm.common import SPACE_CHARS, ascii_lower, shuffle_width, stage_table
+from rastra.llm.common import SPACE_CHARS, ascii_lower, boxed, shuffle_width, stage_table, with_text
 
 _KEY = ["h1", "h2"]
 _LAST = (1 << 63) - 1
@@ -71,7 +71,7 @@ class LineRuns:
 
 
 def _doc_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    keys = docs.select("_id", F.explode(F.split("_text", "\n", -1)).alias("line")).select("_id", line_key(F.col("line")).alias("k"))
+    keys = docs.select("_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("_id", line_key(F.col("line")).alias("k"))
     return keys.where(F.length("k") >= min_chars).select(F.xxhash64("k").alias("h1"), F.hash("k").alias("h2"), F.col("_id").alias("id"))
 
 
@@ -90,14 +90,15 @@ def owned_lines(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> D
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """docs with _lines and _kept (arrays of lines) added: keys of at least min_chars stay in their smallest document only.
+    """row (all columns of docs), doc_id, text, lines and kept (arrays): keys of at least min_chars stay in their smallest
+    document only.
 
     Null and empty texts are one empty line. All lines with the same key in the owning document stay. Rows that repeat a
     doc_id are one document; rows without a doc_id are one document after all others. An empty table gives no rows.
     """
-    docs = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_text": F.coalesce(F.col(text_col), F.lit(""))})
-    owned = owned_lines(docs, min_chars, batches, fanout)
-    joined = docs.join(owned, "_id", "left").withColumn("_lines", F.split("_text", "\n", -1))
+    docs = boxed(docs, id_col, text_col).withColumn("_id", F.coalesce("doc_id", F.lit(_LAST)))
+    owned = owned_lines(docs.select("_id", "text"), min_chars, batches, fanout)
+    joined = docs.join(owned, "_id", "left").withColumn("lines", F.split("text", "\n", -1))
 
     def owns(h: Column) -> Column:
         return F.array_contains(F.element_at("_cells", (F.pmod(h, F.size("_cells").cast("long")) + 1).cast("int")), h)
@@ -106,18 +107,23 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         long_and_owned = lambda k: (F.length(k) < min_chars) | F.exists(F.array(F.xxhash64(k)), owns)
         return F.exists(F.array(line_key(line)), long_and_owned)
 
-    kept = F.when(F.col("_cells").isNull(), F.filter("_lines", lambda x: F.length(line_key(x)) < min_chars)).otherwise(F.filter("_lines", stays))
-    return joined.withColumn("_kept", kept).drop("_id", "_text", "_cells")
+    kept = F.when(F.col("_cells").isNull(), F.filter("lines", lambda x: F.length(line_key(x)) < min_chars)).otherwise(F.filter("lines", stays))
+    return joined.select("row", "doc_id", "text", "lines", kept.alias("kept"))
 
 
-def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs, same columns, with text's repeated lines dropped; a document stays even if no line does."""
     out = drop_repeated_lines(docs)
+    return with_text(out, docs, F.when(F.size("kept") == F.size("lines"), F.col("row.text")).otherwise(F.array_join("kept", "\n")))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(
         "doc_id",
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-        F.sha2(F.array_join("_kept", "\n"), 256).alias("kept_sha256"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"),
     )
 
 

@@ -8,6 +8,8 @@ from rastra.llm.lm import op6_hmm_lm
 from rastra.llm.near_dedup import OP8_SQL, op8_minhash_near_dedup
 from rastra.llm.packing import op10_best_fit_packing
 from rastra.llm.pii import op1_pii
+from rastra.llm.pieces import op5_sentencepiece
+from rastra.llm.token_output import op4_token_binary
 from rastra.llm.topk import OP7_SQL, op7_exact_top_k
 from rastra.llm.toxicity import op2_toxicity
 
@@ -15,6 +17,8 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
+    "op4_token_binary": op4_token_binary,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_hmm_lm": op6_hmm_lm,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,

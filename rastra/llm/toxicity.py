@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm.common import stage_table
+from rastra.llm.common import boxed, stage_table, unboxed
 
 _PUNCTUATION = b".,;:!?\"'()[]{}<>|*%$#&-_/\\"
 
@@ -153,11 +153,17 @@ def severity(text: Column, model: SeverityModel) -> Column:
 
 
 def score_documents(docs: DataFrame, model: SeverityModel, s: Settings = Settings()) -> DataFrame:
-    """docs with severity (struct) and rejected added; null and empty texts have no features and are kept."""
-    out = docs.withColumn("severity", severity(F.col("text"), model))
+    """row (all columns of docs), doc_id, text, severity (struct), rejected; null and empty texts have no features and are
+    kept. Rows are judged one by one, so repeated rows are judged alike; an empty table gives no rows."""
+    out = boxed(docs).withColumn("severity", severity(F.col("text"), model))
     return out.withColumn("rejected", F.col("severity.p_toxic") >= s.reject_at)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """docs, same columns, less the documents that the model fitted on them and labels rejects."""
+    return unboxed(score_documents(docs, fit(docs, labels, s), s).where(~F.col("rejected")), docs.columns)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
