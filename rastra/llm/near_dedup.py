@@ -5,11 +5,13 @@
 2. Signatures are split into chunks. If two differ in at most `chunks * (errors + 1) - 1` places, the pigeonhole principle
    puts at most `errors` of them into some chunk, so enumerating each chunk with every choice of `errors` places left out
    gives the two a common key: no pair within that distance is missed.
-3. A bucket never emits all its pairs. First each member is compared with one member drawn by the key (a star), the closest
-   such pairs are confirmed, and components are formed. Only buckets that still hold several components go on: members
-   outside the bucket's largest component meet all members, in cells of bounded size, and pairs of different components
-   within the signature distance are confirmed. Pairs inside a component need no look: they can't change the result.
-4. A link is confirmed on the full sets: 100 * intersection >= percent * union.
+3. A bucket (the representatives of a key) never emits its pairs. Its centre is its least member; a representative's home
+   is the centre it meets most often. Links to the homes are confirmed first and make components. Homes are cut into
+   blocks of bounded size. A bucket that still holds several components asks for the pairs of blocks that it touches;
+   a pair of blocks is compared once, however many buckets ask for it, by multiplying the blocks' incidence matrices, and
+   returns a spanning forest of the links it finds between different components. Pairs inside a component need no look:
+   they can't change the result.
+4. Every link is confirmed on the full sets: 100 * intersection >= percent * union.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rastra.llm.common import ascii_words, doc_rows, stage_table
+from rastra.llm.common import ascii_words, boxed, doc_rows, stage_table, unboxed
 from rastra.llm.components import connected_components
 
 _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
@@ -33,16 +35,16 @@ _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111E
 
 @dataclass(frozen=True)
 class Plan:
-    """A pair of similarity 0.8 shares no key with a probability of 4e-7 and has a signature distance over `distance`
-    with one of 1e-7: both only steer which pairs are confirmed exactly."""
+    """A pair of similarity 0.8 shares no key with a probability of 4e-7; a block has about `block` representatives and
+    `block_shingles` shingles at most."""
 
     words: int = 5
     percent: int = 80
     chunks: int = 14
     rows: int = 6
     errors: int = 1
-    distance: int = 36
-    cell: int = 256
+    block: int = 256
+    block_shingles: int = 200_000
 
     @property
     def slots(self) -> int:
@@ -124,21 +126,6 @@ def chunk_keys(reps: DataFrame, plan: Plan) -> DataFrame:
     return reps.select("rep", "n", "sig").mapInArrow(run, "key long, rep long, n long")
 
 
-def _near(pairs: DataFrame, plan: Plan) -> DataFrame:
-    """a, b, dist of the pairs (a, b, a_sig, b_sig) within the signature distance."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(len(batch), -1) for i in (2, 3))
-            d = (x != y).sum(axis=1)
-            ok = pa.array(d <= plan.distance)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(d.astype(np.int32)).filter(ok)], ["a", "b", "dist"])
-
-    return pairs.select("a", "b", "a_sig", "b_sig").mapInArrow(run, "a long, b long, dist int")
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
@@ -175,50 +162,80 @@ def _components_of(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return nodes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """pairs with ca, cb: their endpoints' components, where these differ."""
-    for c in "ab":
-        pairs = pairs.join(comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
-    return pairs.where("ca <> cb")
-
-
-def _cells(members: DataFrame, plan: Plan) -> DataFrame:
-    """Cells of bounded size in which members outside a bucket's largest component meet all its members."""
-    by_comp = stage_table(members.groupBy("key", "component").agg(F.count("*").alias("c")), "bucket-sizes")
-    sizes = by_comp.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("top"), F.count("*").alias("comps"))
-    sizes = stage_table(sizes.where("comps > 1").select("key", (-F.col("top.m")).alias("major"), F.ceil(F.col("all") / plan.cell).alias("na"), F.ceil((F.col("all") - F.col("top.c")) / plan.cell).alias("nm")), "buckets")
-    rows = members.join(sizes, "key")
-    me = F.struct("rep", "component", "n", "sig")
-    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    left = rows.where("component <> major").select("key", at("nm").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("j"), F.lit(0).alias("side"), me.alias("me"))
-    right = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1)).alias("i"), at("na").alias("j"), F.lit(1).alias("side"), me.alias("me"))
-    grouped = left.unionByName(right).groupBy("key", "i", "j")
-    sides = [F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("me")))).alias(f"s{s}") for s in (0, 1)]
-    return grouped.agg(*sides).where((F.size("s0") > 0) & (F.size("s1") > 0)).select("s0", "s1").distinct()
-
-
-def _cell_pairs(cells: DataFrame, plan: Plan) -> DataFrame:
-    """a < b, dist: pairs of a cell in different components that size and signature allow."""
+def _blocked(homes: DataFrame, plan: Plan) -> DataFrame:
+    """rep, block: each home cut by hash into as many blocks as its members and their shingles call for."""
+    parts = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / plan.block, F.sum("n") / plan.block_shingles)).alias("parts"))
+    parts = stage_table(parts, "homes")
+    return homes.join(parts, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), "parts")).alias("block"))
+
+
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """x <= y: the blocks outside a bucket's largest component with all blocks of the bucket."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("comps"))
+    open_buckets = stage_table(sizes.where("comps > 1").select("key", F.col("top.component").alias("major")), "buckets")
+    rows = members.join(open_buckets, "key")
+    small = stage_table(rows.where("component <> major").select("key", F.col("block").alias("a")).distinct(), "outside")
+    every = stage_table(rows.select("key", F.col("block").alias("b")).distinct(), "inside")
+    return small.join(every, "key").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by matrix products over the values that both sides hold."""
+    values = [np.concatenate(side) for side in (left, right)]
+    common = np.intersect1d(*values)
+    out = np.zeros((len(left), len(right)), np.float32)
+    place = [np.searchsorted(common, v) for v in values]
+    held = [(p < len(common)) & (common[np.minimum(p, max(0, len(common) - 1))] == v) if len(common) else np.zeros(len(v), bool) for p, v in zip(place, values)]
+    rows = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    place, rows = [p[h] for p, h in zip(place, held)], [r[h] for r, h in zip(rows, held)]
+    order = [np.argsort(p, kind="stable") for p in place]
+    place, rows = [p[o] for p, o in zip(place, order)], [r[o] for r, o in zip(rows, order)]
+    for start in range(0, len(common), 4096):
+        dense = []
+        for p, r, side in zip(place, rows, (left, right)):
+            a, b = np.searchsorted(p, (start, start + 4096))
+            m = np.zeros((len(side), 4096), np.float32)
+            m[r[a:b], p[a:b] - start] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _forest(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between different components, as few as join what they join."""
+    sets = [[np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (left, right)]
+    sizes = [np.array([len(x) for x in side]) for side in sets]
+    both = _shared(*sets)
+    comps = [np.array([m["component"] for m in side]) for side in (left, right)]
+    linked = (100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)) & (comps[0][:, None] != comps[1][None, :])
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        a, b = top(int(comps[0][i])), top(int(comps[1][j]))
+        if a != b:
+            root[a] = b
+            out.append((left[i]["rep"], right[j]["rep"]))
+    return out
+
+
+def _block_links(pairs: DataFrame, contents: DataFrame, plan: Plan) -> DataFrame:
+    """a, b: confirmed links between different components of the paired blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for cell in batch.to_pylist():
-                (ra, ca, na, xa), (rb, cb, nb, xb) = (
-                    tuple(np.array([m[f] for m in cell[s]]) for f in ("rep", "component", "n")) + (np.frombuffer(b"".join(m["sig"] for m in cell[s]), "<u2").reshape(len(cell[s]), -1),)
-                    for s in ("s0", "s1")
-                )
-                for i in range(len(ra)):
-                    ok = (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= plan.percent * np.maximum(nb, na[i]))
-                    for j in np.flatnonzero(ok):
-                        d = int((xa[i] != xb[j]).sum())
-                        if d <= plan.distance:
-                            for column, value in zip(out, (min(ra[i], rb[j]), max(ra[i], rb[j]), d)):
-                                column.append(int(value))
-            kinds = [pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["a", "b", "dist"])
-
-    return cells.mapInArrow(run, "a long, b long, dist int").distinct()
+            for i in range(len(batch)):
+                left, right = (batch.column(c)[i].as_py() for c in (0, 1))
+                found = _forest(left, right, plan.percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    one, two = (contents.select(F.col("block").alias(c), F.col("held").alias(f"held_{c}")) for c in "xy")
+    return pairs.join(one, "x").join(two, "y").select("held_x", "held_y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -233,35 +250,21 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     reps = stage_table(groups, "representatives")
 
     keys = stage_table(chunk_keys(reps, plan), "keys")
-    drawn = keys.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("center"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("c"))
-    buckets = stage_table(drawn.where("c > 1").select("key", "center"), "centers")
-    members = stage_table(keys.join(buckets, "key"), "members")
-    sigs = reps.select("rep", "n", "sig")
-
-    stars = members.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b"), "n").distinct()
-    one = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("a_sig"))
-    two = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("b_sig"), F.col("n").alias("bn"))
-    similar_sizes = 100 * F.least("n", "bn") >= plan.percent * F.greatest("n", "bn")
-    near = stage_table(_near(stars.join(two, "b").where(similar_sizes).join(one, "a"), plan), "near")
-
-    sets = stage_table(_full_sets(docs, members.select("rep").distinct(), plan), "sets")
-    closest = near.groupBy("a").agg(F.min(F.struct("dist", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = stage_table(_confirmed(closest, sets, plan), "links")
-    comps = connected_components(links)
+    centers = stage_table(keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("c")).where("c > 1").select("key", "center"), "centers")
+    members = stage_table(keys.join(centers, "key"), "members")
+    often = members.groupBy("rep", "n", "center").agg(F.count("*").alias("c"))
+    homes = stage_table(often.groupBy("rep", "n").agg(F.max(F.struct("c", (-F.col("center")).alias("m"))).alias("top")).select("rep", "n", (-F.col("top.m")).alias("home")), "homes")
 
-    def best_first(pairs: DataFrame, links: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Confirm one pair for each pair of components, then all that still join different components."""
-        best = F.min(F.struct("dist", "a", "b")).alias("m")
-        pair = _across(pairs, comps).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(best).select("m.a", "m.b")
-        for step in (lambda c: pair, lambda c: _across(pairs, c)):
-            links = links.unionByName(stage_table(_confirmed(step(comps), sets, plan), "links"))
-            comps = connected_components(links)
-        return links, comps
+    sets = stage_table(_full_sets(docs, homes.select("rep"), plan), "sets")
+    links = stage_table(_confirmed(homes.where("rep <> home").select(F.col("rep").alias("a"), F.col("home").alias("b")), sets, plan), "links")
+    comps = connected_components(links)
 
-    links, comps = best_first(near, links, comps)
-    rest = _components_of(members.select("key", "rep", "n"), comps).join(sigs.select("rep", "sig"), "rep")
-    pairs = stage_table(_cell_pairs(_cells(stage_table(rest, "rest"), plan), plan), "pairs")
-    links, comps = best_first(pairs, links, comps)
+    placed = stage_table(_components_of(_blocked(homes, plan), comps), "placed")
+    pairs = stage_table(_block_pairs(members.select("key", "rep").join(placed, "rep")), "pairs")
+    wanted = pairs.select(F.col("x").alias("block")).unionByName(pairs.select(F.col("y").alias("block"))).distinct()
+    held = sets.join(placed.join(wanted, "block", "left_semi"), "rep").groupBy("block")
+    contents = stage_table(held.agg(F.collect_list(F.struct("rep", "component", "shingles")).alias("held")), "blocks")
+    comps = connected_components(links.unionByName(stage_table(_block_links(pairs, contents, plan), "links")))
 
     named = _components_of(reps.select("h1", "h2", "rep"), comps).select("h1", "h2", F.col("component").alias("_c"))
     out = rows.drop("sig").join(named, ["h1", "h2"], "left")
@@ -270,9 +273,12 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """docs, same columns, with one document of each component (the smallest doc_id)."""
+    """docs, same columns, with one document of each component (the smallest doc_id); of rows that share that doc_id the one
+    of the least text stays. Rows without a doc_id all stay."""
     kept = near_duplicates(docs, plan).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    named = boxed(docs).where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    first = named.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_at = 1")
+    return unboxed(first, docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
