@@ -536,10 +536,10 @@ def structure_tensor(spark, sf_dir):
 
 
 @query("box_contrast", f"""WITH {_DENSE}, bx AS (SELECT a.r, a.c, a.v, avg(b.v) AS m, stddev_pop(b.v) AS sd FROM dn a JOIN dn b ON b.r BETWEEN a.r - 2 AND a.r + 2 AND b.c BETWEEN a.c - 2 AND a.c + 2 GROUP BY ALL)
-SELECT r AS "row", c AS col, round(CASE WHEN sd > 1e-6 THEN (v - m) / sd ELSE 0 END, 4) + 0.0 AS contrast FROM bx""")
+SELECT r AS "row", c AS col, round(CASE WHEN sd > 1e-6 THEN (v - m) / sd ELSE 0 END + 1e-7, 4) + 0.0 AS contrast FROM bx""")
 def box_contrast(spark, sf_dir):
     out = tensor.box_contrast(_dense(spark, sf_dir), 2)
-    return out.select("row", "col", (F.round("contrast", 4) + F.lit(0.0)).alias("contrast"))
+    return out.select("row", "col", (F.round(F.col("contrast") + 1e-7, 4) + F.lit(0.0)).alias("contrast"))
 
 
 # --- validation and sources ---
