@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rastra.llm.common import boxed, with_text
+
 KINDS = ["email", "ip", "card", "phone"]
 #: The contract's patterns. Possessive quantifiers and the run-start test change no match: each run's end is fixed by its
 #: character class, and a later start in the same run fails where the first one failed. They keep the search linear.
@@ -121,11 +123,10 @@ def _span(kind: int, strict: bool, m: Column, before: Column, after: Column, end
     )
 
 
-def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _spans: all strict spans, and the loose ones that overlap none of them."""
-    docs = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+def with_candidates(docs: DataFrame) -> DataFrame:
+    """docs (from boxed) with _spans: all strict spans, and the loose ones that overlap none of them."""
     sources = [(k, s, p, n) for s, ps, ns in ((True, STRICT, STRICT_NEEDS), (False, LOOSE, LOOSE_NEEDS)) for k, (p, n) in enumerate(zip(ps, ns))]
-    none, text = F.array().cast("array<string>"), F.col("_text")
+    none, text = F.array().cast("array<string>"), F.col("text")
     found = {f"_m{i}": F.when(text.rlike(n), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for i, (_, _, p, n) in enumerate(sources)}
     docs = docs.withColumns(found)
     docs = docs.withColumns({f"_p{i}": F.when(F.size(f"_m{i}") > 0, F.split(text, p, -1)).otherwise(none) for i, (_, _, p, _) in enumerate(sources)})
@@ -208,22 +209,24 @@ def fit(rows: list[dict], rounds: int = 30, steps: int = 300, rate: float = 0.5)
 
 
 def train(candidates: DataFrame) -> SpanModel:
-    spans = candidates.select(F.explode("_spans").alias("s")).select(*[F.col("s")[c].alias(c) for c in dict.fromkeys(VOTERS + FEATURES)])
+    # explode_outer, as explode adds a filter on the array's size, for which the array is computed once more
+    spans = candidates.select(F.explode_outer("_spans").alias("s")).where("s is not null").select(*[F.col("s")[c].alias(c) for c in dict.fromkeys(VOTERS + FEATURES)])
     counts = spans.groupBy(*spans.columns).agg(F.count("*").alias("n"))
     return fit(sorted((r.asDict() for r in counts.collect()), key=lambda r: sorted(r.items())))
 
 
-def find_personal_data(docs: DataFrame, text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
-    """docs with personal_data added: array of (start, kind, end, base) by start, then kind; code points, end exclusive.
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SpanModel | None = None) -> DataFrame:
+    """row (all columns of docs), doc_id, text (null: empty) and personal_data: array of (start, kind, end, base) by start,
+    then kind; code points, end exclusive.
 
     Without a model one is trained on all of docs. Null and empty texts have no spans; rows are judged one by one, so
     repeated rows get equal spans; an empty table trains a model that adds nothing.
     """
-    found = with_candidates(docs, text_col)
+    found = with_candidates(boxed(docs, id_col, text_col))
     model = model or train(found.select("_spans"))
     chosen = F.filter("_spans", lambda s: s["base"] | (model.logit(s) > 0))
     slim = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))
-    return found.withColumn("personal_data", F.array_sort(slim)).drop("_spans", "_text")
+    return found.select("row", "doc_id", "text", F.array_sort(slim).alias("personal_data"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -246,10 +249,11 @@ def mask(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
 
 
-def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs, same columns, with the personal data in text_col masked."""
-    found = find_personal_data(docs, text_col)
-    return found.withColumn(text_col, mask(F.col(text_col), F.col("personal_data"))).select(*docs.columns)
+def mask_personal_data(docs: DataFrame) -> DataFrame:
+    """docs, same columns, with the personal data in text masked."""
+    found = find_personal_data(docs)
+    masked = F.when(F.size("personal_data") > 0, mask(F.col("text"), F.col("personal_data"))).otherwise(F.col("row.text"))
+    return with_text(found, docs, masked)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
