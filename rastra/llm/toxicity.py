@@ -6,7 +6,8 @@ are distinct words, A-Z lower-cased and stripped of punctuation; x is their pres
 
 The model is fitted on a bounded sample of labelled documents (`sample` rows, the smallest hashes of doc_id). Words are
 screened on that sample by how unlike their document frequencies are in toxic and other documents (at most `features`
-words), and each gradient step sums partial gradients from all partitions of the sample. Every document is scored.
+words, none below a z score of `min_z`). Limited-memory BFGS steps use losses and gradients that the sample's partitions
+sum. Every document is scored.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ _PUNCTUATION = b".,;:!?\"'()[]{}<>|*%$#&-_/\\"
 @dataclass(frozen=True)
 class Settings:
     sample: int = 20_000
-    features: int = 2048
-    min_docs: int = 3
-    steps: int = 80
-    rate: float = 1.0
+    features: int = 4096
+    min_docs: int = 2
+    min_z: float = 2.5
+    steps: int = 60
+    memory: int = 10
     ridge: float = 1e-4
     reject_at: float = 0.5
 
@@ -81,8 +83,8 @@ def screened_words(sample: DataFrame, s: Settings) -> list[bytes]:
     counts = sample.select("text", "grade").mapInArrow(run, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     p, q, both = F.col("toxic") / toxic, F.col("clean") / clean, (F.col("toxic") + F.col("clean")) / (clean + toxic)
     z = F.abs(p - q) / F.sqrt(both * (F.lit(1.0 + 1e-9) - both) * (1 / clean + 1 / toxic) + 1e-12)
-    frequent = counts.where(F.col("clean") + F.col("toxic") >= s.min_docs)
-    return sorted(bytes(r[0]) for r in frequent.orderBy(F.desc(z), "word").limit(s.features).select("word").collect())
+    telling = counts.where((F.col("clean") + F.col("toxic") >= s.min_docs) & (z >= s.min_z))
+    return sorted(bytes(r[0]) for r in telling.orderBy(F.desc(z), "word").limit(s.features).select("word").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> SeverityModel:
@@ -101,23 +103,58 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Severit
 
     sparse = stage_table(sample.mapInArrow(rows, "x array<int>, grade int"), "features")
     total = sparse.count()
-    gain = np.zeros(len(words) + 2)
+    n = len(words)
+
+    def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
+        """The mean negative log likelihood with the ridge, and its gradient."""
+        total_, gradient = _likelihood(sparse, x[:n], x[n:])
+        gradient = -gradient / total
+        gradient[:n] += s.ridge * x[:n]
+        return -total_ / total + s.ridge / 2 * float(x[:n] @ x[:n]), gradient
+
+    x = np.concatenate([model.weights, model.thresholds])
+    best, gradient = objective(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(s.steps):
-        gradient = _gradient(sparse, model) / total
-        gradient[: len(words)] -= s.ridge * model.weights
-        gain += gradient**2
-        step = s.rate * gradient / np.sqrt(gain + 1e-12)
-        model.weights = model.weights + step[: len(words)]
-        model.thresholds = np.sort(model.thresholds + step[len(words) :])
+        direction, length = -_curved(gradient, moves), 1.0
+        while length > 1e-4:  # halve the step until it gains
+            there = x + length * direction
+            value, slope = objective(there)
+            if there[n] < there[n + 1] and value < best + 1e-4 * length * float(gradient @ direction):
+                break
+            length /= 2
+        else:
+            break
+        done = best - value < 1e-7
+        if float((there - x) @ (slope - gradient)) > 1e-12:
+            moves = [*moves, (there - x, slope - gradient)][-s.memory :]
+        x, best, gradient = there, value, slope
+        if done:
+            break
+    model.weights, model.thresholds = x[:n], x[n:]
     return model
 
 
-def _gradient(sparse: DataFrame, model: SeverityModel) -> np.ndarray:
-    """The log likelihood's gradient in (weights, thresholds), summed over the partitions of the sample."""
-    weights, thresholds = model.weights, model.thresholds
+def _curved(gradient: np.ndarray, moves: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The gradient times the inverse curvature that recent moves show (the two-loop recursion of L-BFGS)."""
+    q, shares = gradient.copy(), []
+    for step, change in reversed(moves):
+        share = float(step @ q) / float(step @ change)
+        shares.append(share)
+        q -= share * change
+    if moves:
+        step, change = moves[-1]
+        q *= float(step @ change) / float(change @ change)
+    for (step, change), share in zip(moves, reversed(shares)):
+        q += step * (share - float(change @ q) / float(step @ change))
+    return q
+
+
+def _likelihood(sparse: DataFrame, weights: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray]:
+    """The log likelihood and its gradient in (weights, thresholds), summed over the partitions of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(len(weights) + 2)
+        out = np.zeros(len(weights) + 3)  # the last place: the log likelihood
         for batch in batches:
             if not len(batch):
                 continue
@@ -130,16 +167,17 @@ def _gradient(sparse: DataFrame, model: SeverityModel) -> np.ndarray:
             slope = ge * (1 - ge)
             rows = np.arange(len(batch))
             mass = np.maximum(ge[rows, grade] - ge[rows, grade + 1], 1e-12)
+            out[-1] += np.log(mass).sum()
             lower, upper = slope[rows, grade] / mass, slope[rows, grade + 1] / mass
             out[: len(weights)] += np.bincount(place, (lower - upper)[owner], minlength=len(weights))
             for k in (1, 2):
                 out[len(weights) + k - 1] += upper[grade == k - 1].sum() - lower[grade == k].sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "g"])
 
-    total = np.zeros(len(weights) + 2)
+    total = np.zeros(len(weights) + 3)
     for r in sparse.mapInArrow(run, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect():  # one row for each feature
         total[r["i"]] = r["g"]
-    return total
+    return float(total[-1]), total[:-1]
 
 
 def severity(text: Column, model: SeverityModel) -> Column:
