@@ -11,7 +11,7 @@ and the rare rest, none of which is frequent enough to skew a shuffle, meets the
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,32 +99,37 @@ def coded(docs: DataFrame, vocab: Vocabulary, s: Settings) -> DataFrame:
         import xxhash
 
         table = lookup.value
-        codes: dict[bytes, tuple[int, float, bool]] = {}
-
-        def code(word: bytes) -> tuple[int, float, bool]:
-            got = codes.get(word)
-            if got is None:
-                c, log_c = table.get(word, (-1, 0.0))
-                got = (c if c >= 0 else own + xxhash.xxh64_intdigest(word, 42) % tail, log_c, word in table)
-                if len(codes) >= 1_000_000:
-                    codes.clear()
-                codes[word] = got
-            return got
-
-        for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                tokens = [*ascii_words(text.as_py()), END]
-                found = list(map(code, tokens))
-                classes = np.fromiter((f[0] for f in found), "<u2", len(found))
-                logs = np.fromiter((f[1] for f in found), float, len(found))
-                rare = Counter(t for t, f in zip(tokens, found) if not f[2])
-                known = len(tokens) - sum(rare.values())
-                row = (doc, held, len(tokens), known, logs.sum(), logs[classes >= own].sum(), classes.tobytes(), [{"word": w, "n": n} for w, n in rare.items()])
-                for column, value in zip(out, row):
-                    column.append(value)
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+        for batch in (whole.slice(i, 2000) for whole in batches for i in range(0, len(whole), 2000)):
+            number: defaultdict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__  # a new word gets the next number
+            tokens = [[*ascii_words(t.as_py()), END] for t in batch.column(2)]
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            if not len(sizes):
+                continue
+            ids = np.concatenate([np.fromiter(map(number.__getitem__, t), np.int64, len(t)) for t in tokens])
+            del tokens
+            words = list(number)
+            found = [table.get(w) for w in words]
+            rare = np.fromiter((f is None for f in found), bool, len(found))
+            log_c = np.fromiter((0.0 if f is None else f[1] for f in found), float, len(found))
+            classes = np.fromiter((f[0] if f and f[0] >= 0 else own + xxhash.xxh64_intdigest(w, 42) % tail for f, w in zip(found, words)), "<u2", len(found))
+            first = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            each, logs, is_rare = classes[ids], log_c[ids], rare[ids]
+            pairs, times = np.unique(row[is_rare] * len(words) + ids[is_rare], return_counts=True)
+            lists = np.r_[0, np.cumsum(np.bincount(pairs // len(words), minlength=len(sizes)))].astype(np.int32)
+            pair = pa.StructArray.from_arrays([pa.array(words, pa.binary()).take(pa.array(pairs % len(words))), pa.array(times, pa.int64())], ["word", "n"])
+            cols = [
+                batch.column(0),
+                batch.column(1),
+                pa.array(sizes),
+                pa.array(np.add.reduceat((~is_rare).astype(np.int64), first)),
+                pa.array(np.add.reduceat(logs, first)),
+                pa.array(np.add.reduceat(np.where(each >= own, logs, 0.0), first)),
+                pa.array([each[i : i + n].tobytes() for i, n in zip(first, sizes)], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(lists), pair),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _CODED)
 
