@@ -39,7 +39,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """The vocabulary as sorted hashes of all prefixes of its pieces, by length."""
+    """The vocabulary as a hash table of all prefixes of its pieces."""
 
     def __init__(self, model: str, sharpness: float):
         import sentencepiece
@@ -67,37 +67,65 @@ class Pieces:
                     prefixes.append({})
                 known = prefixes[n].get(int(h), -1)
                 prefixes[n][int(h)] = i if n == len(piece) - 1 else known
-        self.tables = []
-        for table in prefixes:
-            keys = np.array(sorted(table), np.uint64)
-            self.tables.append((keys, np.array([table[int(k)] for k in keys])))
+        self.longest = len(prefixes)
+        self._hash_table({h: i for table in prefixes for h, i in table.items()})
+
+    def _hash_table(self, entries: dict[int, int]) -> None:
+        """Open addressing with linear probing in arrays: slot -> (hash, piece id, or -1 for a mere prefix)."""
+        self.mask = np.uint64((1 << (4 * len(entries)).bit_length()) - 1)
+        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
+        self.named = np.full(int(self.mask) + 1, -2, np.int32)  # -2: free
+        self.probes = 1
+        for h, i in entries.items():
+            slot, step = h & int(self.mask), 1
+            while self.named[slot] != -2:
+                slot, step = (slot + 1) & int(self.mask), step + 1
+            self.keys[slot], self.named[slot] = h, i
+            self.probes = max(self.probes, step)
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """For each hash its piece id, -1 for a prefix that is no piece, -2 for none."""
+        slot = (h & self.mask).astype(np.int64)
+        out = self.named[slot]
+        wrong = np.flatnonzero((out != -2) & (self.keys[slot] != h))
+        slot = slot[wrong]
+        for _ in range(self.probes):
+            if not len(wrong):
+                break
+            slot = slot + 1 & int(self.mask)
+            found = self.named[slot]
+            out[wrong] = found
+            again = (found != -2) & (self.keys[slot] != h[wrong])
+            wrong, slot = wrong[again], slot[again]
+        out[wrong] = -2
+        return out
 
     def edges(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, id) of all edges over codes; room: how many characters of its unit are left at each place."""
-        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        at, h = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.uint64)
         starts, lengths, ids = [], [], []
         single = np.zeros(len(codes), bool)
-        for n, (keys, named) in enumerate(self.tables, 1):
+        for n in range(1, self.longest + 1):
             open_ = room[at] >= n
             at, h = at[open_], h[open_]
             h = _mix(h * _STEP + codes[at + n - 1].astype(np.uint64))
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[place] == h
-            at, h, found = at[hit], h[hit], named[place[hit]]
+            found = self.look_up(h)
+            hit = found != -2
+            at, h, found = at[hit], h[hit], found[hit]
             whole = found >= 0
             starts.append(at[whole])
-            lengths.append(np.full(whole.sum(), n))
+            lengths.append(np.full(whole.sum(), n, np.int32))
             ids.append(found[whole])
             if n == 1:
                 single[at[whole]] = True
             if not len(at):
                 break
-        rest = np.flatnonzero(~single)
+        rest = np.flatnonzero(~single).astype(np.int32)
         plain = codes[rest]
-        low = np.array(self.byte_id)[np.minimum(plain, 127)]
+        low = np.array(self.byte_id, np.int32)[np.minimum(plain, 127)]
         starts.append(rest)
-        lengths.append(np.ones(len(rest), int))
-        ids.append(np.where(plain < 128, low, _WIDE + plain.astype(int)))
+        lengths.append(np.ones(len(rest), np.int32))
+        ids.append(np.where(plain < 128, low, _WIDE + plain.astype(np.int32)))
         return np.concatenate(starts), np.concatenate(lengths), np.concatenate(ids)
 
 
@@ -110,21 +138,24 @@ class _Lattice:
     """The filtered lattices of distinct units, as arrays over all nodes and edges."""
 
     def __init__(self, pieces: Pieces, units: list[str]):
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        lengths = np.fromiter(map(len, units), np.int32, len(units))
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").copy()
         codes[codes == _MARK] = _PLAIN_MARK
         codes[codes == _SPACE] = _MARK
-        first = np.cumsum(lengths) - lengths
-        unit = np.repeat(np.arange(len(units)), lengths)
-        local = np.arange(len(codes)) - first[unit]
+        first = np.cumsum(lengths, dtype=np.int32) - lengths
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), lengths)
+        local = np.arange(len(codes), dtype=np.int32) - first[unit]
         start, length, self_ids = pieces.edges(codes, lengths[unit] - local)
         source = start + unit[start]  # a unit of n characters has n + 1 nodes
         target = source + length
         weight = np.where(self_ids >= _WIDE, pieces.fallback, pieces.log_weight[np.minimum(self_ids, len(pieces.log_weight) - 1)])
         depth = local[start] + length
-        order = np.lexsort((target, depth))
+        order = np.argsort(target, kind="stable")  # sixteen sorted runs
+        small = depth.astype(np.uint16) if depth.max(initial=0) < 1 << 16 else depth  # 16 bits sort by radix
+        order = order[np.argsort(small[order], kind="stable")]
         source, target, weight, ids, depth = (x[order] for x in (source, target, weight, self_ids, depth))
-        self.first_node, self.last_node = first + np.arange(len(units)), first + np.arange(len(units)) + lengths
+        self.first_node = first + np.arange(len(units), dtype=np.int32)
+        self.last_node = self.first_node + lengths
         total = np.zeros(len(codes) + len(units))
         group = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
         level = np.searchsorted(depth[group], np.arange(1, depth[-1] + 2))
@@ -144,13 +175,14 @@ class _Lattice:
             share[a:b] = rest / np.repeat(mass, each)
         self.source, self.ids = source, ids
         self.upto = np.cumsum(share)
-        self.low, self.high = np.zeros(len(total), np.int64), np.zeros(len(total), np.int64)
+        self.low, self.high = np.zeros(len(total), np.int32), np.zeros(len(total), np.int32)
         self.low[target[group]], self.high[target[group]] = group, bounds[1:] - 1
         self.base = np.r_[0.0, self.upto][self.low]
 
     def sample(self, which: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of one drawn path for each of which (units), and how many each has; keys: uint64 for each."""
-        node, end, live = self.last_node[which].copy(), self.first_node[which], np.arange(len(which))
+        node, end = self.last_node[which], self.first_node[which]
+        live = np.argsort(which, kind="stable")  # equal units together: the lookups below stay in the cache
         taken, count = [], np.zeros(len(which), np.int64)
         while len(live):
             at = node[live]
@@ -215,8 +247,9 @@ def _chunks(texts: list[str], limit: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def encode_sampled(docs: DataFrame, seed: int = 1, sharpness: float = 0.5, model: str = PIECE_MODEL, chunk_chars: int = 4_000_000) -> DataFrame:
-    """doc_id, n_pieces, ids (little-endian uint16), one sampled segmentation for each row, reproducible by (seed, doc_id).
+def encode_sampled(docs: DataFrame, seed: int = 1, sharpness: float = 0.5, model: str = PIECE_MODEL, chunk_chars: int = 4_000_000, with_text: bool = False) -> DataFrame:
+    """doc_id, n_pieces, ids (little-endian uint16), one sampled segmentation for each row, reproducible by (seed, doc_id);
+    with with_text also what these ids decode to.
 
     Null and empty texts have no pieces. Rows with the same doc_id and text have the same segmentation; rows without a
     doc_id are seeded alike. An empty table gives no rows.
@@ -229,9 +262,12 @@ def encode_sampled(docs: DataFrame, seed: int = 1, sharpness: float = 0.5, model
             for part in _chunks(texts, chunk_chars):
                 ids = sample_batch(pieces, texts[part], keys[part], seed)
                 cols = [pa.array(keys[part], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_pieces", "ids"])
+                if with_text:
+                    cols.append(pa.array([decode_ids(pieces, x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return doc_rows(docs).mapInArrow(run, "doc_id long, n_pieces long, ids binary")
+    names = ["doc_id", "n_pieces", "ids"] + ["text"] * with_text
+    return doc_rows(docs).mapInArrow(run, "doc_id long, n_pieces long, ids binary" + ", text string" * with_text)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = PIECE_MODEL) -> DataFrame:
@@ -252,5 +288,5 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str = PIECE_MODEL) -
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sampled ids, and the hash of what they decode to: that of the document's text."""
-    out = decode(encode_sampled(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    out = encode_sampled(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=True)
     return out.select("doc_id", "n_pieces", "ids", F.sha2("text", 256).alias("decoded_sha256"))
