@@ -17,7 +17,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm.common import SPACE_CHARS, ascii_lower, boxed, shuffle_width, stage_table, with_text
+from rastra.llm.common import SPACE_CHARS, ascii_lower, boxed, shuffle_width, with_text
+from rastra.storage import stage_table
 
 _KEY = ["h1", "h2"]
 _LAST = (1 << 63) - 1

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm.common import ascii_words, doc_rows, stage_table
+from rastra.llm.common import ascii_words, doc_rows
+from rastra.storage import stage_table
 
 END = b"\n"  # no word holds a line feed
 SMOOTH = 0.1

@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rastra.llm.common import ascii_words, boxed, doc_rows, stage_table, unboxed
-from rastra.llm.components import connected_components
+from rastra.llm.common import ascii_words, boxed, doc_rows, unboxed
+from rastra.operators.graph import connected_components
+from rastra.storage import stage_table
 
 _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 #: The odd constants of the splitmix64 finaliser and an odd multiplier for word sequences.

@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rastra.llm.common import doc_rows, shuffle_width, stage_table
+from rastra.llm.common import doc_rows, shuffle_width
 from rastra.llm.tokens import VOCABULARY, cut, encoder
+from rastra.storage import stage_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PATTERNS = "length long, rank_from long, rank_to long, first_sequence long, per_sequence long, first_offset long"

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm.common import boxed, stage_table, unboxed
+from rastra.llm.common import boxed, unboxed
+from rastra.storage import stage_table
 
 _PUNCTUATION = b".,;:!?\"'()[]{}<>|*%$#&-_/\\"
 
