@@ -28,7 +28,10 @@ def unboxed(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
 
 def with_text(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
     """The rows of df with the columns of docs and a new text; n_chars, where there is one, follows it."""
-    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    df = df.select("row", text.alias("new_text"))  # evaluated once, for both columns
+    changed = {"text": F.col("new_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("new_text").cast(docs.schema["n_chars"].dataType)
     return unboxed(df, docs.columns, **changed)
 
 
