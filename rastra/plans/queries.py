@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rastra.grid import EVENT_GRID, LAYER_GRID, cells_in, event_cells, layer_cells, mask_of, order_traces, table
-from rastra.operators import allocate, components, masks, metric, nearest, registry, split, stats, stencil, tensor, validate, vector
+from rastra.operators import allocate, components, features, masks, metric, nearest, registry, split, stats, stencil, tensor, validate, vector
 from rastra.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -567,3 +567,64 @@ def file_hashes(spark, sf_dir):
 @query("table_rows")
 def table_rows(spark, sf_dir):
     return files.table_rows(table(spark, sf_dir, "pages"))
+
+
+# --- features and models ---
+
+
+@query("geometry_features")
+def geometry_features(spark, sf_dir):
+    truth, prediction = _truth_and_prediction(spark, sf_dir)
+    return features.geometry(prediction, truth, EVENT_GRID).select("row", "col", *[r6(c).alias(c) for c in features.GEOMETRY])
+
+
+@query("relay_ratio", f"""WITH RECURSIVE {_LABELS}, d AS (SELECT p.r, p.c, comp, min((p.r - l.r) ** 2 + (p.c - l.c) ** 2) AS d2 FROM pred p JOIN lab l
+  ON l.r BETWEEN p.r - 8 AND p.r + 8 AND l.c BETWEEN p.c - 8 AND p.c + 8 WHERE (p.r - l.r) ** 2 + (p.c - l.c) ** 2 <= 64 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY d2, comp) AS k FROM d),
+t AS (SELECT r, c, sqrt(max(CASE WHEN k = 1 THEN d2 END)) AS a, sqrt(max(CASE WHEN k = 2 THEN d2 END)) AS b FROM k WHERE k <= 2 GROUP BY r, c)
+SELECT r AS "row", c AS col, round(a, 6) AS d1, round(b, 6) AS d2, CASE WHEN a + b > 0 THEN round(a / (a + b), 6) END AS relay_ratio FROM t""")
+def relay_ratio(spark, sf_dir):
+    e = event_cells(spark, sf_dir)
+    out = features.relay(_truth_and_prediction(spark, sf_dir)[1], mask_of(e, "purchase"), EVENT_GRID, 8)
+    return out.select("row", "col", *[r6(c).alias(c) for c in ("d1", "d2", "relay_ratio")])
+
+
+@query("zone_table", f"""WITH {_EVENTS}, n AS (SELECT e.r, e.c, e.v, min((e.r - b.r) ** 2 + (e.c - b.c) ** 2) AS d2 FROM (SELECT * FROM ev WHERE layer = 'view') e JOIN buy b
+  ON b.r BETWEEN e.r - 6 AND e.r + 6 AND b.c BETWEEN e.c - 6 AND e.c + 6 WHERE (e.r - b.r) ** 2 + (e.c - b.c) ** 2 <= 36 GROUP BY ALL),
+f AS (SELECT least(2, floor(sqrt(d2) / 2))::INTEGER AS db, CASE WHEN v >= 0.6 THEN 2 WHEN v >= 0.2 THEN 1 ELSE 0 END AS sb, EXISTS (SELECT 1 FROM click WHERE click.r = n.r AND abs(click.c - n.c) <= 3)::INT AS y FROM n),
+g AS (SELECT db, sb, count(*) AS n, sum(y) AS p FROM f GROUP BY ALL), q AS (SELECT db, sum(p) / sum(n) AS pool FROM g GROUP BY db)
+SELECT db AS d_bin, sb AS s_bin, n, round(CASE WHEN n >= 40 THEN p / n ELSE pool END, 6) AS rate, n >= 40 AS used FROM g JOIN q USING (db)""")
+def zone_table(spark, sf_dir):
+    e = event_cells(spark, sf_dir)
+    near = nearest.nearest_within(e.where("layer = 'view'").select("row", "col", "value"), mask_of(e, "purchase"), 6)
+    beside = stencil.spread(mask_of(e, "click"), [(0, i) for i in range(-3, 4)]).select("row", "col").distinct().withColumn("y", F.lit(1))
+    rows = near.join(beside, ["row", "col"], "left").fillna(0, ["y"]).withColumn("d", F.sqrt(F.col("d2").cast("double")))
+    out = features.zone_table(rows, [0.0, 2.0, 4.0, 6.0], [0.0, 0.2, 0.6, 1.0], strike="value")
+    return out.select("d_bin", "s_bin", "n", r6("rate").alias("rate"), "used")
+
+
+@query("boosted_surface")
+def boosted_surface(spark, sf_dir):
+    """A probability for every click cell that a purchase lies within two cells, from its geometry to views and its value."""
+    e = event_cells(spark, sf_dir)
+    click = e.where("layer = 'click'").select("row", "col", "value")
+    table_ = features.geometry(click, mask_of(e, "view"), EVENT_GRID).join(click, ["row", "col"])
+    near = stencil.spread(mask_of(e, "purchase"), stencil.disk_offsets(2)).select("row", "col").distinct().withColumn("y", F.lit(1))
+    rows = table_.join(near, ["row", "col"], "left").fillna(0, ["y"]).withColumn("g", (F.col("row") / 180).cast("int"))
+    columns = [*features.GEOMETRY, "value"]
+    train = split.weighted_negatives(rows, "y", "g", ["row", "col"], 2000, 5)
+    return features.boosted_surface(train, rows.select("row", "col", *columns), columns, trees=5)
+
+
+@query("branches")
+def branches(spark, sf_dir):
+    return components.branches(stencil.dilate(mask_of(event_cells(spark, sf_dir), "purchase"), stencil.diamond_offsets(1), EVENT_GRID), EVENT_GRID)
+
+
+@query("linked_traces")
+def linked_traces(spark, sf_dir):
+    """Records whose traces' ends come within one cell at a like strike, as one system."""
+    traces = order_traces(spark, sf_dir)
+    ends = traces.select(F.col("row_no").alias("comp_id"), F.col("y0").alias("r0"), F.col("x0").alias("c0"), F.col("y1").alias("r1"), F.col("x1").alias("c1"))
+    strike = vector.azimuth(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0"))
+    return components.linked(ends.withColumn("strike_deg", strike), gap=1.0, turn=5.0)
