@@ -35,10 +35,18 @@ def decimated_ranking(cells: DataFrame, tile: int, budget: int, value: str = "va
 
 
 def prefix_to_mass(items: DataFrame, key: str, size: str, target: float, seed: int) -> DataFrame:
-    """Items in hash order until their sizes reach target; the one that reaches it is included."""
-    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    w = Window.orderBy("_h", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = items.select(key, size).withColumn("_h", order).withColumn("_run", F.sum(size).over(w))
+    """Items in hash order until their sizes reach target; the one that reaches it is included.
+
+    The running sum is taken within ranges of the hash (its first three digits); only the 4096 ranges' totals are summed in
+    one place, so the window holds at any number of items.
+    """
+    hashed = items.select(key, size).withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("_b", F.left("_h", F.lit(3)))
+    totals = hashed.groupBy("_b").agg(F.sum(size).alias("_t"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start")).where(F.col("_start") < target)
+    within = Window.partitionBy("_b").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # at most 4096 rows of two columns
+    run = hashed.join(F.broadcast(starts), "_b").withColumn("_run", F.col("_start") + F.sum(size).over(within))
     return run.where(F.col("_run") - F.col(size) < target).select(key, size)
 
 
