@@ -114,6 +114,14 @@ def packed_sequences(docs: DataFrame, capacity: int = 1024, end_id: int = 50256,
     return doc_rows(docs).mapInArrow(run, PACKED).withColumn("sequence_id", F.monotonically_increasing_id())
 
 
+def id_matrix(sequences: DataFrame, capacity: int = 1024, pad_id: int = 50256) -> DataFrame:
+    """sequences with input_ids and position_ids padded to `capacity` entries, so that rows stack to matrices; n_tokens and
+    cu_seqlens tell the padding apart."""
+    pad = F.unhex(F.lit(pad_id.to_bytes(4, "little").hex()))
+    rows = {"input_ids": F.rpad("input_ids", capacity * 4, pad), "position_ids": F.rpad("position_ids", capacity * 2, F.unhex(F.lit("0000")))}
+    return sequences.withColumns(rows)
+
+
 def write_packed(sequences: DataFrame, path: str) -> None:
     """One Parquet file for each task's sequences; fails if path exists."""
     sequences.write.mode("errorifexists").parquet(path)

@@ -351,6 +351,9 @@ def test_packed_sequences_round_trip(spark, tmp_path):
         assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens == len(r.input_ids) // 4 <= 128
         places = np.frombuffer(bytes(r.position_ids), "<u2").tolist()
         assert places == [i for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:]) for i in range(b - a)]
+    for r in token_output.id_matrix(packed, 128, 7).collect():
+        ids = np.frombuffer(bytes(r.input_ids), "<u4")
+        assert len(ids) == 128 == len(r.position_ids) // 2 and (ids[r.n_tokens :] == 7).all()
     parts = defaultdict(list)
     for r in token_output.unpack(packed).collect():
         parts[r.doc_id].append((r.start, bytes(r.ids)))
