@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from rastra.storage import stage_table
 
 
-def average_rank(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+def average_rank(df: DataFrame, value: str, by: list[str], parts: int = 64) -> DataFrame:
     """df with rank: ties share the mean of their places, within groups.
 
-    Values are counted first, so the window runs over distinct values with their counts, not over all rows.
+    Values are counted first, so windows run over distinct values; a group's values are cut at `parts` quantiles of all
+    values, so that a group of any size is ranked by many tasks and only the parts' totals are summed in one place.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("rank", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
+    bounds = df.select(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(value))) if bounds else F.lit(0)
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n")).withColumn("_part", part)
+    totals = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_t"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*by, "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(starts, [*by, "_part"])
+    ranks = ranks.select(*by, value, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias("rank"))
     return df.join(ranks, [*by, value])
 
 
