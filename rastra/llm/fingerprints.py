@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rastra.llm.common import ascii_lower, doc_rows, shuffle_width
 
-SAMPLES = 16
+SAMPLES = 24
 _LOW21, _LOW32 = (1 << 21) - 1, (1 << 32) - 1
 #: ln(a) as a fixed-point number of 31 bits: ln(a) lies well within 128 of zero.
 _SHIFT, _SCALE, _TOP = 128.0, float(1 << 22), (1 << 31) - 1
