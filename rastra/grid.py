@@ -42,6 +42,20 @@ def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("layer", "row", "col").agg(F.max("v").alias("value"))
 
 
+def event_roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Truth (purchases) and prediction (clicks with their value), both without the catalogue's cells (errors).
+
+    One aggregate by cell tells all three roles, so the masks need no joins and share one scan and one shuffle.
+    """
+    hour = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts)").cast("int")
+    kind, value = F.col("event_type"), F.least(F.lit(1.0), F.col("value") / 500)
+    events = table(spark, sf_dir, "events").where(kind.isin("click", "purchase", "error"))
+    cells = events.select(hour.alias("row"), (F.col("user_id") % 256).cast("int").alias("col"), kind, value.alias("value")).groupBy("row", "col").agg(
+        F.max(F.when(kind == "click", F.col("value"))).alias("click"), F.max(kind == "purchase").alias("bought"), F.max(kind == "error").alias("known")
+    )
+    return cells.where("bought and not known").select("row", "col"), cells.where("click is not null and not known").select("row", "col", F.col("click").alias("value"))
+
+
 def layer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """layer (supplier % 16), row (week of shipping), col (part % 128), value (ten times the greatest discount, capped)."""
     week = (F.datediff("l_shipdate", F.lit("1995-01-01")) / 7).cast("int")

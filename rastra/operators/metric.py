@@ -24,7 +24,7 @@ def credits(truth: DataFrame, prediction: DataFrame, radius: float = RADIUS) ->
     pairs = spread(truth, kernel_offsets(radius)).join(prediction, ["row", "col"])
     best = pairs.groupBy("src_row", "src_col").agg(F.max(F.col("value") * F.col("k")).alias("credit"))
     best = best.withColumnsRenamed({"src_row": "row", "src_col": "col"})
-    near = spread(truth, kernel_offsets(radius)).groupBy("row", "col").agg(F.max("k").alias("q"))
+    near = pairs.groupBy("row", "col").agg(F.max("k").alias("q"))  # the join has dealt pairs by these columns already
     return (
         truth.join(best, ["row", "col"], "left").select("row", "col", F.coalesce("credit", F.lit(0.0)).alias("credit")),
         prediction.join(near, ["row", "col"], "left").select("row", "col", "value", F.coalesce("q", F.lit(0.0)).alias("q")),

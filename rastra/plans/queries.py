@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rastra.grid import EVENT_GRID, LAYER_GRID, cells_in, event_cells, layer_cells, mask_of, order_traces, table
+from rastra.grid import EVENT_GRID, LAYER_GRID, cells_in, event_cells, event_roles, layer_cells, mask_of, order_traces, table
 from rastra.operators import allocate, components, features, masks, metric, nearest, registry, split, stats, stencil, tensor, validate, vector
 from rastra.sources import files
 
@@ -52,12 +52,6 @@ def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6) + F.lit(0.0)
 
 
-def _truth_and_prediction(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cells = event_cells(spark, sf_dir)
-    known = mask_of(cells, "error")
-    return masks.mask_and_not(mask_of(cells, "purchase"), known), masks.mask_and_not(cells.where("layer = 'click'").select("row", "col", "value"), known)
-
-
 def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cells = layer_cells(spark, sf_dir).where("value >= 1.0")
     return mask_of(cells, 0), cells.where("layer <> 0").select("layer", "row", "col")
@@ -70,14 +64,14 @@ def _layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
   (SELECT coalesce(sum(v * (1 - q)), 0) FROM pcredit) AS fp)
 SELECT n_truth, round(tp, 6) AS tp, round(fp, 6) AS fp, round(n_truth - tp, 6) AS fn, round(tp / (tp + 0.2 * fp + 0.8 * (n_truth - tp) + 1e-12), 6) AS dti FROM s""")
 def grid_metric(spark, sf_dir):
-    return metric.score(*_truth_and_prediction(spark, sf_dir)).select("n_truth", *[r6(c).alias(c) for c in ("tp", "fp", "fn", "dti")])
+    return metric.score(*event_roles(spark, sf_dir)).select("n_truth", *[r6(c).alias(c) for c in ("tp", "fp", "fn", "dti")])
 
 
 @query("binary_metric", f"""WITH {_EVENTS}, s AS (SELECT (SELECT count(*) FROM truth) AS n_truth,
   (SELECT coalesce(sum(k), 0) FROM (SELECT max(k) AS k FROM near GROUP BY tr, tc)) AS tp, (SELECT coalesce(sum(1 - q), 0) FROM pcredit) AS fp)
 SELECT n_truth, round(tp, 6) AS tp, round(fp, 6) AS fp, round(tp / (tp + 0.2 * fp + 0.8 * (n_truth - tp) + 1e-12), 6) AS dti FROM s""")
 def binary_metric(spark, sf_dir):
-    truth, prediction = _truth_and_prediction(spark, sf_dir)
+    truth, prediction = event_roles(spark, sf_dir)
     return metric.score(truth, prediction.withColumn("value", F.lit(1.0))).select("n_truth", *[r6(c).alias(c) for c in ("tp", "fp", "dti")])
 
 
@@ -87,7 +81,7 @@ _TERMS = f"""{_EVENTS}, terms AS (SELECT br, bc, sum(tp) AS tp, sum(fp) AS fp, s
 
 
 def _terms(spark, sf_dir):
-    t, p = _truth_and_prediction(spark, sf_dir)
+    t, p = event_roles(spark, sf_dir)
     out = metric.block_terms(t, p, 16).withColumns({"br": (F.col("block_row") / 3).cast("int"), "bc": (F.col("block_col") / 4).cast("int")})
     return out.groupBy("br", "bc").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "n_truth")])
 
@@ -119,7 +113,7 @@ def bootstrap(spark, sf_dir):
 w AS (SELECT *, (p + z * z / (2 * n)) / (1 + z * z / n) AS m, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS h FROM z)
 SELECT decade, round(greatest(0, m - h), 6) AS low, round(least(1, m + h), 6) AS high FROM w""")
 def wilson(spark, sf_dir):
-    _, p = metric.credits(*_truth_and_prediction(spark, sf_dir))
+    _, p = metric.credits(*event_roles(spark, sf_dir))
     s = p.groupBy((F.col("row") / 72).cast("int").alias("decade")).agg(F.sum((F.col("q") > 0).cast("int")).alias("k"), F.count("*").alias("n"))
     low, high = metric.wilson(F.col("k"), F.col("n"))
     return s.select("decade", r6(low).alias("low"), r6(high).alias("high"))
@@ -141,7 +135,8 @@ def mask_and(spark, sf_dir):
 
 @query("mask_and_not", f'WITH {_EVENTS} SELECT r AS "row", c AS col FROM truth')
 def mask_and_not(spark, sf_dir):
-    return _truth_and_prediction(spark, sf_dir)[0]
+    e = event_cells(spark, sf_dir)
+    return masks.mask_and_not(mask_of(e, "purchase"), mask_of(e, "error"))
 
 
 @query("mask_or", f'WITH {_EVENTS} SELECT r AS "row", c AS col FROM buy UNION SELECT r, c FROM click UNION SELECT r, c FROM err')
@@ -270,7 +265,7 @@ b AS (SELECT CASE WHEN v >= 0.75 THEN 4 WHEN v >= 0.5 THEN 3 WHEN v >= 0.25 THEN
 s AS (SELECT i::INTEGER AS bin, count(y) AS n_all, coalesce(sum(y), 0)::BIGINT AS n_pos FROM range(5) g(i) LEFT JOIN b ON b.bin = i GROUP BY i), t AS (SELECT sum(n_pos) / sum(n_all) AS base FROM s)
 SELECT bin, n_all, n_pos, round(CASE WHEN n_all > 0 THEN n_pos / n_all ELSE 0 END, 6) AS rate, round(CASE WHEN n_all > 0 AND base > 0 THEN n_pos / n_all / base ELSE 0 END, 6) AS ratio FROM s, t""")
 def enrichment(spark, sf_dir):
-    truth, _ = _truth_and_prediction(spark, sf_dir)
+    truth, _ = event_roles(spark, sf_dir)
     click = event_cells(spark, sf_dir).where("layer = 'click'").join(truth.withColumn("y", F.lit(1)), ["row", "col"], "left").fillna(0, ["y"])
     return stats.enrichment(click, "value", "y", _EDGES).select("bin", "n_all", "n_pos", r6("rate").alias("rate"), r6("ratio").alias("ratio"))
 
@@ -297,7 +292,7 @@ def power_law(spark, sf_dir):
 @query("nearest_truth", f"""WITH {_EVENTS}, d AS (SELECT p.r, p.c, (p.r - t.r) ** 2 + (p.c - t.c) ** 2 AS d2, t.r AS tr, t.c AS tc FROM pred p, truth t)
 SELECT r AS "row", c AS col, min(d2)::BIGINT AS d2, (arg_min(tr, (d2, tr, tc)))::INTEGER AS near_row, (arg_min(tc, (d2, tr, tc)))::INTEGER AS near_col FROM d GROUP BY r, c""")
 def nearest_truth(spark, sf_dir):
-    truth, prediction = _truth_and_prediction(spark, sf_dir)
+    truth, prediction = event_roles(spark, sf_dir)
     return nearest.distance_transform(truth, EVENT_GRID).join(prediction.select("row", "col"), ["row", "col"])
 
 
@@ -305,7 +300,7 @@ def nearest_truth(spark, sf_dir):
   ON t.r BETWEEN p.r - 6 AND p.r + 6 AND t.c BETWEEN p.c - 6 AND p.c + 6 WHERE (p.r - t.r) ** 2 + (p.c - t.c) ** 2 <= 36)
 SELECT r AS "row", c AS col, min(d2)::BIGINT AS d2, (arg_min(tr, (d2, tr, tc)))::INTEGER AS near_row, (arg_min(tc, (d2, tr, tc)))::INTEGER AS near_col FROM d GROUP BY r, c""")
 def nearest_within(spark, sf_dir):
-    truth, prediction = _truth_and_prediction(spark, sf_dir)
+    truth, prediction = event_roles(spark, sf_dir)
     return nearest.nearest_within(prediction.select("row", "col"), truth, 6)
 
 
@@ -340,7 +335,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY d2, comp) AS k FRO
 SELECT r AS "row", c AS col, max(CASE WHEN k = 1 THEN d2 END) AS d2_1, max(CASE WHEN k = 1 THEN comp END) AS comp_1, max(CASE WHEN k = 2 THEN d2 END) AS d2_2, max(CASE WHEN k = 2 THEN comp END) AS comp_2
 FROM k WHERE k <= 2 GROUP BY r, c""")
 def two_nearest_components(spark, sf_dir):
-    return nearest.two_nearest_components(_truth_and_prediction(spark, sf_dir)[1], label8(spark, sf_dir), 8)
+    return nearest.two_nearest_components(event_roles(spark, sf_dir)[1], label8(spark, sf_dir), 8)
 
 
 # --- registry ---
@@ -574,7 +569,7 @@ def table_rows(spark, sf_dir):
 
 @query("geometry_features")
 def geometry_features(spark, sf_dir):
-    truth, prediction = _truth_and_prediction(spark, sf_dir)
+    truth, prediction = event_roles(spark, sf_dir)
     return features.geometry(prediction, truth, EVENT_GRID).select("row", "col", *[r6(c).alias(c) for c in features.GEOMETRY])
 
 
@@ -585,7 +580,7 @@ t AS (SELECT r, c, sqrt(max(CASE WHEN k = 1 THEN d2 END)) AS a, sqrt(max(CASE WH
 SELECT r AS "row", c AS col, round(a, 6) AS d1, round(b, 6) AS d2, CASE WHEN a + b > 0 THEN round(a / (a + b), 6) END AS relay_ratio FROM t""")
 def relay_ratio(spark, sf_dir):
     e = event_cells(spark, sf_dir)
-    out = features.relay(_truth_and_prediction(spark, sf_dir)[1], mask_of(e, "purchase"), EVENT_GRID, 8)
+    out = features.relay(event_roles(spark, sf_dir)[1], mask_of(e, "purchase"), EVENT_GRID, 8)
     return out.select("row", "col", *[r6(c).alias(c) for c in ("d1", "d2", "relay_ratio")])
 
 
