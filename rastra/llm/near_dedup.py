@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,10 +165,10 @@ def _components_of(nodes: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _blocked(homes: DataFrame, plan: Plan) -> DataFrame:
-    """rep, block: each home cut by hash into as many blocks as its members and their shingles call for."""
+    """rep, n, block: each home cut by hash into as many blocks as its members and their shingles call for."""
     parts = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / plan.block, F.sum("n") / plan.block_shingles)).alias("parts"))
     parts = stage_table(parts, "homes")
-    return homes.join(parts, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), "parts")).alias("block"))
+    return homes.join(parts, "home").select("rep", "n", F.xxhash64("home", F.pmod(F.xxhash64("rep"), "parts")).alias("block"))
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
@@ -225,7 +226,20 @@ def _forest(left: list[dict], right: list[dict], percent: int) -> list[tuple[int
     return out
 
 
-def _block_links(pairs: DataFrame, contents: DataFrame, plan: Plan) -> DataFrame:
+def _tasks(pairs: DataFrame, placed: DataFrame, plan: Plan) -> DataFrame:
+    """big, small, chunk: pairs by the larger block, whose partners are taken together in chunks of about a block's size, so
+    that a block with many small partners is not sent once for each."""
+    size = F.greatest(F.count("*") / plan.block, F.sum("n") / plan.block_shingles)
+    sizes = stage_table(placed.groupBy("block").agg(size.alias("size")), "block-sizes")
+    for c in "xy":
+        pairs = pairs.join(sizes.withColumnsRenamed({"block": c, "size": f"{c}_size"}), c)
+    swap = F.col("y_size") > F.col("x_size")
+    turned = pairs.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("big"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("small"), F.least("x_size", "y_size").alias("size"))
+    run = F.sum("size").over(Window.partitionBy("big").orderBy("small").rowsBetween(Window.unboundedPreceding, -1))
+    return turned.select("big", "small", F.floor(F.coalesce(run, F.lit(0.0))).alias("chunk"))
+
+
+def _block_links(tasks: DataFrame, contents: DataFrame, plan: Plan) -> DataFrame:
     """a, b: confirmed links between different components of the paired blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +249,22 @@ def _block_links(pairs: DataFrame, contents: DataFrame, plan: Plan) -> DataFrame
                 found = _forest(left, right, plan.percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    one, two = (contents.select(F.col("block").alias(c), F.col("held").alias(f"held_{c}")) for c in "xy")
-    return pairs.join(one, "x").join(two, "y").select("held_x", "held_y").mapInArrow(run, "a long, b long")
+    small = contents.select(F.col("block").alias("small"), "held")
+    chunks = tasks.join(small, "small").groupBy("big", "chunk").agg(F.flatten(F.collect_list("held")).alias("others"))
+    both = chunks.join(contents.withColumnRenamed("block", "big"), "big")
+    return both.select("held", "others").mapInArrow(run, "a long, b long")
+
+
+@contextmanager
+def _arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """While jobs run in this context, at most n rows go to a Python worker at once: for rows that hold whole sets or texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -245,7 +273,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     Texts without words (null, empty) are linked with nothing. Equal texts are linked. Rows that share a doc_id are one
     document. Rows without a doc_id are counted but linked with nothing and kept. An empty table gives no rows.
     """
-    rows = stage_table(signed(docs, plan), "signed")
+    spark = docs.sparkSession
+    with _arrow_rows(spark, 1000):
+        rows = stage_table(signed(docs, plan), "signed")
     known = rows.where("h1 is not null and doc_id is not null")
     groups = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     reps = stage_table(groups, "representatives")
@@ -256,8 +286,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     often = members.groupBy("rep", "n", "center").agg(F.count("*").alias("c"))
     homes = stage_table(often.groupBy("rep", "n").agg(F.max(F.struct("c", (-F.col("center")).alias("m"))).alias("top")).select("rep", "n", (-F.col("top.m")).alias("home")), "homes")
 
-    sets = stage_table(_full_sets(docs, homes.select("rep"), plan), "sets")
-    links = stage_table(_confirmed(homes.where("rep <> home").select(F.col("rep").alias("a"), F.col("home").alias("b")), sets, plan), "links")
+    with _arrow_rows(spark, 256):
+        sets = stage_table(_full_sets(docs, homes.select("rep"), plan), "sets")
+        links = stage_table(_confirmed(homes.where("rep <> home").select(F.col("rep").alias("a"), F.col("home").alias("b")), sets, plan), "links")
     comps = connected_components(links)
 
     placed = stage_table(_components_of(_blocked(homes, plan), comps), "placed")
@@ -265,7 +296,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     wanted = pairs.select(F.col("x").alias("block")).unionByName(pairs.select(F.col("y").alias("block"))).distinct()
     held = sets.join(placed.join(wanted, "block", "left_semi"), "rep").groupBy("block")
     contents = stage_table(held.agg(F.collect_list(F.struct("rep", "component", "shingles")).alias("held")), "blocks")
-    comps = connected_components(links.unionByName(stage_table(_block_links(pairs, contents, plan), "links")))
+    with _arrow_rows(spark, 4):
+        more = stage_table(_block_links(_tasks(pairs, placed, plan), contents, plan), "links")
+    comps = connected_components(links.unionByName(more))
 
     named = _components_of(reps.select("h1", "h2", "rep"), comps).select("h1", "h2", F.col("component").alias("_c"))
     out = rows.drop("sig").join(named, ["h1", "h2"], "left")
