@@ -227,16 +227,19 @@ def _forest(left: list[dict], right: list[dict], percent: int) -> list[tuple[int
 
 
 def _tasks(pairs: DataFrame, placed: DataFrame, plan: Plan) -> DataFrame:
-    """big, small, chunk: pairs by the larger block, whose partners are taken together in chunks of about a block's size, so
-    that a block with many small partners is not sent once for each."""
+    """big, small, salt, chunk: pairs by the larger block, whose partners are taken together in chunks of about a block's size,
+    so that a block with many small partners is not sent once for each. A salt holds the partners of about four chunks:
+    blocks of any number of partners are cut into chunks by many tasks."""
     size = F.greatest(F.count("*") / plan.block, F.sum("n") / plan.block_shingles)
     sizes = stage_table(placed.groupBy("block").agg(size.alias("size")), "block-sizes")
     for c in "xy":
         pairs = pairs.join(sizes.withColumnsRenamed({"block": c, "size": f"{c}_size"}), c)
     swap = F.col("y_size") > F.col("x_size")
     turned = pairs.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("big"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("small"), F.least("x_size", "y_size").alias("size"))
-    run = F.sum("size").over(Window.partitionBy("big").orderBy("small").rowsBetween(Window.unboundedPreceding, -1))
-    return turned.select("big", "small", F.floor(F.coalesce(run, F.lit(0.0))).alias("chunk"))
+    salts = stage_table(turned.groupBy("big").agg(F.ceil(F.sum("size") / 4).alias("salts")), "salts")
+    turned = turned.join(salts, "big").withColumn("salt", F.pmod(F.xxhash64("small"), "salts"))
+    run = F.sum("size").over(Window.partitionBy("big", "salt").orderBy("small").rowsBetween(Window.unboundedPreceding, -1))
+    return turned.select("big", "small", "salt", F.floor(F.coalesce(run, F.lit(0.0))).alias("chunk"))
 
 
 def _block_links(tasks: DataFrame, contents: DataFrame, plan: Plan) -> DataFrame:
@@ -250,7 +253,7 @@ def _block_links(tasks: DataFrame, contents: DataFrame, plan: Plan) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     small = contents.select(F.col("block").alias("small"), "held")
-    chunks = tasks.join(small, "small").groupBy("big", "chunk").agg(F.flatten(F.collect_list("held")).alias("others"))
+    chunks = tasks.join(small, "small").groupBy("big", "salt", "chunk").agg(F.flatten(F.collect_list("held")).alias("others"))
     both = chunks.join(contents.withColumnRenamed("block", "big"), "big")
     return both.select("held", "others").mapInArrow(run, "a long, b long")
 
