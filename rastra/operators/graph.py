@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from rastra.storage import stage_table
 
+#: Edges for each file of a work table: small graphs are not written as hundreds of files.
+FILE_EDGES = 250_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _star(edges: DataFrame, large: bool, files: int) -> DataFrame:
     """edges: u > v, distinct. Hub nodes are handled by joining two staged tables, which adaptive execution can split."""
     if large:  # every larger neighbour of a node goes to the node's least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = stage_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(files), "least")
         moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # a node and all its smaller neighbours go to the least of them
-        least = stage_table(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = stage_table(edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "least")
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return stage_table(moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+    return stage_table(moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(files), "star")
 
 
 def _summary(edges: DataFrame) -> tuple:
@@ -30,7 +33,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges, before = stage_table(edges, "edges"), None
     now = _summary(edges)
     while now != before:
-        before = now
-        edges = _star(_star(edges, True), False)
+        before, files = now, 1 + now[0] // FILE_EDGES
+        edges = _star(_star(edges, True, files), False, files)
         now = _summary(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
