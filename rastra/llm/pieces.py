@@ -1,11 +1,12 @@
 """Sampled SentencePiece segmentations by forward filtering and backward sampling; decoding is lossless.
 
-A text is cut into units: a line feed, or an optional space and the run of other characters after it. A unit's lattice has
-a node at every character bound and an edge for every vocabulary piece that spells the characters between two nodes, of
-weight (rank + 1) ** -sharpness, where rank is the piece's place in the vocabulary; characters without a piece of their
-own have one edge, their UTF-8 bytes. The forward filter sums the weights of all paths to each node. Sampling goes back
-from a unit's end, taking each incoming edge with its share of the node's sum, which draws a segmentation with exactly
-its probability. The random number for a choice is a hash of (seed, row key, place in the text), so a row's result depends
+A text is cut into units: a line feed, or a run of spaces, if any, and the run of other characters after it. No piece has a
+space after another character, or a line feed and more, so no piece crosses a cut. A unit's lattice has a node at every
+character bound and an edge for every vocabulary piece that spells the characters between two nodes, of weight
+(rank + 1) ** -sharpness, where rank is the piece's place in the vocabulary; characters without a piece of their own have
+one edge, their UTF-8 bytes. The forward filter sums the weights of all paths to each node. Sampling goes back from a
+unit's end, taking each incoming edge with its share of the node's sum, which draws a segmentation with exactly its
+probability. The random number for a choice is a hash of (seed, row key, place in the text), so a row's result depends
 neither on partitions nor on retries. Everything is computed for the distinct units of a batch at once.
 """
 
@@ -25,7 +26,8 @@ from rastra.llm.common import doc_rows
 from rastra.llm.tokens import vocabulary_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
-_UNIT = re.compile(r"\n| ?[^ \n]+| ")
+_UNIT = re.compile(r"\n| *[^ \n]+| +")
+_CROSSING = re.compile(r"[^▁]▁|\n.|.\n", re.DOTALL)
 _SPACE, _MARK, _PLAIN_MARK = 0x20, 0x2581, 0x110000  # a literal mark is no space: it goes to bytes
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WIDE = 1 << 20  # an edge's id from here on: a character of several bytes
@@ -54,6 +56,8 @@ class Pieces:
                 self.spelled[i] = bytes([int(piece[3:5], 16)])
                 self.byte_id[self.spelled[i][0]] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+                if _CROSSING.search(piece):
+                    raise ValueError(f"piece {piece!r} crosses the bounds of units")
                 self.spelled[i] = piece.replace("▁", " ").encode()
                 ids[piece] = i
         self.log_weight = -sharpness * np.log(np.arange(len(sp)) + 1.0)

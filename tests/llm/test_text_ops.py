@@ -395,6 +395,31 @@ def test_samples_have_the_lattice_distribution():
         assert abs(drawn[s] / 20_000 - share) < 5 * math.sqrt(share * (1 - share) / 20_000) + 1e-4
 
 
+def test_runs_of_spaces_have_the_distribution_over_all_pieces():
+    p = pieces.pieces_of(pieces.PIECE_MODEL, 0.5)
+    ids = {b: i for i, b in enumerate(p.spelled) if b and i > 258} | {b"\n": p.byte_id[10]}
+
+    def paths(b):  # of the whole text, cut nowhere
+        if not b:
+            yield ()
+        for n in range(1, len(b) + 1):
+            if b[:n] in ids:
+                for rest in paths(b[n:]):
+                    yield (b[:n], *rest)
+
+    for text in ("    if", "a  \n   b", " x   "):
+        mass = {s: math.exp(sum(p.log_weight[ids[x]] for x in s)) for s in paths(text.encode())}
+        drawn = Counter(tuple(p.spelled[i] for i in x) for x in pieces.sample_batch(p, [text] * 20_000, list(range(20_000)), 1))
+        assert set(drawn) <= set(mass) and any(b"  " in s for s in drawn)
+        for s, m in mass.items():
+            share = m / sum(mass.values())
+            assert abs(drawn[s] / 20_000 - share) < 5 * math.sqrt(share * (1 - share) / 20_000) + 1e-4
+    spaces = [b" " * n for n in range(2, 17) if b" " * n in ids]
+    drawn = {p.spelled[i] for x in pieces.sample_batch(p, [b.decode() for b in spaces] * 2000, list(range(2000 * len(spaces))), 1) for i in x}
+    assert len(spaces) == 14
+    assert set(spaces) <= drawn
+
+
 def toxic_table(spark, n=400):
     rng = np.random.default_rng(9)
     docs, labels = [], []
