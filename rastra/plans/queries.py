@@ -432,7 +432,7 @@ def marginal_pass(spark, sf_dir):
     click = event_cells(spark, sf_dir).where("layer = 'click'").select("row", "col", "value")
     credit = stencil.kernel_sum(click, EVENT_GRID).withColumnRenamed("value", "credit")
     cells = click.join(credit, ["row", "col"]).withColumn("fold", (F.col("row") / 180).cast("int") * 4 + (F.col("col") / 64).cast("int"))
-    return allocate.marginal_pass(cells, "fold", 120.0, patience=5)
+    return allocate.marginal_pass(cells, "fold", 120.0, patience=100_000)  # more than the cells of a fold: all are visited
 
 
 # --- vector, split, tensor ---

@@ -157,6 +157,23 @@ def test_marginal_pass_accepts_only_gains(spark):
     assert got(out, "row", "col") == [(10, 5), (10, 15), (10, 25)]
 
 
+def test_registered_marginal_pass_goes_on_after_a_run_of_rejections(spark, monkeypatch):
+    from rastra.plans import queries
+
+    block = [(r, c, 0.9) for r in range(10, 16) for c in range(10, 16)]
+    ring = [(r, c, 0.0) for i in range(11, 15) for r, c in ((8, i), (17, i), (i, 8), (i, 17))]  # all credit from the block
+    rows = [("click", *x) for x in [*block, *ring, (40, 40, 0.6)]]
+    cells = spark.createDataFrame(rows, "layer string, row int, col int, value double")
+    monkeypatch.setattr(queries, "event_cells", lambda *_: cells)
+    used = {}
+    real = allocate.marginal_pass
+    monkeypatch.setattr(allocate, "marginal_pass", lambda c, *a, **k: used.update(cells=c) or real(c, *a, **k))
+    whole = got(queries.marginal_pass(spark, ""), "row", "col")
+    assert whole == [(r, c) for r, c, _ in block] + [(40, 40)]
+    assert (40, 40) not in got(real(used["cells"], "fold", 120.0, patience=5), "row", "col")
+    assert set(got(real(used["cells"], "fold", 120.0), "row", "col")) <= set(whole)
+
+
 def test_rasterise_and_sense(spark):
     rows = [(1, 0, 0.0, 0.0, 3.0, 0.0, "RL"), (2, 1, 3.0, 0.0, 3.0, 3.0, "LL"), (3, 2, 1.0, 0.0, 1.0, 0.0, None)]
     traces = spark.createDataFrame(rows, "record_id int, row_no int, x0 double, y0 double, x1 double, y1 double, sense string")
