@@ -7,7 +7,8 @@ of level 0. As soon as a level has `fanout` runs they are compacted into one run
 number of runs that grows with the logarithm of the batches.
 
 A line survives where its document owns its key, so the way back to the documents needs one row for each distinct key,
-sent to its owner; occurrences of a common line are never brought together.
+sent to its owner; occurrences of a common line are never brought together. Only rows without a doc_id, one owner together,
+look their lines up one by one.
 """
 
 from __future__ import annotations
@@ -71,23 +72,32 @@ class LineRuns:
         return self._all(self.tables())
 
 
-def _doc_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    keys = docs.select("_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("_id", line_key(F.col("line")).alias("k"))
-    return keys.where(F.length("k") >= min_chars).select(F.xxhash64("k").alias("h1"), F.hash("k").alias("h2"), F.col("_id").alias("id"))
+def _doc_lines(docs: DataFrame, min_chars: int, id_col: str = "_id") -> DataFrame:
+    keys = docs.select(id_col, F.explode(F.split("text", "\n", -1)).alias("line")).select(id_col, line_key(F.col("line")).alias("k"))
+    return keys.where(F.length("k") >= min_chars).select(F.xxhash64("k").alias("h1"), F.hash("k").alias("h2"), F.col(id_col).alias("id"))
 
 
 def owned_lines(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> DataFrame:
-    """_id and _cells: the hashes of the keys that document owns, as sqrt(n)-sized cells so that a lookup stays short."""
+    """_id, _part and _cells: the hashes of the keys that document owns, as sqrt(n)-sized cells so that a lookup stays short.
+
+    The rows without a doc_id own their keys together, but can be any number: there _part is the hash of a row's text, and
+    _cells has only the owned keys that text has. (If two texts' hashes are equal, each finds its own keys among both's.)
+    """
     bounds = docs.select(F.percentile_approx("_id", [i / batches for i in range(1, batches)], 10000)).first()[0] or []
     batch = sum((F.when(F.col("id") > b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0))
     lines = stage_table(_doc_lines(docs, min_chars).withColumn("batch", batch), "lines", ("batch",))
     runs = LineRuns(docs.sparkSession, fanout)
     for b in range(len(set(bounds)) + 1):
         runs.add(lines.where(F.col("batch") == b).select("h1", "h2", "id"))
-    owned = runs.owners().groupBy(F.col("owner").alias("_id")).agg(F.collect_list("h1").alias("_h"))
+    owners = runs.owners()
+    owned = owners.where(F.col("owner") < _LAST).select(F.col("owner").alias("_id"), F.lit(0).cast("long").alias("_part"), "h1")
+    last = _doc_lines(docs.where(F.col("doc_id").isNull() | (F.col("doc_id") == _LAST)), min_chars, "_part").distinct()
+    last = last.join(owners.where(F.col("owner") == _LAST).select(*_KEY).hint("merge"), _KEY, "left_semi")
+    owned = owned.unionByName(last.select(F.lit(_LAST).alias("_id"), F.col("id").alias("_part"), "h1"))
+    owned = owned.groupBy("_id", "_part").agg(F.collect_list("h1").alias("_h"))
     owned = owned.withColumn("_n", F.ceil(F.sqrt(F.size("_h") / F.lit(64))).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda b: F.filter("_h", lambda h: F.pmod(h, F.col("_n").cast("long")) == b))
-    return owned.select("_id", cells.alias("_cells"))
+    return owned.select("_id", "_part", cells.alias("_cells"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
@@ -98,8 +108,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     doc_id are one document; rows without a doc_id are one document after all others. An empty table gives no rows.
     """
     docs = boxed(docs, id_col, text_col).withColumn("_id", F.coalesce("doc_id", F.lit(_LAST)))
-    owned = owned_lines(docs.select("_id", "text"), min_chars, batches, fanout)
-    joined = docs.join(owned, "_id", "left").withColumn("lines", F.split("text", "\n", -1))
+    docs = docs.withColumn("_part", F.when(F.col("_id") == _LAST, F.xxhash64("text")).otherwise(0))
+    owned = owned_lines(docs.select("_id", "_part", "doc_id", "text"), min_chars, batches, fanout)
+    joined = docs.join(owned, ["_id", "_part"], "left").withColumn("lines", F.split("text", "\n", -1))
 
     def owns(h: Column) -> Column:
         return F.array_contains(F.element_at("_cells", (F.pmod(h, F.size("_cells").cast("long")) + 1).cast("int")), h)

@@ -112,6 +112,19 @@ def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.without_repeated_lines(no_docs(spark)).count() == 0
 
 
+def test_line_dedup_gathers_a_texts_lines_at_most_for_rows_without_an_id(spark, monkeypatch):
+    rows = [(i, f"a shared line of text\nown line number {i}") for i in range(5)]
+    rows += [(None, "\n".join([f"unnamed line {i} {k}" for k in range(8)] + ["a shared line of text", "  Common without AN id", "short"])) for i in range(40)]
+    rows += [(None, None), (None, rows[-1][1])]
+    gathered, real = [], line_dedup.owned_lines
+    monkeypatch.setattr(line_dedup, "owned_lines", lambda *a: gathered.append(real(*a)) or gathered[0])
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(0, rows[0][1])] + [(i, f"own line number {i}") for i in range(1, 5)]
+    want += [(None, (t or "").replace("a shared line of text\n", "")) for _, t in rows[5:]]
+    assert sorted((r.doc_id is None, r.doc_id or 0, "\n".join(r.kept)) for r in out.collect()) == sorted((i is None, i or 0, t) for i, t in want)
+    assert max(sum(map(len, r._cells)) for r in gathered[0].collect()) == 9
+
+
 def brute_components(rows, k, percent=80):
     sets = {}
     for i, t in rows:
