@@ -310,12 +310,20 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """docs, same columns, with one document of each component (the smallest doc_id); of rows that share that doc_id the one
-    of the least text stays. Rows without a doc_id all stay."""
-    kept = near_duplicates(docs, plan).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = boxed(docs).where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    first = named.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_at = 1")
-    return unboxed(first, docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs, same columns, with one row of each component: of the smallest doc_id, and in this of the least text.
+
+    Rows that share a doc_id are rows of their own here: one is dropped only if its text is linked to a kept one. Rows
+    without words or without a doc_id all stay.
+    """
+    named, unnamed = boxed(docs).where("doc_id is not null"), docs.where(F.col("doc_id").isNull())
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = near_duplicates(docs, plan).where("kept and doc_id is not null").select("doc_id")
+        return unboxed(named.join(kept, "doc_id", "left_semi"), docs.columns).unionByName(unnamed)
+    named = stage_table(named.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(named.select(F.col("_at").alias("doc_id"), "text"), plan)
+    found = named.join(found.select(F.col("doc_id").alias("_at"), "component_id"), "_at")
+    kept = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text", "_at")).alias("_first")).select(F.col("_first._at").alias("_at"))
+    return unboxed(named.join(kept, "_at", "left_semi"), docs.columns).unionByName(unnamed)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

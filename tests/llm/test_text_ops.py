@@ -166,6 +166,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dedup.near_duplicates(no_docs(spark)).count() == 0
 
 
+def test_unlike_texts_under_one_id_all_stay(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
+    rows = [(7, None), (7, text["a"]), (7, text["b"]), (7, text["b"]), (5, text["c"]), (5, text["a"]), (9, text["b"]), (9, text["d"]), (3, "")]
+    kept = near_dedup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(3, ""), (5, text["a"]), (5, text["c"]), (7, None), (7, text["b"]), (9, text["d"])]
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((i, t or "") for i, t in want)
+    assert near_dedup.keep_one_of_each(no_docs(spark)).count() == 0
+
+
 def test_chunk_keys_keep_the_pigeonhole_guarantee(spark):
     plan = near_dedup.Plan()
     rng = np.random.default_rng(1)
