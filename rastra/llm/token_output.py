@@ -136,4 +136,5 @@ def unpack(sequences: DataFrame) -> DataFrame:
 
 
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The packed sequences as rows of the id matrix: padded to 1024 entries, n_tokens of them real."""
+    return id_matrix(packed_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -386,6 +386,13 @@ def test_packed_sequences_round_trip(spark, tmp_path):
     assert token_output.packed_sequences(no_docs(spark)).count() == 0
 
 
+def test_registered_packing_returns_matrix_rows(spark, tmp_path):
+    odd_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = token_output.op4_token_binary(spark, str(tmp_path)).collect()
+    assert {(len(r.input_ids), len(r.position_ids)) for r in rows} == {(4096, 2048)}
+    assert all(0 < r.n_tokens == r.cu_seqlens[-1] <= 1024 for r in rows) and any(r.n_tokens < 1024 for r in rows)
+
+
 def test_sampled_pieces_decode_and_repeat(spark):
     docs = odd_docs(spark)
     first = {(r.doc_id, i): bytes(r.ids) for i, r in enumerate(pieces.encode_sampled(docs).collect())}
