@@ -78,29 +78,36 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
     return F.coalesce(row * step + below(F.coalesce(F.get(F.array(*[literal(r) for r in rows]), row), literal([]))), F.lit(0))
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
+def neighbours(docs: DataFrame, rows_each: int = 20_000) -> DataFrame:
     """_bucket, _rn, _edge, doc_id, text, next_text: the text of the next document in descending doc_id, cyclic.
 
-    Documents are dealt by ranges of doc_id; each range also gets a copy of the last document of the range below it
-    (_edge), so no window spans the table. Equal ids are ordered by their text's hash; rows without doc_id come after
-    all others; a document alone is its own next.
+    Documents are dealt by ranges of doc_id of about rows_each rows; each range also gets a copy of the last document of the
+    range below it (_edge), so no window spans the table. Equal ids are ordered by their text's hash; rows without doc_id
+    come after all others and are dealt by ranges of that hash; a document alone is its own next.
     """
     spark = docs.sparkSession
-    parts = 8 * shuffle_width(spark)
-    bounds = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    docs = docs.withColumn("_bucket", _bucket(F.col("doc_id"), sorted(set(bounds))))
-    last = sorted((r[0], r[1]) for r in docs.groupBy("_bucket").agg(F.max("doc_id")).collect() if r[1] is not None)  # <= parts rows
-    edges = spark.createDataFrame([(i, last[(k + 1) % len(last)][0]) for k, (_, i) in enumerate(last)], "_last long, _to int")
-    edges = docs.join(F.broadcast(edges), F.col("doc_id") == F.col("_last")).select("doc_id", "text", F.col("_to").alias("_bucket"), F.lit(0).alias("_order"))
-    both = docs.select("doc_id", "text", "_bucket", F.lit(1).alias("_order")).unionByName(edges)
-    w = Window.partitionBy("_bucket").orderBy("_order", "doc_id", F.xxhash64("text"))
+    size, unnamed = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    parts, own = max(shuffle_width(spark), size // rows_each), 1 + unnamed // rows_each
+    bounds = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
+    spot = F.floor((F.col("_k2") / F.lit(2.0**64) + 0.5) * own).cast("int")  # 0 to own: ranges of the hash
+    docs = docs.withColumns({"_k1": F.coalesce("doc_id", F.lit(-(1 << 63))), "_k2": F.xxhash64("text")})
+    docs = docs.withColumn("_bucket", F.when(F.col("doc_id").isNull(), spot - (own + 1)).otherwise(_bucket(F.col("doc_id"), sorted(set(bounds or [])))))
+    found = docs.groupBy("_bucket").agg(F.max(F.struct("_k1", "_k2")).alias("m")).collect()  # a row for each range
+    last = sorted((r["_bucket"], *r["m"]) for r in found)
+    edges = spark.createDataFrame([(k1, k2, last[(k + 1) % len(last)][0]) for k, (_, k1, k2) in enumerate(last)], "_k1 long, _k2 long, _to int")
+    # a number of rows of three numbers
+    edges = docs.join(F.broadcast(edges), ["_k1", "_k2"]).groupBy("_to").agg(F.max(F.struct("doc_id", "text", "_k2")).alias("m"))
+    edges = edges.select("m.doc_id", "m.text", "m._k2", F.col("_to").alias("_bucket"), F.lit(0).alias("_order"))
+    both = docs.select("doc_id", "text", "_k2", "_bucket", F.lit(1).alias("_order")).unionByName(edges)
+    w = Window.partitionBy("_bucket").orderBy("_order", "doc_id", "_k2")
     return both.select("_bucket", F.row_number().over(w).alias("_rn"), (F.col("_order") == 0).alias("_edge"), "doc_id", "text", F.coalesce(F.lag("text").over(w), "text").alias("next_text"))
 
 
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Per row of docs: its fingerprint, that of its edited text, and how alike these and the next document's are.
 
-    Null texts are empty; texts without words share one fingerprint of zeros. An empty table gives no rows.
+    Null texts are empty; texts without words share one fingerprint of zeros; very long texts are read whole. Repeated rows
+    are documents of their own, next to each other. An empty table gives no rows; other columns of docs don't matter.
     """
     rows = neighbours(doc_rows(docs))
     n = F.length("text")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastra.llm.common import SPACE_CHARS, ascii_lower, boxed, shuffle_width, with_text
-from rastra.storage import stage_table
+from rastra.storage import drop_staged, new_path, remove_path, stage_table
 
 _KEY = ["h1", "h2"]
 _LAST = (1 << 63) - 1
@@ -30,20 +30,32 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levels of sorted runs; add(batch) must get batches in ascending order of their documents."""
+    """The levels of sorted runs; add(batch) must get batches in ascending order of their documents. Runs are bucketed tables
+    with a path of their own in the shared folder; drop() when nothing reads them any more."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3, buckets: int | None = None):
         self.spark, self.fanout, self.buckets = spark, fanout, buckets or shuffle_width(spark)
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def tables(self) -> list[str]:
         return [t for level in reversed(self.levels) for t in level]
 
     def _write(self, keys: DataFrame) -> str:
         name = f"rastra_run_{uuid.uuid4().hex}"
-        keys.write.format("parquet").bucketBy(self.buckets, *_KEY).sortBy(*_KEY).saveAsTable(name)
+        self.paths[name] = new_path(self.spark, "run")
+        keys.write.format("parquet").option("path", self.paths[name]).bucketBy(self.buckets, *_KEY).sortBy(*_KEY).saveAsTable(name)
         return name
 
+    def _forget(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE {table}")
+        remove_path(self.spark, self.paths.pop(table))
+
+    def drop(self) -> None:
+        for table in self.tables():
+            self._forget(table)
+        self.levels = []
+
     def add(self, lines: DataFrame) -> None:
         """lines: h1, h2, id. Keys that no run has become a new run."""
         fresh = lines.groupBy(*_KEY).agg(F.min("id").alias("owner"))
@@ -59,7 +71,7 @@ class LineRuns:
             merged, self.levels[level] = self.levels[level], []
             run, level = self._write(self._all(merged).repartition(self.buckets, *_KEY)), level + 1
             for table in merged:
-                self.spark.sql(f"DROP TABLE {table}")
+                self._forget(table)
 
     def _all(self, tables: list[str]) -> DataFrame:
         out = self.spark.table(tables[0])
@@ -97,7 +109,10 @@ def owned_lines(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> D
     owned = owned.groupBy("_id", "_part").agg(F.collect_list("h1").alias("_h"))
     owned = owned.withColumn("_n", F.ceil(F.sqrt(F.size("_h") / F.lit(64))).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda b: F.filter("_h", lambda h: F.pmod(h, F.col("_n").cast("long")) == b))
-    return owned.select("_id", "_part", cells.alias("_cells"))
+    owned = stage_table(owned.select("_id", "_part", cells.alias("_cells")), "owned")
+    runs.drop()
+    drop_staged(lines)
+    return owned
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
@@ -105,7 +120,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document only.
 
     Null and empty texts are one empty line. All lines with the same key in the owning document stay. Rows that repeat a
-    doc_id are one document; rows without a doc_id are one document after all others. An empty table gives no rows.
+    doc_id are one document; rows without a doc_id are one document after all others. Very long texts are split whole. An
+    empty table gives no rows.
     """
     docs = boxed(docs, id_col, text_col).withColumn("_id", F.coalesce("doc_id", F.lit(_LAST)))
     docs = docs.withColumn("_part", F.when(F.col("_id") == _LAST, F.xxhash64("text")).otherwise(0))
@@ -124,7 +140,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs, same columns, with text's repeated lines dropped; a document stays even if no line does."""
+    """docs, same columns, with text's repeated lines dropped; a document stays even if no line does. Nulls, repeated rows,
+    rows without a doc_id and empty tables as in drop_repeated_lines; a text that loses nothing is left as it is, null too."""
     out = drop_repeated_lines(docs)
     return with_text(out, docs, F.when(F.size("kept") == F.size("lines"), F.col("row.text")).otherwise(F.array_join("kept", "\n")))
 

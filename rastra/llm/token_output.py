@@ -1,32 +1,33 @@
 """Token ids packed into training sequences by best-fit decreasing, and written as binary columns.
 
-Documents are tokenized where they are read, and each task packs the documents of its own input split in blocks of about
-`block_tokens` tokens: no token is shuffled, a lost task repeats on its own split, and every block but for its last few
-sequences is full. A segment tree over the open sequences' capacities finds the fullest one that still fits a piece.
+Documents are tokenized where they are read. Best-fit decreasing runs over the histogram of all pieces' lengths, the only
+thing that reaches the driver: a segment tree over the open sequences' capacities finds the fullest ones that still fit a
+length, and as many pieces of that length are placed at once as they take. The plan (a small table) gives every piece its
+sequence and offset by its rank within its length, and one shuffle brings a sequence's ids together. So the packing is that
+of the whole corpus, and the same however the input is split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastra.llm.common import doc_rows
-from rastra.llm.tokens import VOCABULARY, cut, encoder
+from rastra.llm.packing import pack_pieces, token_pieces
+from rastra.llm.tokens import VOCABULARY
+from rastra.storage import stage_table
 
-PACKED = "n_tokens int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<bigint>, starts array<bigint>"
+PACKED = ["n_tokens", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "starts"]
 
 
 class CapacityTree:
-    """How many open bins have each free capacity, as a segment tree of counts: O(log capacity) for add and best fit."""
+    """Which free capacities open bins have, as a segment tree: O(log capacity) for a change and for a best fit. Bins of equal
+    layout are one group: (number, first sequence, tokens in each)."""
 
     def __init__(self, capacity: int):
         self.size = 1 << capacity.bit_length()
         self.count = [0] * (2 * self.size)
-        self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.groups: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
 
     def _change(self, free: int, by: int) -> None:
         node = self.size + free
@@ -34,12 +35,12 @@ class CapacityTree:
             self.count[node] += by
             node >>= 1
 
-    def put(self, free: int, which: int) -> None:
-        self.bins[free].append(which)
+    def put(self, free: int, number: int, first: int) -> None:
+        self.groups[free].append((number, first))
         self._change(free, 1)
 
-    def best_fit(self, need: int) -> tuple[int, int] | None:
-        """(free, bin) of least free capacity >= need, which is taken out; None if no bin has it."""
+    def best_fit(self, need: int) -> tuple[int, int, int] | None:
+        """(free, number, first) of a group of least free capacity >= need, which is taken out; None if there is none."""
         node = self.size + need
         if not self.count[node]:
             while node > 1 and (node & 1 or not self.count[node + 1]):  # up until a right sibling has bins
@@ -51,67 +52,61 @@ class CapacityTree:
                 node = 2 * node if self.count[2 * node] else 2 * node + 1
         free = node - self.size
         self._change(free, -1)
-        return free, self.bins[free].pop()
-
-
-def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of indices into lengths; ties go to the earlier index."""
-    tree, bins = CapacityTree(capacity), []
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        fit = tree.best_fit(lengths[i])
-        free, which = fit or (capacity, len(bins))
-        if fit is None:
-            bins.append([])
-        bins[which].append(i)
-        if free > lengths[i]:
-            tree.put(free - lengths[i], which)
-    return bins
-
-
-def packed_sequences(docs: DataFrame, capacity: int = 1024, end_id: int = 50256, vocabulary: str = VOCABULARY, block_tokens: int = 4_000_000) -> DataFrame:
-    """Rows of at most capacity tokens: PACKED and sequence_id.
+        return free, *self.groups[free].pop()
+
+
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """PATTERNS rows. Pieces of one length fill a bin as long as they fit it, as they would one by one, since a bin that has
+    just got one is the fullest that fits the next."""
+    tree, rows, sequences = CapacityTree(capacity), [], 0
+    for length in sorted((x for x, n in counts.items() if n > 0), reverse=True):
+        placed, left = 0, counts[length]
+        while left:
+            fit = tree.best_fit(length)
+            if fit is None:
+                each = capacity // length
+                fit = capacity, -(-left // each), sequences
+                sequences += fit[1]
+            free, number, first = fit
+            each = free // length
+            whole = min(number, left // each)
+            for bins, m in ((whole, each), (int(whole < number and left > whole * each), left - whole * each)):
+                if bins:
+                    rows.append((length, placed, placed + bins * m, first, m, capacity - free))
+                    if free > m * length:
+                        tree.put(free - m * length, bins, first)
+                    placed, left, number, first = placed + bins * m, left - bins * m, number - bins, first + bins
+            if number:
+                tree.put(free, number, first)
+    return rows
+
+
+def packed_sequences(docs: DataFrame, capacity: int = 1024, end_id: int = 50256, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Rows of at most capacity tokens: sequence_id and PACKED.
 
     input_ids and position_ids are little-endian uint32 and uint16, one row of the id matrix each (unpadded); position_ids
     restart at 0 with every segment, cu_seqlens has the segments' bounds from 0 to n_tokens, and doc_ids and starts tell
     where each segment comes from. Every document ends with end_id; overlong ones are cut without loss. Null and empty
-    texts are one end_id; repeated rows are documents of their own; an empty table gives no rows.
+    texts are one end_id; repeated rows are documents of their own; an empty table gives no rows; other columns of docs
+    don't matter.
     """
     if capacity > 1 << 16:
         raise ValueError("position_ids are uint16: capacity is at most 65536")
-
-    def block(pieces: list[tuple[int | None, int, np.ndarray]]) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(6)]
-        for members in best_fit_decreasing([len(p[2]) for p in pieces], capacity):
-            parts = [pieces[i] for i in members]
-            bounds = np.cumsum([0, *(len(p[2]) for p in parts)])
-            row = (
-                int(bounds[-1]),
-                b"".join(p[2].tobytes() for p in parts),
-                bounds.tolist(),
-                np.concatenate([np.arange(len(p[2]), dtype="<u2") for p in parts]).tobytes(),
-                [p[0] for p in parts],
-                [p[1] for p in parts],
-            )
-            for column, value in zip(out, row):
-                column.append(value)
-        kinds = [pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["n_tokens", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "starts"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary), np.array([end_id], "<u4")
-        pieces, held = [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([encode(text.as_py()), end])
-                pieces += [(doc, start, ids[start : start + n]) for start, n in cut(len(ids), capacity)]
-                held += len(ids)
-                if held >= block_tokens:
-                    yield block(pieces)
-                    pieces, held = [], 0
-        if pieces:
-            yield block(pieces)
-
-    return doc_rows(docs).mapInArrow(run, PACKED).withColumn("sequence_id", F.monotonically_increasing_id())
+    pieces = stage_table(token_pieces(docs, capacity, end_id, vocabulary, with_ids=True), "pieces")
+    placed = pack_pieces(pieces, capacity, planner=best_fit_decreasing)
+    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "start", "ids")))  # at most `capacity` tokens
+    rows = placed.groupBy("sequence_id").agg(parts.alias("_p"))
+    count_up = F.unhex(F.lit(np.arange(capacity, dtype="<u2").tobytes().hex()))
+    joined = lambda part: F.aggregate("_p", F.lit(b""), lambda acc, p: F.concat(acc, part(p)))
+    return rows.select(
+        "sequence_id",
+        F.aggregate("_p", F.lit(0).cast("long"), lambda acc, p: acc + p["length"]).cast("int").alias("n_tokens"),
+        joined(lambda p: p["ids"]).alias("input_ids"),
+        F.concat(F.transform("_p", lambda p: p["offset"].cast("int")), F.array(F.aggregate("_p", F.lit(0).cast("long"), lambda acc, p: acc + p["length"]).cast("int"))).alias("cu_seqlens"),
+        joined(lambda p: F.substr(count_up, F.lit(1), (p["length"] * 2).cast("int"))).alias("position_ids"),
+        F.col("_p.doc_id").alias("doc_ids"),
+        F.col("_p.start").alias("starts"),
+    )
 
 
 def id_matrix(sequences: DataFrame, capacity: int = 1024, pad_id: int = 50256) -> DataFrame:

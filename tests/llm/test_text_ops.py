@@ -360,9 +360,32 @@ def test_capacity_tree_is_best_fit_decreasing():
             free.append(64)
         bins[b].append(i)
         free[b] -= lengths[i]
-    got = token_output.best_fit_decreasing(lengths, 64)
-    assert sorted(i for b in got for i in b) == list(range(300)) and len(got) == len(bins)
-    assert all(sum(lengths[i] for i in b) <= 64 for b in got)
+    rows = token_output.best_fit_decreasing(Counter(lengths), 64)
+    got = defaultdict(dict)  # sequence -> offset -> length
+    seen = Counter()
+    for length, a, z, first, each, offset in rows:
+        seen[length] += z - a
+        for rank in range(z - a):
+            got[first + rank // each][offset + rank % each * length] = length
+    assert seen == Counter(lengths) and len(got) == len(bins)
+    for places in got.values():
+        at = 0
+        for offset, length in sorted(places.items()):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
+def test_packings_need_few_sequences():
+    """Minimum bin slack needs no more sequences than best-fit decreasing, and about as few as the tokens fill."""
+    rng = np.random.default_rng(11)
+    for n, spread in ((60, 5.0), (900, 5.5), (9000, 5.8), (500, 6.2)):
+        counts = Counter(np.clip(rng.lognormal(spread, 0.8, n), 1, 1024).astype(int).tolist())
+        tokens = sum(k * v for k, v in counts.items())
+        least = max(-(-tokens // 1024), sum(v for k, v in counts.items() if k > 512))
+        slack = sum(r for r, _ in packing.minimum_bin_slack(counts, 1024))
+        decreasing = max(r[3] + (r[2] - r[1]) // r[4] for r in token_output.best_fit_decreasing(counts, 1024))
+        assert least <= slack <= decreasing and slack <= least * 1.01 + 1
 
 
 def test_packed_sequences_round_trip(spark, tmp_path):
