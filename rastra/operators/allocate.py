@@ -68,39 +68,69 @@ def budget_curve(ranked: DataFrame, budgets: list[int]) -> DataFrame:
     return out.groupBy("budget").agg(F.count("*").alias("n"), F.sum("value").alias("mass"))
 
 
-def marginal_pass(cells: DataFrame, fold: str, n_truth: float, patience: int = 0, cap: int = 100_000) -> DataFrame:
+def marginal_pass(cells: DataFrame, fold: str, n_truth: float, patience: int = 0, cap: int | None = None, floor: float = 0.0) -> DataFrame:
     """fold, row, col, rank: per fold, cells by descending expected credit are accepted while they raise the expected index.
 
-    cells: fold, row, col, value (probability) and credit (its kernel sum). Acceptance depends on all dots before it, so a
-    fold is one group; a fold is a grid of fixed size and `cap` is the budget of dots. With patience > 0 the pass goes on
-    until so many rejections in a row.
+    cells: fold, row, col, value (probability, 0 where there is credit alone) and credit (its kernel sum); cells of less credit
+    than floor are no candidates. Acceptance depends on all dots before it, so a fold is one group of a grid of fixed size;
+    `cap` is the budget of dots, if there is one. Without patience the first rejection after the first dot ends the pass, else
+    so many in a row.
     """
     offs = kernel_offsets()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf[fold].iloc[0]
         pdf = pdf.sort_values(["credit", "row", "col"], ascending=[False, True, True], kind="stable")
         p = {(r, c): v for r, c, v in zip(pdf["row"], pdf["col"], pdf["value"])}
         covered: dict[tuple[int, int], float] = {}
         t = m = 0.0
         out, misses = [], 0
+        pdf = pdf[pdf["credit"] >= floor]
         for r, c, own in zip(pdf["row"], pdf["col"], pdf["credit"]):
             gain = sum(p.get((r + a, c + b), 0.0) * max(0.0, k - covered.get((r + a, c + b), 0.0)) for a, b, k in offs)
             own = min(1.0, own)
             before = t / (ALPHA * (t + len(out) - m) + BETA * n_truth + 1e-12)
             after = (t + gain) / (ALPHA * (t + gain + len(out) + 1 - m - own) + BETA * n_truth + 1e-12)
-            if after <= before:
-                misses += 1
-                if misses > patience:
+            if (gain <= 0.0) if not out else (after <= before):
+                misses += bool(out)
+                if misses >= max(1, patience):
                     break
                 continue
             misses, t, m = 0, t + gain, m + own
             for a, b, k in offs:
                 covered[(r + a, c + b)] = max(k, covered.get((r + a, c + b), 0.0))
             out.append((r, c))
-            if len(out) >= cap:
+            if cap is not None and len(out) >= cap:
                 break
         rows = np.array(out, dtype="int64").reshape(-1, 2)
-        return pd.DataFrame({fold: pdf[fold].iloc[0], "row": rows[:, 0], "col": rows[:, 1], "rank": np.arange(1, len(rows) + 1)})
+        return pd.DataFrame({fold: name, "row": rows[:, 0], "col": rows[:, 1], "rank": np.arange(1, len(rows) + 1)})
 
     kind = cells.schema[fold].dataType.simpleString()
     return cells.select(fold, "row", "col", "value", "credit").groupBy(fold).applyInPandas(run, f"{fold} {kind}, row int, col int, rank int")
+
+
+def spaced(cells: DataFrame, gap: float) -> DataFrame:
+    """row, col, value: cells by falling value (ties row by row), none within a closed radius of one chosen before.
+
+    Rounds over the whole layer at once: a cell is chosen when no open cell within the radius comes before it, and its
+    neighbours close; the result is that of one cell after the other.
+    """
+    from rastra.operators.stencil import disk_offsets, spread
+    from rastra.storage import stage_table
+
+    open_ = stage_table(cells.select("row", "col", "value"), "open")
+    around = [o for o in disk_offsets(gap) if o != (0, 0)]
+    order = F.struct(F.col("value"), (-F.col("row")).alias("r"), (-F.col("col")).alias("c"))
+    chosen = open_.limit(0)
+    while not open_.isEmpty():
+        best = spread(open_.withColumn("_o", order).select("row", "col", "_o"), around).groupBy("row", "col").agg(F.max("_o").alias("_o"))
+        tops = stage_table(open_.join(best, ["row", "col"], "left").where(F.col("_o").isNull() | (F.col("_o") < order)).drop("_o"), "tops")
+        chosen = chosen.unionByName(tops)
+        taken = spread(tops.select("row", "col"), disk_offsets(gap)).select("row", "col").distinct()
+        open_ = stage_table(open_.join(taken, ["row", "col"], "left_anti"), "open")
+    return chosen
+
+
+def candidates(cells: DataFrame, floor: float, cap: int, value: str = "credit") -> DataFrame:
+    """The cells of at least `floor`, the cap best of them: the budget of a pass."""
+    return top_cells(cells.where(F.col(value) >= floor), cap, value)

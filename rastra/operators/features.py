@@ -6,35 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastra.grid import GridSpec
-from rastra.operators import components, nearest, stencil, vector
-from rastra.operators.stats import bin_of
+from rastra.operators import components, nearest, stencil, tensor
 
-#: The geometry columns, in order.
+#: The geometry columns, in order.
 GEOMETRY = ["d", "d_perp", "d_par_abs", "side", "log_len", "sin2", "cos2", "coherence", "density", "sin2d", "cos2d"]
+#: The columns that records of slip sense add (2 is right-lateral, 3 left-lateral).
+SENSE = ["sense_sgn", "sense_side"]
 
 
-def geometry(cells: DataFrame, mask: DataFrame, grid: GridSpec) -> DataFrame:
-    """row, col and GEOMETRY: offsets to the nearest mask cell in its component's frame, the component's length and strike,
-    the share of its variance along the strike, and the mask's density around the cell."""
-    labelled = components.label8(mask, grid)
-    stats = labelled.groupBy("comp_id").agg(F.var_pop("row").alias("_rr"), F.var_pop("col").alias("_cc"), F.covar_pop("row", "col").alias("_rc"))
-    spin = F.sqrt((F.col("_rr") - F.col("_cc")) ** 2 + 4 * F.col("_rc") ** 2)
-    size = F.col("_rr") + F.col("_cc")
-    table = components.segment_table(labelled).join(stats, "comp_id").select("comp_id", "n", F.coalesce("strike_deg", F.lit(0.0)).alias("strike_deg"), F.when(size > 0, spin / size).otherwise(0.0).alias("coherence"))
+def geometry(cells: DataFrame, mask: DataFrame, grid: GridSpec, sense: DataFrame | None = None) -> DataFrame:
+    """row, col and GEOMETRY of cells: the offset to the nearest mask cell in the frame of the strike there, the size of that
+    cell's component, strike (as a doubled angle) and coherence of the structure tensor there, the mask's density around the
+    cell, and the strike's sine and cosine times the distance. With sense (row, col, code) also SENSE: the code of a mask cell
+    within one cell of the nearest one, with and without the side."""
+    anchors = components.label8(mask, grid).join(tensor.local_strike(mask, grid), ["row", "col"])
+    sizes = anchors.groupBy("comp_id").agg(F.count("*").alias("_len"))
+    anchors = anchors.join(sizes, "comp_id").select(F.col("row").alias("near_row"), F.col("col").alias("near_col"), "_len", "strike_deg", "coherence")
+    if sense is None:
+        anchors = anchors.withColumn("_code", F.lit(0))
+    else:
+        coded = sense.join(mask.select("row", "col").distinct(), ["row", "col"], "left_semi").where("code > 0")
+        at = anchors.select(F.col("near_row").alias("row"), F.col("near_col").alias("col"))
+        near = nearest.nearest_within(at, coded, 1.0).join(coded.select(F.col("row").alias("near_row"), F.col("col").alias("near_col"), F.col("code").alias("_code")), ["near_row", "near_col"])
+        anchors = anchors.join(near.select(F.col("row").alias("near_row"), F.col("col").alias("near_col"), "_code"), ["near_row", "near_col"], "left")
     near = nearest.distance_transform(mask, grid).join(cells.select("row", "col"), ["row", "col"])
-    at = labelled.withColumnsRenamed({"row": "near_row", "col": "near_col"}).join(table, "comp_id")
-    framed = nearest.offset_frame(near.join(at, ["near_row", "near_col"]))
-    density = stencil.disc_density(mask, grid)
-    out = framed.join(density.withColumnRenamed("n", "_dens"), ["row", "col"], "left")
-    twice = F.radians(2 * F.col("strike_deg"))
-    ray = vector.azimuth(F.col("row") - F.col("near_row"), F.col("col") - F.col("near_col"))
-    relative = F.radians(2 * (ray - F.col("strike_deg")))
-    away = F.col("d2") > 0
+    framed = nearest.offset_frame(near.join(anchors, ["near_row", "near_col"]))
+    out = framed.join(stencil.disc_density(mask, grid).withColumnRenamed("n", "_dens"), ["row", "col"], "left")
+    twice, d = F.radians(2 * F.col("strike_deg")), F.sqrt(F.col("d2").cast("double"))
+    sign = F.when(F.col("_code") == 2, 1.0).when(F.col("_code") == 3, -1.0).otherwise(0.0)
+    more = [] if sense is None else [sign.alias("sense_sgn"), (sign * F.col("side")).alias("sense_side")]
     return out.select(
-        "row", "col", F.sqrt(F.col("d2").cast("double")).alias("d"), "d_perp", F.abs("d_par").alias("d_par_abs"), "side",
-        F.log1p(F.col("n")).alias("log_len"), F.sin(twice).alias("sin2"), F.cos(twice).alias("cos2"), "coherence",
-        F.coalesce("_dens", F.lit(0)).alias("density"),
-        F.when(away, F.sin(relative)).otherwise(0.0).alias("sin2d"), F.when(away, F.cos(relative)).otherwise(1.0).alias("cos2d"),
+        "row", "col", d.alias("d"), "d_perp", F.abs("d_par").alias("d_par_abs"), "side", F.log1p(F.col("_len")).alias("log_len"),
+        F.sin(twice).alias("sin2"), F.cos(twice).alias("cos2"), "coherence", F.coalesce("_dens", F.lit(0)).alias("density"),
+        (F.sin(twice) * d).alias("sin2d"), (F.cos(twice) * d).alias("cos2d"), *more,
     )
 
 
@@ -46,16 +50,6 @@ def relay(cells: DataFrame, mask: DataFrame, grid: GridSpec, radius: float) -> D
     return two.select("row", "col", a.alias("d1"), b.alias("d2"), F.when(a + b > 0, a / (a + b)).alias("relay_ratio"))
 
 
-def zone_table(df: DataFrame, d_edges: list[float], s_edges: list[float], distance: str = "d", strike: str = "rel", label: str = "y", least: int = 40) -> DataFrame:
-    """d_bin, s_bin, n, rate, used: the rate of each distance and strike bin, or its distance's where the bin has too few rows."""
-    binned = df.select(bin_of(F.col(distance), d_edges).alias("d_bin"), bin_of(F.col(strike), s_edges).alias("s_bin"), F.col(label).alias("y")).where("d_bin is not null and s_bin is not null")
-    cells = binned.groupBy("d_bin", "s_bin").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    pools = cells.groupBy("d_bin").agg((F.sum("p") / F.sum("n")).alias("pool"))
-    out = cells.join(pools, "d_bin")
-    enough = F.col("n") >= least
-    return out.select("d_bin", "s_bin", "n", F.when(enough, F.col("p") / F.col("n")).otherwise(F.col("pool")).alias("rate"), enough.alias("used"))
-
-
 def boosted_surface(train: DataFrame, cells: DataFrame, columns: list[str], label: str = "y", weight: str = "weight", trees: int = 20, depth: int = 5) -> DataFrame:
     """row, col, value: gradient-boosted probability, scaled so that its mean over the training rows is their base rate."""
     from pyspark.ml.classification import GBTClassifier

@@ -70,7 +70,38 @@ def two_nearest_components(cells: DataFrame, labelled: DataFrame, radius: float)
 def offset_frame(near: DataFrame, strike: str = "strike_deg") -> DataFrame:
     """near (row, col, near_row, near_col, strike) with d_par, d_perp and side relative to the nearest segment's strike."""
     dr, dc, s = F.col("row") - F.col("near_row"), F.col("col") - F.col("near_col"), F.radians(strike)
-    par, perp = dc * F.sin(s) - dr * F.cos(s), dc * F.cos(s) + dr * F.sin(s)
+    par, perp = dc * F.sin(s) - dr * F.cos(s), -(dc * F.cos(s) + dr * F.sin(s))
     return near.withColumns({"d_par": par, "d_perp": F.abs(perp), "side": F.signum(perp)})
 
 
+
+
+def spacing(dots: DataFrame, radius: float) -> DataFrame:
+    """row, col, d of the nearest other dot; null where none is within radius."""
+    around = [o for o in disk_offsets(radius) if o != (0, 0)]
+    dots = dots.select("row", "col").distinct()
+    d2 = (F.col("row") - F.col("src_row")) ** 2 + (F.col("col") - F.col("src_col")) ** 2
+    best = spread(dots, around).groupBy("row", "col").agg(F.min(F.sqrt(d2.cast("double"))).alias("d"))
+    return dots.join(best, ["row", "col"], "left")
+
+
+def nearest_other_component(labelled: DataFrame, radius: float) -> DataFrame:
+    """row, col, comp_id, d2, other: for every cell the nearest cell of another component within radius (the first in order of
+    distance, row and column); cells without one are left out."""
+    reach = spread(labelled.select("row", "col", F.col("comp_id").alias("other")), disk_offsets(radius))
+    d2 = ((F.col("row") - F.col("src_row")) ** 2 + (F.col("col") - F.col("src_col")) ** 2).cast("long")
+    met = labelled.join(reach.withColumn("d2", d2), ["row", "col"]).where("other <> comp_id")
+    best = met.groupBy("row", "col", "comp_id").agg(F.min(F.struct("d2", "src_row", "src_col", "other")).alias("m"))
+    return best.select("row", "col", "comp_id", "m.d2", F.col("m.other").alias("other"))
+
+
+def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, value: str) -> DataFrame:
+    """points with the value and squared distance d2 of the nearest centroid (key, cy, cx, value); ties to the least key.
+
+    The centroids are one for each segment of a fixed grid's table, so they are broadcast and scanned as one array.
+    """
+    table = centroids.agg(F.collect_list(F.struct("cy", "cx", F.col(key).alias("key"), F.col(value).alias("v"))).alias("_all"))
+    d2 = lambda c: (F.col("row") - c["cy"]) ** 2 + (F.col("col") - c["cx"]) ** 2
+    best = F.array_min(F.transform("_all", lambda c: F.struct(d2(c).alias("d2"), c["key"].alias("key"), c["v"].alias("v"))))
+    out = points.join(F.broadcast(table)).withColumn("_b", best)
+    return out.select(*points.columns, F.col("_b.key").alias(key), F.col("_b.v").alias(value), F.col("_b.d2").alias("d2"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastra.operators.stencil import disk_offsets, spread
@@ -76,3 +76,108 @@ def containment(a: DataFrame, b: DataFrame) -> DataFrame:
 def merge_aliases(files: DataFrame, key: str, content: str) -> DataFrame:
     """sha256, first_key, n_sources: equal contents are one entry. Sources are counted, not gathered."""
     return files.groupBy(F.sha2(F.coalesce(content, F.lit("")), 256).alias("sha256")).agg(F.min(key).alias("first_key"), F.count("*").alias("n_sources"))
+
+
+def direct_coverage(allowed: DataFrame, layers: DataFrame) -> DataFrame:
+    """layer, coverage: the share of allowed cells that are cells of the layer themselves."""
+    total = allowed.agg(F.count("*").alias("_n"))
+    hit = allowed.select(*_CELL).join(layers, _CELL).groupBy("layer").agg(F.count("*").alias("_h"))
+    out = layers.select("layer").distinct().join(hit, "layer", "left").join(F.broadcast(total))
+    return out.select("layer", F.when(F.col("_n") > 0, F.coalesce("_h", F.lit(0)) / F.col("_n")).otherwise(0.0).alias("coverage"))
+
+
+def blanket(allowed: DataFrame, layers: DataFrame, radius: float = 3.0, least: float = 0.7) -> DataFrame:
+    """layer, covered, blanket: layers whose reach covers at least a share of the allowed cells."""
+    out = certificate(allowed, layers, radius).join(F.broadcast(allowed.agg(F.count("*").alias("_n"))))
+    covered = 1 - F.col("uncovered") / F.greatest("_n", F.lit(1))
+    return out.select("layer", covered.alias("covered"), (covered >= least).alias("blanket"))
+
+
+def panel_overlap(panel: DataFrame, layers: DataFrame, radius: float = 3.0) -> DataFrame:
+    """candidate, layer, overlap for all pairs of a panel of candidates (candidate, row, col) and the layers, in one pass."""
+    sizes = panel.groupBy("candidate").agg(F.count("*").alias("_n"))
+    hits = panel.join(_near(layers, radius), _CELL).groupBy("candidate", "layer").agg(F.count("*").alias("_h"))
+    pairs = sizes.join(F.broadcast(layers.select("layer").distinct()))  # layers are few: a registry's list
+    out = pairs.join(hits, ["candidate", "layer"], "left")
+    return out.select("candidate", "layer", (F.coalesce("_h", F.lit(0)) / F.col("_n")).alias("overlap"))
+
+
+def support_matched(candidate: DataFrame, audited: DataFrame, sizes: DataFrame, low: float = 1 / 3, high: float = 3.0) -> DataFrame:
+    """audited rows (layer, overlap, jaccard ...) with n, matched (a size within low to high times the candidate's) and band:
+    the tenth of overlap they fall into."""
+    size = candidate.agg(F.count("*").alias("_n"))
+    out = audited.join(sizes.groupBy("layer").agg(F.count("*").alias("n")), "layer").join(F.broadcast(size))
+    inside = (F.col("n") >= low * F.col("_n")) & (F.col("n") <= high * F.col("_n"))
+    return out.select(*audited.columns, "n", inside.alias("matched"), F.least(F.floor(F.col("overlap") * 10), F.lit(9)).cast("int").alias("band"))
+
+
+def tied_spearman(candidate: DataFrame, layers: DataFrame, cells_of_grid: int) -> DataFrame:
+    """layer, rho: Spearman's rho of two 0/1 layers over a whole grid, in closed form from counts: it is their Pearson
+    correlation, as ranks of two tied values are an affine image of them."""
+    out = jaccard(candidate, layers).join(F.broadcast(candidate.agg(F.count("*").alias("_a"))))
+    a, b, both, g = F.col("_a"), F.col("n"), F.col("shared"), F.lit(float(cells_of_grid))
+    scale = F.sqrt(a * (g - a)) * F.sqrt(b * (g - b))
+    return out.select("layer", F.when(scale > 0, (g * both - a * b) / scale).alias("rho"))
+
+
+def removed_distances(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    """One row: removed, nearest and farthest distance from a cell that b lacks to b's nearest cell within radius, and how many
+    have none there."""
+    from rastra.operators.nearest import nearest_within
+
+    removed = a.select(*_CELL).join(b.select(*_CELL), _CELL, "left_anti")
+    near = nearest_within(removed, b, radius).select(F.sqrt(F.col("d2").cast("double")).alias("d"))
+    out = near.agg(F.min("d").alias("nearest"), F.max("d").alias("farthest"), F.count("*").alias("_k")).join(F.broadcast(removed.agg(F.count("*").alias("removed"))))
+    return out.select("removed", "nearest", "farthest", (F.col("removed") - F.col("_k")).alias("beyond"))
+
+
+def merge_rows(old: DataFrame, new: DataFrame, metrics: list[str]) -> DataFrame:
+    """sha256, metrics and sources (sorted, united) of two audits; raises, when it is read, if one file has unlike metrics.
+
+    sources: an array of names for each row, bounded by the registry's list of repositories."""
+    both = old.select("sha256", *metrics, "sources").unionByName(new.select("sha256", *metrics, "sources"))
+    unlike = F.lit(False)
+    for m in metrics:
+        unlike = unlike | (F.min(m) < F.max(m))
+    out = both.groupBy("sha256").agg(*[F.max(m).alias(m) for m in metrics], F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), unlike.alias("_unlike"))
+    checked = F.when(F.col("_unlike"), F.raise_error(F.lit("one file with unlike metrics")).cast("string")).otherwise(F.col("sha256"))
+    return out.select(checked.alias("sha256"), *metrics, "sources")
+
+
+def united_aliases(files: DataFrame, content: str, source: str) -> DataFrame:
+    """sha256, sources: equal contents are one entry with all its sources, each once, in order (a bounded list: repositories)."""
+    return files.groupBy(F.sha2(F.coalesce(content, F.lit("")), 256).alias("sha256")).agg(F.array_sort(F.collect_set(source)).alias("sources"))
+
+
+def without_own(priors: DataFrame, own: DataFrame) -> DataFrame:
+    """priors less the files whose content is one of own's."""
+    return priors.join(own.select("sha256").distinct(), "sha256", "left_anti")
+
+
+def pinned(local: DataFrame, pins: DataFrame) -> DataFrame:
+    """name, sha256, state of every pin: ok, changed (another content) or missing."""
+    out = pins.select("name", "sha256").join(local.select("name", F.col("sha256").alias("_l")), "name", "left")
+    state = F.when(F.col("_l").isNull(), "missing").when(F.col("_l") == F.col("sha256"), "ok").otherwise("changed")
+    return out.select("name", "sha256", state.alias("state"))
+
+
+def delta(before: DataFrame, now: DataFrame, key: str, version: str) -> DataFrame:
+    """key, change (added, removed, changed) of two listings; what is unlike in neither is left out."""
+    both = before.select(key, F.col(version).alias("_b")).join(now.select(key, F.col(version).alias("_n")), key, "full")
+    change = F.when(F.col("_b").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.col("_b") != F.col("_n"), "changed")
+    return both.select(key, change.alias("change")).where("change is not null")
+
+
+def within_bytes(files: DataFrame, key: str, size: str, budget: int, cap: int) -> DataFrame:
+    """key, size of the smallest files first whose sizes sum to no more than the budget; files over the cap never.
+
+    Sizes are summed first within distinct sizes, so the window runs over these and, at the size where the budget ends,
+    over keys alone."""
+    fit = files.where(F.col(size) <= cap)
+    sizes = fit.groupBy(size).agg(F.count("*").alias("_n"))
+    run = F.coalesce(F.sum(F.col(size) * F.col("_n")).over(Window.orderBy(size).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = sizes.withColumn("_room", F.when(F.col(size) > 0, F.floor((F.lit(budget) - run) / F.col(size))).otherwise(F.lit(1 << 62))).where("_room > 0")
+    whole = fit.join(room.where(F.col("_n") <= F.col("_room")), size).select(key, size)
+    edge = fit.join(room.where(F.col("_n") > F.col("_room")), size)  # one size at most
+    cut = edge.withColumn("_k", F.row_number().over(Window.partitionBy(size).orderBy(key))).where("_k <= _room")
+    return whole.unionByName(cut.select(key, size))

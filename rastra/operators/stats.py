@@ -9,21 +9,26 @@ from rastra.storage import stage_table
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], parts: int = 64) -> DataFrame:
-    """df with rank: ties share the mean of their places, within groups.
+    """df with rank: ties share the mean of their places, within groups. Null values have no rank (null) and count for none;
+    a null group is a group.
 
     Values are counted first, so windows run over distinct values; a group's values are cut at `parts` quantiles of all
     values, so that a group of any size is ranked by many tasks and only the parts' totals are summed in one place.
     """
     bounds = df.select(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
     part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(value))) if bounds else F.lit(0)
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n")).withColumn("_part", part)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")).withColumn("_part", part)
     totals = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_t"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*by, "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(starts, [*by, "_part"])
-    ranks = ranks.select(*by, value, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias("rank"))
-    return df.join(ranks, [*by, value])
+    ranks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    starts = starts.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate([*by, "_part"])], "_start")
+    ranks = ranks.join(starts, [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate([*by, "_part"])])
+    keys = [*by, value]
+    ranks = ranks.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias("rank"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return df.join(ranks.where(F.col(f"_k{len(by)}").isNotNull()), same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -35,7 +40,7 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
 
 def auc(df: DataFrame, value: str, label: str, by: list[str], least: int = 10) -> DataFrame:
     """by, n_pos, n_neg, auc (Mann-Whitney from average ranks), canary (the larger of auc and 1 - auc)."""
-    ranked = average_rank(df, value, by)
+    ranked = average_rank(df.where(F.col(value).isNotNull()), value, by)
     pos = F.col(label) == 1
     out = ranked.groupBy(*by).agg(F.sum(F.when(pos, 1).otherwise(0)).alias("n_pos"), F.sum(F.when(pos, 0).otherwise(1)).alias("n_neg"), F.sum(F.when(pos, F.col("rank")).otherwise(0.0)).alias("_r"))
     out = out.where((F.col("n_pos") >= least) & (F.col("n_neg") >= least))
@@ -46,6 +51,7 @@ def auc(df: DataFrame, value: str, label: str, by: list[str], least: int = 10) -
 def rank_to_byte(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """df with byte: the average rank scaled to 0..254."""
     ranked = average_rank(df, value, by)
+    df = df.where(F.col(value).isNotNull())
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
     scaled = F.when(F.col("_n") > 1, (F.col("rank") - 1) / (F.col("_n") - 1) * 254).otherwise(0.0)
     return ranked.join(sizes, by).withColumn("byte", F.rint(scaled).cast("int")).drop("rank", "_n")
@@ -104,3 +110,51 @@ def quantile_table(df: DataFrame, value: str, by: list[str], at: list[float]) ->
 def staged_percentile(df: DataFrame, value: str, q: float) -> float | None:
     """A percentile that later steps use as a literal."""
     return stage_table(df.agg(F.percentile(value, q).alias("p")), "percentile").first()["p"]
+
+
+def correlations(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """by, n, pearson, spearman over rows where both are finite: null for constant columns or fewer than three rows."""
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows = df.where(fine(a) & fine(b)).select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    ranked = average_rank(average_rank(rows, "_a", by).withColumnRenamed("rank", "_ra"), "_b", by)
+    spans = (F.max("_a") - F.min("_a") > 1e-14) & (F.max("_b") - F.min("_b") > 1e-14) & (F.count("*") >= 3)
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("_p"), F.corr("_ra", "rank").alias("_s"), spans.alias("_ok"))
+    return out.select(*by, "n", F.when(F.col("_ok"), F.col("_p")).alias("pearson"), F.when(F.col("_ok"), F.col("_s")).alias("spearman"))
+
+
+def negative_block_errors(df: DataFrame, a: str, b: str, limits: tuple[float, float], side: int = 50, least: int = 32) -> DataFrame:
+    """block_row, block_col, n, mse_a, mse_b, fpr_a, fpr_b of two surfaces over negative cells, for blocks of enough cells."""
+    at = [(F.col(c) / side).cast("int").alias(f"block_{c}") for c in ("row", "col")]
+    rate = lambda c, limit: F.avg((F.col(c) >= limit).cast("double"))
+    out = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*at).agg(
+        F.count("*").alias("n"), F.avg(F.col(a) * F.col(a)).alias("mse_a"), F.avg(F.col(b) * F.col(b)).alias("mse_b"), rate(a, limits[0]).alias("fpr_a"), rate(b, limits[1]).alias("fpr_b")
+    )
+    return out.where(F.col("n") >= least)
+
+
+def independence(blocks: DataFrame, threshold: float = 0.6, least: int = 20) -> DataFrame:
+    """One row: n_blocks, strongest (absolute correlation of the two surfaces' block errors), measured, allow."""
+    one = blocks.withColumn("_all", F.lit(1))
+    mse, fpr = (correlations(one, f"{c}_a", f"{c}_b", ["_all"]).select(F.col("n"), F.col("pearson").alias(f"{c}_p"), F.col("spearman").alias(f"{c}_s")) for c in ("mse", "fpr"))
+    both = mse.join(F.broadcast(fpr.drop("n")))  # one row each
+    four = [F.abs(F.col(f"{c}_{k}")) for c in ("mse", "fpr") for k in "ps"]
+    whole = F.forall(F.array(*four), lambda x: x.isNotNull())
+    measured = whole & (F.col("n") >= least)
+    strongest = F.greatest(*four)
+    return both.select(F.col("n").alias("n_blocks"), strongest.alias("strongest"), measured.alias("measured"), (measured & (strongest < threshold)).alias("allow"))
+
+
+def dense_rank_of(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """df with dense: the number of distinct values up to the row's own (not Spearman's rank on ties)."""
+    distinct = df.where(F.col(value).isNotNull()).select(*by, value).distinct()
+    ranks = distinct.withColumn("dense", F.dense_rank().over(Window.partitionBy(*by).orderBy(value)))
+    return df.join(ranks, [*by, value])
+
+
+def surface_profile(cells: DataFrame, by: list[str], cells_of_grid: int, dense_from: float = 0.2) -> DataFrame:
+    """by, n_finite, n_positive, least, most, n_values, dense: a layer of which more than a share of the grid is positive is
+    dense, otherwise a layer of dots."""
+    v = F.col("value")
+    fine = v.isNotNull() & ~F.isnan(v)
+    out = cells.where(fine).groupBy(*by).agg(F.count("*").alias("n_finite"), F.count_if(v > 0).alias("n_positive"), F.min(v).alias("least"), F.max(v).alias("most"), F.count_distinct(v).alias("n_values"))
+    return out.withColumn("dense", F.col("n_positive") / cells_of_grid > dense_from)

@@ -59,3 +59,63 @@ def box_contrast(dense: DataFrame, half: int, value: str = "value") -> DataFrame
     mean = F.col("s") / F.col("n")
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean))
     return out.select("row", "col", value, F.when(sd > 1e-9, (F.col(value) - mean) / sd).otherwise(0.0).alias("contrast"))
+
+
+def reflected(cells: DataFrame, axis: str, size: int, reach: int) -> DataFrame:
+    """cells and their mirror images beyond both edges of an axis, as far as reach: the edge cell is mirrored too."""
+    at = F.col(axis)
+    images = F.filter(F.array(at, -1 - at, 2 * size - 1 - at), lambda v: (v >= -reach) & (v < size + reach))
+    return cells.withColumn(axis, F.explode(images))
+
+
+def gaussian_reflected(cells: DataFrame, grid: GridSpec, sigma: float, values: list[str], truncate: float = 4.0) -> DataFrame:
+    """gaussian() with the layer mirrored at the grid's edges instead of zero beyond them."""
+    w = gaussian_weights(sigma, truncate)
+    r = len(w) // 2
+    out = cells.select("row", "col", *values)
+    for axis, size in (("row", grid.height), ("col", grid.width)):
+        offsets = [((i - r, 0, k) if axis == "row" else (0, i - r, k)) for i, k in enumerate(w)]
+        out = spread(reflected(out, axis, size, r), offsets, grid).groupBy("row", "col").agg(*[F.sum(F.col(v) * F.col("k")).alias(v) for v in values])
+    return out
+
+
+def sparse_gradient(cells: DataFrame, grid: GridSpec, value: str = "value") -> DataFrame:
+    """row, col, g_row, g_col of a sparse layer that is zero elsewhere: every cell sends its share to its neighbours, so no grid
+    is made and no column or row is a window."""
+    parts = []
+    for axis, size in (("row", grid.height), ("col", grid.width)):
+        at, v = F.col(axis), F.col(value)
+        sent = F.array(
+            F.struct((at - 1).alias("to"), (v * F.when(at - 1 == 0, 1.0).otherwise(0.5)).alias("g")),
+            F.struct((at + 1).alias("to"), (v * F.when(at + 1 == size - 1, -1.0).otherwise(-0.5)).alias("g")),
+            F.struct(at.alias("to"), (v * F.when(at == 0, -1.0).when(at == size - 1, 1.0).otherwise(0.0)).alias("g")),
+        )
+        out = cells.select("row", "col", F.explode(sent).alias("s")).where((F.col("s.to") >= 0) & (F.col("s.to") < size))
+        zero = F.lit(0.0)
+        parts.append(out.withColumn(axis, F.col("s.to")).select("row", "col", (F.col("s.g") if axis == "row" else zero).alias("g_row"), (F.col("s.g") if axis == "col" else zero).alias("g_col")))
+    return parts[0].unionByName(parts[1]).groupBy("row", "col").agg(F.sum("g_row").alias("g_row"), F.sum("g_col").alias("g_col"))
+
+
+def local_strike(mask: DataFrame, grid: GridSpec, sigma: float = 3.0) -> DataFrame:
+    """row, col, strike_deg, coherence of every mask cell: the structure tensor of the smoothed mask, smoothed by sigma.
+
+    Differences below 1e-12 count as none, so that rounding gives no direction."""
+    smooth = gaussian_reflected(mask.select("row", "col").distinct().withColumn("value", F.lit(1.0)), grid, 1.0, ["value"])
+    g = sparse_gradient(smooth, grid)
+    products = g.select("row", "col", (F.col("g_row") ** 2).alias("rr"), (F.col("g_col") ** 2).alias("cc"), (F.col("g_row") * F.col("g_col")).alias("rc"))
+    s = gaussian_reflected(products, grid, sigma, ["rr", "cc", "rc"]).join(mask.select("row", "col").distinct(), ["row", "col"], "left_semi")
+    diff, cross = F.round(F.col("cc") - F.col("rr"), 12), F.round(2 * F.col("rc"), 12)
+    across = F.lit(0.5) * F.atan2(cross, diff) + math.pi / 2
+    strike = F.pmod(F.degrees(F.atan2(F.round(F.cos(across), 12), -F.sin(across))), F.lit(180.0))
+    return s.select("row", "col", strike.alias("strike_deg"), (F.sqrt(diff * diff + cross * cross) / F.greatest(F.col("rr") + F.col("cc"), F.lit(1e-12))).alias("coherence"))
+
+
+def laplacian(dense: DataFrame, value: str = "value") -> DataFrame:
+    """dense with laplacian (mirrored at the edges) and slope (the gradient's size)."""
+    out = gradient(dense, value)
+    terms = F.lit(0.0)
+    for axis, other in (("row", "col"), ("col", "row")):
+        w = Window.partitionBy(other).orderBy(axis)
+        out = out.withColumn(f"_{axis}", F.coalesce(F.lag(value).over(w), value) + F.coalesce(F.lead(value).over(w), value) - 2 * F.col(value))
+        terms = terms + F.col(f"_{axis}")
+    return out.withColumns({"laplacian": terms, "slope": F.hypot("g_row", "g_col")}).drop("_row", "_col", "g_row", "g_col")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastra.grid import GridSpec
+from rastra.operators.components import extents
 
 #: Slip-sense codes.
 SENSE_CODES = {"N": 1, "RL": 2, "LL": 3}
@@ -38,14 +39,23 @@ def sense_raster(traces: DataFrame, grid: GridSpec, codes: dict[str, int] = SENS
     return coded.groupBy("row", "col").agg(F.max_by("code", "row_no").alias("code"))
 
 
-def record_segments(traces: DataFrame) -> DataFrame:
-    """record_id, n, length, strike_deg, sense: each record's summed length, net direction and commonest sense (ties: first seen)."""
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    sums = traces.groupBy("record_id").agg(F.count("*").alias("n"), F.sum(F.hypot(dx, dy)).alias("length"), F.sum(dx).alias("_x"), F.sum(dy).alias("_y"))
-    counts = traces.where("sense is not null").groupBy("record_id", "sense").agg(F.count("*").alias("_c"), F.min("row_no").alias("_f"))
-    mode = counts.groupBy("record_id").agg(F.max_by("sense", F.struct("_c", (-F.col("_f")).alias("f"))).alias("sense"))
-    strike = F.pmod(F.degrees(F.atan2("_x", "_y")), F.lit(180.0))
-    return sums.join(mode, "record_id", "left").select("record_id", "n", "length", strike.alias("strike_deg"), "sense")
+def record_segments(traces: DataFrame, grid: GridSpec, known: list[str], scale: float = 100.0) -> DataFrame:
+    """record_id, n_fragments, size, length, span, strike_deg, sense. size, span and strike (array frame) are of all pixels of
+    the record's lines, length sums the lines' own lengths over scale, and sense is the commonest one (a missing sense is the
+    class unk; ties: first seen), unk if it is none of known."""
+    pixels = pixelise(traces, grid).select("record_id", "row", "col")
+    shape = extents(pixels, "record_id").select("record_id", "size", "span", "strike_deg")
+    lines = traces.groupBy("record_id").agg(F.count("*").alias("n_fragments"), (F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))) / scale).alias("length"))
+    named = traces.select("record_id", "row_no", F.coalesce("sense", F.lit("unk")).alias("sense"))
+    counts = named.groupBy("record_id", "sense").agg(F.count("*").alias("_c"), F.min("row_no").alias("_f"))
+    mode = counts.groupBy("record_id").agg(F.max_by("sense", F.struct("_c", (-F.col("_f")).alias("f"))).alias("_m"))
+    sense = F.when(F.col("_m").isin(known), F.col("_m")).otherwise("unk")
+    return lines.join(shape, "record_id").join(mode, "record_id").select("record_id", "n_fragments", "size", "length", "span", "strike_deg", sense.alias("sense"))
+
+
+def trace_ids(traces: DataFrame, grid: GridSpec) -> DataFrame:
+    """row, col, row_no of the last line through each pixel."""
+    return pixelise(traces, grid).groupBy("row", "col").agg(F.max("row_no").alias("row_no"))
 
 
 def azimuth(dr: Column, dc: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rastra.grid import EVENT_GRID, LAYER_GRID, cells_in, event_cells, event_roles, layer_cells, mask_of, order_traces, table
-from rastra.operators import allocate, components, features, masks, metric, nearest, registry, split, stats, stencil, tensor, validate, vector
+from rastra.operators import allocate, components, features, masks, metric, nearest, profiles, registry, split, stats, stencil, tensor, validate, vector
 from rastra.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,13 +314,12 @@ def label8(spark, sf_dir):
     return components.label8(mask_of(event_cells(spark, sf_dir), "purchase"), EVENT_GRID)
 
 
-@query("segment_table", f"""WITH RECURSIVE {_LABELS}, s AS (SELECT comp, count(*) AS n, avg(r) AS cy, avg(c) AS cx, var_pop(r) AS rr, var_pop(c) AS cc, covar_pop(r, c) AS rc FROM lab GROUP BY comp)
-SELECT comp AS comp_id, n, round(cy, 6) AS cy, round(cx, 6) AS cx, round(rr - cc, 4) + 0.0 AS spread, round(rc, 4) + 0.0 AS cross FROM s""")
+@query("segment_table", f"""WITH RECURSIVE {_LABELS}, s AS (SELECT comp, count(*) AS n, avg(r) AS cy, avg(c) AS cx, round(var_pop(r) - var_pop(c), 9) AS spread, round(2 * covar_pop(r, c), 9) AS crs FROM lab GROUP BY comp),
+t AS (SELECT *, CASE WHEN n >= 2 THEN degrees(atan2(-crs, spread)) / 2 END AS a FROM s)
+SELECT comp AS comp_id, n, round(cy, 6) AS cy, round(cx, 6) AS cx, round(CASE WHEN a < 0 THEN a + 180 ELSE a END, 4) + 0.0 AS strike_deg FROM t""")
 def segment_table(spark, sf_dir):
-    labelled = label8(spark, sf_dir)
-    more = labelled.groupBy("comp_id").agg(F.round(F.var_pop("row") - F.var_pop("col"), 4).alias("spread"), F.round(F.covar_pop("row", "col"), 4).alias("cross"))
-    out = components.segment_table(labelled).join(more, "comp_id")
-    return out.select("comp_id", "n", r6("cy").alias("cy"), r6("cx").alias("cx"), (F.col("spread") + F.lit(0.0)).alias("spread"), (F.col("cross") + F.lit(0.0)).alias("cross"))
+    out = components.segment_table(label8(spark, sf_dir))
+    return out.select("comp_id", "n", r6("cy").alias("cy"), r6("cx").alias("cx"), (F.round("strike_deg", 4) + F.lit(0.0)).alias("strike_deg"))
 
 
 @query("detached", f"""WITH RECURSIVE {_LABELS} SELECT DISTINCT comp AS comp_id FROM lab WHERE comp NOT IN (
@@ -431,21 +430,16 @@ def prefix_to_mass(spark, sf_dir):
 def marginal_pass(spark, sf_dir):
     click = event_cells(spark, sf_dir).where("layer = 'click'").select("row", "col", "value")
     credit = stencil.kernel_sum(click, EVENT_GRID).withColumnRenamed("value", "credit")
-    cells = click.join(credit, ["row", "col"]).withColumn("fold", (F.col("row") / 180).cast("int") * 4 + (F.col("col") / 64).cast("int"))
+    cells = credit.join(click, ["row", "col"], "left").fillna(0.0, ["value"]).withColumn("fold", (F.col("row") / 180).cast("int") * 4 + (F.col("col") / 64).cast("int"))
     return allocate.marginal_pass(cells, "fold", 120.0, patience=100_000)  # more than the cells of a fold: all are visited
 
 
-# --- vector, split, tensor ---
+@query("spaced_cells")
+def spaced_cells(spark, sf_dir):
+    return allocate.spaced(event_cells(spark, sf_dir).where("layer = 'click'"), 3.0)
 
 
-@query("record_segments", """WITH o AS (SELECT o_custkey AS id, o_orderkey AS k, o_orderdate AS d, (datediff('day', DATE '1995-01-01', o_orderdate::DATE) % 400)::DOUBLE AS x, (o_orderkey % 300)::DOUBLE AS y, left(o_orderpriority, 1) AS sense FROM orders),
-t AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM o WINDOW w AS (PARTITION BY id ORDER BY d, k)), s AS (SELECT * FROM t WHERE x1 IS NOT NULL),
-m AS (SELECT id, sense, count(*) AS c, min(k) AS f FROM s WHERE sense IS NOT NULL GROUP BY ALL), mode AS (SELECT id, arg_max(sense, (c, -f)) AS sense FROM m GROUP BY id),
-g AS (SELECT id, count(*) AS n, sum(sqrt((x1 - x) ** 2 + (y1 - y) ** 2)) AS len, degrees(atan2(sum(x1 - x), sum(y1 - y))) AS a FROM s GROUP BY id)
-SELECT id AS record_id, n, round(len, 4) AS length, round(CASE WHEN a < 0 THEN a + 180 WHEN a >= 180 THEN a - 180 ELSE a END, 4) + 0.0 AS strike_deg, sense FROM g LEFT JOIN mode USING (id)""")
-def record_segments(spark, sf_dir):
-    out = vector.record_segments(order_traces(spark, sf_dir))
-    return out.select("record_id", "n", F.round("length", 4).alias("length"), (F.round("strike_deg", 4) + F.lit(0.0)).alias("strike_deg"), "sense")
+# --- vector, split, tensor ---
 
 
 _PIXELS = """o AS (SELECT o_custkey AS id, o_orderkey AS k, o_orderdate AS d, (datediff('day', DATE '1995-01-01', o_orderdate::DATE) % 400)::BIGINT AS x, (o_orderkey % 300)::BIGINT AS y, left(o_orderpriority, 1) AS sense FROM orders),
@@ -465,6 +459,20 @@ def rasterise(spark, sf_dir):
     return vector.rasterise(order_traces(spark, sf_dir), _trace_grid())
 
 
+_RECORDS = f"""{_PIXELS.replace("e AS (SELECT k, ", "e AS (SELECT id, k, ").replace("px AS (SELECT k, ", "px AS (SELECT id, k, ")},
+a AS (SELECT id, count(*) AS size, avg(r) AS cy, avg(c) AS cx, atan2(round(2 * covar_pop(r, c), 9), round(var_pop(r) - var_pop(c), 9)) / 2 AS a FROM px GROUP BY id),
+x AS (SELECT id, max((r - cy) * cos(a) + (c - cx) * sin(a)) - min((r - cy) * cos(a) + (c - cx) * sin(a)) AS span FROM px JOIN a USING (id) GROUP BY id),
+l AS (SELECT id, count(*) AS n, sum(sqrt((x1 - x) ** 2 + (y1 - y) ** 2)) / 100 AS len FROM s GROUP BY id),
+m AS (SELECT id, coalesce(sense, 'unk') AS sense, count(*) AS c, min(k) AS f FROM s GROUP BY ALL), md AS (SELECT id, arg_max(sense, (c, -f)) AS sense FROM m GROUP BY id)"""
+
+
+@query("record_segments", f"""WITH {_RECORDS} SELECT id AS record_id, n AS n_fragments, size, round(len, 4) AS length, round(span, 4) AS span, round(CASE WHEN a < 0 THEN degrees(a) + 180 ELSE degrees(a) END, 4) + 0.0 AS strike_deg,
+CASE WHEN sense IN ('1', '2', '5') THEN sense ELSE 'unk' END AS sense FROM l JOIN a USING (id) JOIN x USING (id) JOIN md USING (id)""")
+def record_segments(spark, sf_dir):
+    out = vector.record_segments(order_traces(spark, sf_dir), _trace_grid(), ["1", "2", "5"])
+    return out.select("record_id", "n_fragments", "size", F.round("length", 4).alias("length"), F.round("span", 4).alias("span"), (F.round("strike_deg", 4) + F.lit(0.0)).alias("strike_deg"), "sense")
+
+
 @query("sense_raster", f"""WITH {_PIXELS} SELECT r AS "row", c AS col, arg_max(CASE sense WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '5' THEN 3 END, k)::INTEGER AS code FROM px WHERE sense IN ('1', '2', '5') GROUP BY r, c""")
 def sense_raster(spark, sf_dir):
     return vector.sense_raster(order_traces(spark, sf_dir), _trace_grid(), {"1": 1, "2": 2, "5": 3})
@@ -567,10 +575,44 @@ def table_rows(spark, sf_dir):
 # --- features and models ---
 
 
-@query("geometry_features")
+def _mirror(source: str, sigma: int, values: list[str], name: str) -> str:
+    """SQL of a Gaussian over the event grid with mirrored edges, by rows and then by columns."""
+    reach = 4 * sigma
+    w = f"(SELECT i, exp(-0.5 * i * i / {sigma * sigma}.0) / (SELECT sum(exp(-0.5 * j * j / {sigma * sigma}.0)) FROM range({-reach}, {reach + 1}) x(j)) AS k FROM range({-reach}, {reach + 1}) y(i))"
+    sums, keep = ", ".join(f"sum({v} * k) AS {v}" for v in values), ", ".join(values)
+    rows = " UNION ALL ".join(f"SELECT {e} AS r, c, {keep} FROM {source}" for e in ("r", "-1 - r", "1439 - r"))
+    cols = " UNION ALL ".join(f"SELECT r, {e} AS c, {keep} FROM {name}_a" for e in ("c", "-1 - c", "511 - c"))
+    return f"""{name}_a AS (SELECT r + i AS r, c, {sums} FROM ({rows}), {w} WHERE r + i BETWEEN 0 AND 719 GROUP BY ALL),
+{name} AS (SELECT r, c + i AS c, {sums} FROM ({cols}), {w} WHERE c + i BETWEEN 0 AND 255 GROUP BY ALL)"""
+
+
+_STRIKE = f"""{_mirror("one", 1, ["v"], "sm")}, gd AS (SELECT a.r::INTEGER AS r, b.c::INTEGER AS c FROM range(720) a(r), range(256) b(c)),
+dn AS (SELECT gd.r, gd.c, coalesce(v, 0) AS v FROM gd LEFT JOIN sm ON sm.r = gd.r AND sm.c = gd.c),
+gr AS (SELECT r, c, CASE WHEN r = 0 THEN lead(v) OVER a - v WHEN r = 719 THEN v - lag(v) OVER a ELSE (lead(v) OVER a - lag(v) OVER a) / 2 END AS y,
+  CASE WHEN c = 0 THEN lead(v) OVER b - v WHEN c = 255 THEN v - lag(v) OVER b ELSE (lead(v) OVER b - lag(v) OVER b) / 2 END AS x FROM dn WINDOW a AS (PARTITION BY c ORDER BY r), b AS (PARTITION BY r ORDER BY c)),
+pr AS (SELECT r, c, y * y AS yy, x * x AS xx, x * y AS xy FROM gr WHERE y <> 0 OR x <> 0), {_mirror("pr", 3, ["yy", "xx", "xy"], "js")},
+st AS (SELECT r, c, round(xx - yy, 12) AS d, round(2 * xy, 12) AS e, xx + yy AS t FROM js WHERE EXISTS (SELECT 1 FROM one WHERE one.r = js.r AND one.c = js.c)),
+sk AS (SELECT r, c, sqrt(d * d + e * e) / greatest(t, 1e-12) AS coh, degrees(atan2(round(cos(atan2(e, d) / 2 + pi() / 2), 12), -sin(atan2(e, d) / 2 + pi() / 2))) AS s FROM st)"""
+_TRUTH_LABELS = """lk AS (SELECT a.r * 256 + a.c AS a, b.r * 256 + b.c AS b FROM one a JOIN one b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1),
+reach AS (SELECT a, b FROM lk UNION SELECT reach.a, lk.b FROM reach JOIN lk ON reach.b = lk.a),
+lab AS (SELECT (a // 256)::INTEGER AS r, (a % 256)::INTEGER AS c, min(b)::BIGINT AS comp FROM reach GROUP BY a)"""
+_GEOMETRY = f"""{_EVENTS}, one AS (SELECT r, c, 1.0 AS v FROM truth), {_TRUTH_LABELS}, {_STRIKE}, sz AS (SELECT comp, count(*) AS n FROM lab GROUP BY comp),
+nr AS (SELECT p.r, p.c, min((p.r - t.r) ** 2 + (p.c - t.c) ** 2) AS d2, arg_min([t.r, t.c], ((p.r - t.r) ** 2 + (p.c - t.c) ** 2, t.r, t.c)) AS nt FROM pred p, truth t GROUP BY p.r, p.c),
+fr AS (SELECT nr.r, nr.c, sqrt(d2) AS d, nr.r - nt[1] AS dy, nr.c - nt[2] AS dx, ln(1 + n) AS ll, coh, radians(CASE WHEN s < 0 THEN s + 180 WHEN s >= 180 THEN s - 180 ELSE s END) AS s
+  FROM nr JOIN lab ON lab.r = nt[1] AND lab.c = nt[2] JOIN sz USING (comp) JOIN sk ON sk.r = nt[1] AND sk.c = nt[2]),
+ds AS (SELECT p.r, p.c, count(*) AS n FROM pred p JOIN truth t ON t.r BETWEEN p.r - 5 AND p.r + 5 AND t.c BETWEEN p.c - 5 AND p.c + 5 WHERE (p.r - t.r) ** 2 + (p.c - t.c) ** 2 <= 25 GROUP BY ALL),
+ft AS (SELECT fr.r, fr.c, d, abs(dy * sin(s) + dx * cos(s)) AS d_perp, abs(dx * sin(s) - dy * cos(s)) AS d_par_abs, sign(round(-dy * sin(s) - dx * cos(s), 9)) AS side, ll AS log_len, sin(2 * s) AS sin2, cos(2 * s) AS cos2,
+  coh AS coherence, coalesce(n, 0) AS density, sin(2 * s) * d AS sin2d, cos(2 * s) * d AS cos2d FROM fr LEFT JOIN ds ON ds.r = fr.r AND ds.c = fr.c)"""
+
+
+def r4(column: str) -> Column:
+    return F.round(F.col(column), 4) + F.lit(0.0)
+
+
+@query("geometry_features", f"""WITH RECURSIVE {_GEOMETRY} SELECT r AS "row", c AS col, {", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in features.GEOMETRY)} FROM ft""")
 def geometry_features(spark, sf_dir):
     truth, prediction = event_roles(spark, sf_dir)
-    return features.geometry(prediction, truth, EVENT_GRID).select("row", "col", *[r6(c).alias(c) for c in features.GEOMETRY])
+    return features.geometry(prediction, truth, EVENT_GRID).select("row", "col", *[r4(c).alias(c) for c in features.GEOMETRY])
 
 
 @query("relay_ratio", f"""WITH RECURSIVE {_LABELS}, d AS (SELECT p.r, p.c, comp, min((p.r - l.r) ** 2 + (p.c - l.c) ** 2) AS d2 FROM pred p JOIN lab l
@@ -584,18 +626,47 @@ def relay_ratio(spark, sf_dir):
     return out.select("row", "col", *[r6(c).alias(c) for c in ("d1", "d2", "relay_ratio")])
 
 
-@query("zone_table", f"""WITH {_EVENTS}, n AS (SELECT e.r, e.c, e.v, min((e.r - b.r) ** 2 + (e.c - b.c) ** 2) AS d2 FROM (SELECT * FROM ev WHERE layer = 'view') e JOIN buy b
+_ZONE_ROWS = f"""{_EVENTS}, n AS (SELECT e.r, e.c, e.v, min((e.r - b.r) ** 2 + (e.c - b.c) ** 2) AS d2 FROM (SELECT * FROM ev WHERE layer = 'view') e JOIN buy b
   ON b.r BETWEEN e.r - 6 AND e.r + 6 AND b.c BETWEEN e.c - 6 AND e.c + 6 WHERE (e.r - b.r) ** 2 + (e.c - b.c) ** 2 <= 36 GROUP BY ALL),
-f AS (SELECT least(2, floor(sqrt(d2) / 2))::INTEGER AS db, CASE WHEN v >= 0.6 THEN 2 WHEN v >= 0.2 THEN 1 ELSE 0 END AS sb, EXISTS (SELECT 1 FROM click WHERE click.r = n.r AND abs(click.c - n.c) <= 3)::INT AS y FROM n),
-g AS (SELECT db, sb, count(*) AS n, sum(y) AS p FROM f GROUP BY ALL), q AS (SELECT db, sum(p) / sum(n) AS pool FROM g GROUP BY db)
-SELECT db AS d_bin, sb AS s_bin, n, round(CASE WHEN n >= 40 THEN p / n ELSE pool END, 6) AS rate, n >= 40 AS used FROM g JOIN q USING (db)""")
-def zone_table(spark, sf_dir):
+f AS (SELECT r, c, least(2, floor(sqrt(d2) / 2))::INTEGER AS db, CASE WHEN v >= 0.6 THEN 2 WHEN v >= 0.2 THEN 1 ELSE 0 END AS sb, EXISTS (SELECT 1 FROM click WHERE click.r = n.r AND abs(click.c - n.c) <= 1)::INT AS y FROM n)"""
+_D_EDGES, _S_EDGES = [0.0, 2.0, 4.0, 6.0], [0.0, 0.2, 0.6, 1.0]
+
+
+def _zone_rows(spark, sf_dir):
     e = event_cells(spark, sf_dir)
     near = nearest.nearest_within(e.where("layer = 'view'").select("row", "col", "value"), mask_of(e, "purchase"), 6)
-    beside = stencil.spread(mask_of(e, "click"), [(0, i) for i in range(-3, 4)]).select("row", "col").distinct().withColumn("y", F.lit(1))
-    rows = near.join(beside, ["row", "col"], "left").fillna(0, ["y"]).withColumn("d", F.sqrt(F.col("d2").cast("double")))
-    out = features.zone_table(rows, [0.0, 2.0, 4.0, 6.0], [0.0, 0.2, 0.6, 1.0], strike="value")
-    return out.select("d_bin", "s_bin", "n", r6("rate").alias("rate"), "used")
+    beside = stencil.spread(mask_of(e, "click"), [(0, i) for i in range(-1, 2)]).select("row", "col").distinct().withColumn("y", F.lit(1))
+    return near.join(beside, ["row", "col"], "left").fillna(0, ["y"]).withColumn("d", F.sqrt(F.col("d2").cast("double")))
+
+
+def _zone_sql(strike: str, extra: str) -> str:
+    return f"""{_ZONE_ROWS}, g AS (SELECT db, sb, count(*) AS n, sum(y) AS p FROM f GROUP BY ALL), al AS (SELECT a::INTEGER AS db, b::INTEGER AS sb, coalesce(n, 0)::BIGINT AS n, coalesce(p, 0)::BIGINT AS p FROM range(3) x(a) CROSS JOIN range(3) z(b) LEFT JOIN g ON db = a AND sb = b),
+q AS (SELECT db, sb, {strike} FROM al), rt AS (SELECT *, CASE WHEN n > 0 THEN p / n ELSE 0 END AS rate, (SELECT sum(p) / sum(n) FROM q) AS base FROM q), zm AS (SELECT *, (rate >= 1.05 * base AND n >= 40{extra}) AS kp FROM rt)"""
+
+
+_ZONE = _zone_sql("n, p", "")
+_OUTER = _zone_sql("(sum(n) OVER (PARTITION BY db))::BIGINT AS n, (sum(p) OVER (PARTITION BY db))::BIGINT AS p", " AND db >= 1")
+_ZONE_OUT = 'SELECT db AS d_bin, sb AS s_bin, n, p, round(rate, 6) AS rate, kp AS keep, round(CASE WHEN kp THEN rate ELSE 0 END, 6) AS "value" FROM zm'
+
+
+def _zone(spark, sf_dir, **how):
+    return profiles.zone_model(_zone_rows(spark, sf_dir), "d", "value", "y", _D_EDGES, _S_EDGES, min_ratio=1.05, **how)
+
+
+@query("zone_table", f"WITH {_ZONE} {_ZONE_OUT}")
+def zone_table(spark, sf_dir):
+    return _zone(spark, sf_dir).select("d_bin", "s_bin", "n", "p", r6("rate").alias("rate"), "keep", r6("value").alias("value"))
+
+
+@query("zone_outer", f"WITH {_OUTER} {_ZONE_OUT}")
+def zone_outer(spark, sf_dir):
+    return _zone(spark, sf_dir, outer=True, isotropic=True).select("d_bin", "s_bin", "n", "p", r6("rate").alias("rate"), "keep", r6("value").alias("value"))
+
+
+@query("zone_intensity", f'WITH {_ZONE} SELECT r AS "row", c AS col, round(CASE WHEN kp THEN rate ELSE 0 END, 6) AS intensity FROM f JOIN zm USING (db, sb)')
+def zone_intensity(spark, sf_dir):
+    out = profiles.zone_intensity(_zone_rows(spark, sf_dir), "d", "value", _zone(spark, sf_dir), _D_EDGES, _S_EDGES)
+    return out.select("row", "col", r6("intensity").alias("intensity"))
 
 
 @query("boosted_surface")
@@ -616,10 +687,28 @@ def branches(spark, sf_dir):
     return components.branches(stencil.dilate(mask_of(event_cells(spark, sf_dir), "purchase"), stencil.diamond_offsets(1), EVENT_GRID), EVENT_GRID)
 
 
-@query("linked_traces")
-def linked_traces(spark, sf_dir):
-    """Records whose traces' ends come within one cell at a like strike, as one system."""
-    traces = order_traces(spark, sf_dir)
-    ends = traces.select(F.col("row_no").alias("comp_id"), F.col("y0").alias("r0"), F.col("x0").alias("c0"), F.col("y1").alias("r1"), F.col("x1").alias("c1"))
-    strike = vector.azimuth(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0"))
-    return components.linked(ends.withColumn("strike_deg", strike), gap=1.0, turn=5.0)
+_EXTENTS = f"""{_LABELS}, ax AS (SELECT comp, count(*) AS size, avg(r) AS cy, avg(c) AS cx, atan2(round(2 * covar_pop(r, c), 9), round(var_pop(r) - var_pop(c), 9)) / 2 AS a FROM lab GROUP BY comp),
+ed AS (SELECT comp, min((r - cy) * cos(a) + (c - cx) * sin(a)) AS lo, max((r - cy) * cos(a) + (c - cx) * sin(a)) AS hi FROM lab JOIN ax USING (comp) GROUP BY comp),
+fg AS (SELECT comp, size, a, degrees(a) + CASE WHEN a < 0 THEN 180 ELSE 0 END AS s, hi - lo AS span, cy + cos(a) * lo AS r0, cx + sin(a) * lo AS c0, cy + cos(a) * hi AS r1, cx + sin(a) * hi AS c1 FROM ax JOIN ed USING (comp))"""
+_LINKS = f"""{_EXTENTS}, en AS (SELECT comp, s, a, r0 AS r, c0 AS c FROM fg UNION ALL SELECT comp, s, a, r1, c1 FROM fg),
+mt AS (SELECT e.comp AS a, f.comp AS b, e.a AS ang, abs(e.s - f.s) AS ds, sqrt((e.r - f.r0) ** 2 + (e.c - f.c0) ** 2) AS g0, sqrt((e.r - f.r1) ** 2 + (e.c - f.c1) ** 2) AS g1, f.r0 - e.r AS y0, f.c0 - e.c AS x0, f.r1 - e.r AS y1, f.c1 - e.c AS x1
+  FROM en e JOIN fg f ON e.comp < f.comp),
+ok AS (SELECT DISTINCT a, b FROM mt WHERE least(g0, g1) <= 4 AND least(ds, 180 - ds) <= 30 AND (least(g0, g1) < 1e-9 OR
+  degrees(acos(least(1.0, abs(CASE WHEN g0 <= g1 THEN y0 * cos(ang) + x0 * sin(ang) ELSE y1 * cos(ang) + x1 * sin(ang) END) / greatest(least(g0, g1), 1e-9)))) <= 45)),
+ek AS (SELECT a, b FROM ok UNION ALL SELECT b, a FROM ok), rs AS (SELECT comp AS a, comp AS b FROM fg UNION SELECT rs.a, ek.b FROM rs JOIN ek ON rs.b = ek.a), sy AS (SELECT a AS comp, min(b) AS sys FROM rs GROUP BY a)"""
+
+
+@query("fragment_table", f"""WITH RECURSIVE {_EXTENTS} SELECT comp AS comp_id, size, round(s, 4) + 0.0 AS strike_deg, round(span, 4) + 0.0 AS span, {", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("r0", "c0", "r1", "c1"))} FROM fg""")
+def fragment_table(spark, sf_dir):
+    return components.extents(label8(spark, sf_dir), "comp_id").select("comp_id", "size", *[r4(c).alias(c) for c in ("strike_deg", "span", "r0", "c0", "r1", "c1")])
+
+
+@query("linked", f"WITH RECURSIVE {_LINKS} SELECT comp AS comp_id, sys AS system_id FROM sy")
+def linked(spark, sf_dir):
+    return components.linked(label8(spark, sf_dir))
+
+
+@query("system_table", f"""WITH RECURSIVE {_LINKS}, sp AS (SELECT sys, count(*) AS n, sum(size)::BIGINT AS size, sum(span) AS len FROM fg JOIN sy USING (comp) GROUP BY sys) SELECT sys AS system_id, n AS n_fragments, size, round(len, 4) + 0.0 AS length FROM sp""")
+def system_table(spark, sf_dir):
+    labelled = label8(spark, sf_dir)
+    return components.system_table(labelled, components.linked(labelled)).select("system_id", "n_fragments", "size", r4("length").alias("length"))
