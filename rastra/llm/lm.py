@@ -31,6 +31,7 @@ SMOOTH = 0.1
 class Settings:
     states: int = 8
     rounds: int = 4
+    gain: float = 1e-3  # of log likelihood a token, below which the rounds end
     own_share: int = 4096
     lookup_share: int = 1 << 19
     tail: int = 256
@@ -169,41 +170,60 @@ def _groups(sequences: list[np.ndarray], limit: int) -> Iterator[tuple[np.ndarra
         yield np.array(group), lengths, padded
 
 
-def _forward(m: Model, lengths: np.ndarray, obs: np.ndarray, keep: bool) -> tuple[np.ndarray, list, list, np.ndarray]:
-    """Log likelihoods, and with keep the scaled forward rows and scales of every step; sequences stand longest first."""
+def _forward(m: Model, lengths: np.ndarray, obs: np.ndarray, every: int = 0) -> tuple[np.ndarray, list, np.ndarray]:
+    """Log likelihoods, and with `every` the scaled forward rows that enter steps 0, every, 2 * every ... (None for the first).
+    Sequences stand longest first."""
     active = np.searchsorted(-lengths, -np.arange(len(obs)), side="left")  # sequences longer than t
-    total, rows, scales = np.zeros(len(lengths)), [], []
+    total, kept = np.zeros(len(lengths)), []
     a = None
     for t in range(len(obs)):
-        k = active[t]
-        a = (m.start if t == 0 else a[:k] @ m.move) * m.emit[obs[t, :k]]
-        c = a.sum(1)
-        a = a / c[:, None]
-        total[:k] += np.log(c)
-        if keep:
+        if every and t % every == 0:
+            kept.append(a)
+        a, c = _step(m, a, obs[t, : active[t]])
+        total[: active[t]] += np.log(c)
+    return total, kept, active
+
+
+def _step(m: Model, a: np.ndarray | None, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled forward rows after `seen`, and the scales."""
+    a = (m.start if a is None else a[: len(seen)] @ m.move) * m.emit[seen]
+    c = a.sum(1)
+    return a / c[:, None], c
+
+
+def _expected(m: Model, lengths: np.ndarray, obs: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> float:
+    """Add a group's expected counts (Baum-Welch) to start, move and emit; returns its log likelihood.
+
+    The forward rows are kept at every sqrt(n)-th step and made again block by block on the way back, so that a text of any
+    length needs memory for about two blocks.
+    """
+    every = max(64, math.isqrt(len(obs)))
+    total, kept, active = _forward(m, lengths, obs, every)
+    beta, ahead = np.ones((active[-1], len(m.start))), None
+    for block in range(len(kept) - 1, -1, -1):
+        rows, scales, a = [], [], kept[block]
+        steps = range(block * every, min(len(obs), (block + 1) * every))
+        for t in steps:
+            a, c = _step(m, a, obs[t, : active[t]])
             rows.append(a)
             scales.append(c)
-    return total, rows, scales, active
-
-
-def _expected(m: Model, lengths: np.ndarray, obs: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-    """Add a group's expected counts (Baum-Welch) to start, move and emit."""
-    _, rows, scales, active = _forward(m, lengths, obs, True)
-    beta, seen, weight = np.ones((active[-1], len(m.start))), [], []
-    for t in range(len(obs) - 1, -1, -1):
-        if t < len(obs) - 1:
-            k = active[t + 1]
-            ahead = m.emit[obs[t + 1, :k]] * beta / scales[t + 1][:, None]
-            move += m.move * (rows[t][:k].T @ ahead)
-            beta = np.ones((active[t], len(m.start)))
-            beta[:k] = ahead @ m.move.T
-        gamma = rows[t] * beta
-        seen.append(obs[t, : active[t]])
-        weight.append(gamma)
-    start += gamma.sum(0)
-    seen, weight = np.concatenate(seen), np.concatenate(weight)
-    for state in range(weight.shape[1]):
-        emit[:, state] += np.bincount(seen, weight[:, state], minlength=len(emit))
+        seen, weight = [], []
+        for t in reversed(steps):
+            i = t - block * every
+            if ahead is not None:  # the emission, backward row and scale of step t + 1
+                k = len(ahead)
+                move += m.move * (rows[i][:k].T @ ahead)
+                beta = np.ones((active[t], len(m.start)))
+                beta[:k] = ahead @ m.move.T
+            weight.append(rows[i] * beta)
+            seen.append(obs[t, : active[t]])
+            ahead = m.emit[seen[-1]] * beta / scales[i][:, None]
+        if block == 0:
+            start += weight[-1].sum(0)
+        seen, weight = np.concatenate(seen), np.concatenate(weight)
+        for state in range(weight.shape[1]):
+            emit[:, state] += np.bincount(seen, weight[:, state], minlength=len(emit))
+    return float(total.sum())
 
 
 def _sequences(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
@@ -213,25 +233,29 @@ def _sequences(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
 def baum_welch(rows: DataFrame, vocab: Vocabulary, s: Settings) -> Model:
     """rows: classes (binary). Every round sums the partitions' expected counts by class and by state in a shuffle."""
     m = Model.first(vocab, s)
-    base = Model.unigram(vocab)
+    base, before = Model.unigram(vocab), -math.inf
     for _ in range(s.rounds):
 
         def run(batches: Iterator[pa.RecordBatch], m: Model = m) -> Iterator[pa.RecordBatch]:
             start, move, emit = np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)
+            likely = np.zeros((1, s.states))
             for batch in batches:
                 for _, lengths, obs in _groups(_sequences(batch, 0), s.group_tokens):
-                    _expected(m, lengths, obs, start, move, emit)
-            found = np.vstack([emit, move, start[None]])
-            where = np.flatnonzero(found.sum(1))
+                    likely[0, 0] += _expected(m, lengths, obs, start, move, emit)
+            found = np.vstack([emit, move, start[None], likely])
+            where = np.flatnonzero(found.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(where), *(pa.array(found[where, k]) for k in range(s.states))], ["row", *(f"s{k}" for k in range(s.states))])
 
         states = [f"s{k}" for k in range(s.states)]
         parts = rows.select("classes").mapInArrow(run, "row long, " + ", ".join(f"{c} double" for c in states))
-        found = np.zeros((vocab.classes + s.states + 1, s.states))
+        found = np.zeros((vocab.classes + s.states + 2, s.states))
         for r in parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in states]).collect():  # as many rows as the model has
             found[r["row"]] = r[1:]
-        emit, move, start = found[: vocab.classes] + base[:, None], found[vocab.classes : -1] + SMOOTH, found[-1] + SMOOTH
-        m = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        emit, move, start = found[: vocab.classes] + base[:, None], found[vocab.classes : -2] + SMOOTH, found[-2] + SMOOTH
+        m, likely = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), found[-1, 0]
+        if likely - before < s.gain * vocab.total:  # the gain of the round before last
+            break
+        before = likely
     return m
 
 
@@ -244,7 +268,7 @@ def _scored(rows: DataFrame, m: Model, vocab: Vocabulary, s: Settings) -> DataFr
         for batch in batches:
             sequences, chain = _sequences(batch, len(keep)), np.zeros(len(batch))
             for index, lengths, obs in _groups(sequences, s.group_tokens):
-                chain[index] = _forward(m, lengths, obs, False)[0] / math.log(10)
+                chain[index] = _forward(m, lengths, obs)[0] / math.log(10)
             chain -= [terms[x].sum() for x in sequences]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(chain, pa.float64())], [*keep, "chain"])
 
@@ -256,7 +280,8 @@ def score_texts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs.
 
     Null and empty texts are one end token. Rows without a doc_id are held out. Without training documents every word is
-    unknown and all states emit alike. Repeated rows count as often as they stand and score alike.
+    unknown and all states emit alike. Repeated rows count as often as they stand and score alike. Very long texts are one
+    sequence each, in memory that grows with the root of their length beside the text. An empty table gives no rows.
     """
     docs = doc_rows(docs).withColumn("held_out", held_out(F.col("doc_id")))
     vocab = vocabulary(word_counts(docs.where(~F.col("held_out")).select("doc_id", "text")), s)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rastra.llm.common import doc_rows, shuffle_width
-from rastra.llm.tokens import VOCABULARY, cut, encoder
+from rastra.llm.tokens import VOCABULARY, cut, encoder, id_bytes
 from rastra.storage import stage_table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -29,10 +29,12 @@ PATTERNS = "length long, rank_from long, rank_to long, first_sequence long, per_
 
 
 def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, and with with_ids the ids (little-endian uint32).
+    """One row per piece: doc_id, piece, start, length, ids_crc32 (of little-endian uint32), and with with_ids the ids
+    (little-endian, of id_bytes(vocabulary) bytes each).
 
     Null and empty texts are one piece that holds end_id alone; repeated rows are pieces of their own.
     """
+    kind = f"<u{id_bytes(vocabulary)}"
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +45,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabul
                 ids = np.concatenate([encode(text.as_py()), end])
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
                     raw = ids[start : start + n].tobytes()
-                    for column, value in zip(out, (doc, k, start, n, zlib.crc32(raw), raw)):
+                    for column, value in zip(out, (doc, k, start, n, zlib.crc32(raw), ids[start : start + n].astype(kind).tobytes() if with_ids else None)):
                         column.append(value)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)

@@ -233,6 +233,8 @@ def sample_batch(pieces: Pieces, texts: list[str], row_keys: list[int | None], s
     ordinal = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     ids, count = _Lattice(pieces, list(index)).sample(which, _mix(np.repeat(rows, sizes) + ordinal.astype(np.uint64)))
     bounds = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(sizes)]]
+    if len(pieces.spelled) > 1 << 16:
+        raise ValueError("ids are uint16: a model has at most 65536 pieces")
     return [_bytes_for_wide(pieces, ids[a:b]).astype("<u2") for a, b in zip(bounds[:-1], bounds[1:])]
 
 

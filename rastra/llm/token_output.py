@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastra.llm.packing import pack_pieces, token_pieces
-from rastra.llm.tokens import VOCABULARY
+from rastra.llm.tokens import VOCABULARY, id_bytes
 from rastra.storage import stage_table
 
 PACKED = ["n_tokens", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "starts"]
@@ -84,7 +84,8 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int
 def packed_sequences(docs: DataFrame, capacity: int = 1024, end_id: int = 50256, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows of at most capacity tokens: sequence_id and PACKED.
 
-    input_ids and position_ids are little-endian uint32 and uint16, one row of the id matrix each (unpadded); position_ids
+    input_ids are little-endian, of id_bytes(vocabulary) bytes each, and position_ids uint16, one row of the id matrix each
+    (unpadded); position_ids
     restart at 0 with every segment, cu_seqlens has the segments' bounds from 0 to n_tokens, and doc_ids and starts tell
     where each segment comes from. Every document ends with end_id; overlong ones are cut without loss. Null and empty
     texts are one end_id; repeated rows are documents of their own; an empty table gives no rows; other columns of docs
@@ -109,11 +110,12 @@ def packed_sequences(docs: DataFrame, capacity: int = 1024, end_id: int = 50256,
     )
 
 
-def id_matrix(sequences: DataFrame, capacity: int = 1024, pad_id: int = 50256) -> DataFrame:
+def id_matrix(sequences: DataFrame, capacity: int = 1024, pad_id: int = 50256, vocabulary: str = VOCABULARY) -> DataFrame:
     """sequences with input_ids and position_ids padded to `capacity` entries, so that rows stack to matrices; n_tokens and
     cu_seqlens tell the padding apart."""
-    pad = F.unhex(F.lit(pad_id.to_bytes(4, "little").hex()))
-    rows = {"input_ids": F.rpad("input_ids", capacity * 4, pad), "position_ids": F.rpad("position_ids", capacity * 2, F.unhex(F.lit("0000")))}
+    width = id_bytes(vocabulary)
+    pad = F.unhex(F.lit(pad_id.to_bytes(width, "little").hex()))
+    rows = {"input_ids": F.rpad("input_ids", capacity * width, pad), "position_ids": F.rpad("position_ids", capacity * 2, F.unhex(F.lit("0000")))}
     return sequences.withColumns(rows)
 
 
@@ -122,12 +124,13 @@ def write_packed(sequences: DataFrame, path: str) -> None:
     sequences.write.mode("errorifexists").parquet(path)
 
 
-def unpack(sequences: DataFrame) -> DataFrame:
+def unpack(sequences: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, start, ids (binary): the segments of packed sequences; by start they join to the documents' ids again."""
     at = F.sequence(F.lit(0), F.size("doc_ids") - 1)
+    width = id_bytes(vocabulary)
     segments = sequences.select("input_ids", "cu_seqlens", "doc_ids", "starts", F.explode(at).alias("i"))
     a, b = F.get("cu_seqlens", F.col("i")), F.get("cu_seqlens", F.col("i") + 1)
-    return segments.select(F.get("doc_ids", "i").alias("doc_id"), F.get("starts", "i").alias("start"), F.substr("input_ids", a * 4 + 1, (b - a) * 4).alias("ids"))
+    return segments.select(F.get("doc_ids", "i").alias("doc_id"), F.get("starts", "i").alias("start"), F.substr("input_ids", a * width + 1, (b - a) * width).alias("ids"))
 
 
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import json
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
+SPLITTER = '"type": "ByteLevel"'
 #: How the vocabulary's own pre-tokenizer splits a text.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -25,6 +26,15 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.cache
+def id_bytes(vocabulary: str = VOCABULARY) -> int:
+    """How many bytes an id of the vocabulary needs: 2 or 4."""
+    with open(vocabulary_path(vocabulary), encoding="utf-8") as f:
+        model = json.load(f)
+    top = max([*model["model"]["vocab"].values(), *(t["id"] for t in model.get("added_tokens", []))])
+    return 2 if top < 1 << 16 else 4
+
+
 @functools.cache
 def encoder(vocabulary: str = VOCABULARY):
     """text -> array of ids, equal to Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids.
@@ -43,12 +53,15 @@ def encoder(vocabulary: str = VOCABULARY):
     ranks = {bytes(to_byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("vocabulary", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=special)
     exact = Tokenizer.from_file(path)
+    own = "".join(json.dumps(model.get("pre_tokenizer")))
+    if SPLITTER not in own:
+        raise ValueError(f"{vocabulary}: only byte-level pre-tokenizers with the known split are supported")
 
     def encode(text: str) -> np.ndarray:
         try:
             ids = fast.encode_to_numpy(text, allowed_special="all") if text else ()
         except BaseException as e:  # the library panics on some runs of a million equal characters
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
+            if type(e).__name__ != "PanicException":
                 raise
             ids = exact.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4")

@@ -4,10 +4,9 @@ Grades are 0 (clean), 1 (toxic) and 2 (toxic and of low quality). One weight vec
 P(grade >= k) = sigmoid(w * x - theta_k) with theta_1 <= theta_2, and the expected severity is the sum of these. Features
 are distinct words, A-Z lower-cased and stripped of punctuation; x is their presence.
 
-The model is fitted on a bounded sample of labelled documents (`sample` rows, the smallest hashes of doc_id). Words are
-screened on that sample by how unlike their document frequencies are in toxic and other documents (at most `features`
-words, none below a z score of `min_z`). Limited-memory BFGS steps use losses and gradients that the sample's partitions
-sum. Every document is scored.
+The model is fitted on a bounded sample of labelled documents (`sample` rows, the smallest hashes of doc_id), on all their
+words: a word's feature is one of 2^`bits` by hash. The sample's features, a list of whole numbers for each row, go to one
+task, which fits weights and thresholds by limited-memory BFGS and returns one row. Every document is scored.
 """
 
 from __future__ import annotations
@@ -30,33 +29,40 @@ _PUNCTUATION = b".,;:!?\"'()[]{}<>|*%$#&-_/\\"
 @dataclass(frozen=True)
 class Settings:
     sample: int = 20_000
-    features: int = 4096
-    min_docs: int = 2
-    min_z: float = 2.5
-    steps: int = 60
+    bits: int = 20
+    steps: int = 100
     memory: int = 10
-    ridge: float = 1e-4
+    ridge: float = 3e-6
     reject_at: float = 0.5
 
 
-def words_of(text: str | None) -> set[bytes]:
-    out = {w.strip(_PUNCTUATION) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()}
-    out.discard(b"")
-    return out
+def features_of(text: str | None, bits: int) -> np.ndarray:
+    """The sorted distinct features of a text: hashes of its words, A-Z lower-cased and stripped of punctuation."""
+    import xxhash
+
+    words = {w.strip(_PUNCTUATION) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()}
+    words.discard(b"")
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(w) >> (64 - bits) for w in words), np.int32, len(words)))
 
 
 @dataclass
 class SeverityModel:
-    words: dict[bytes, int] = field(default_factory=dict)
+    """Weights of features (sorted numbers) and the ordered thresholds; without features it finds nothing toxic."""
+
+    features: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     thresholds: np.ndarray = field(default_factory=lambda: np.array([4.0, 5.0]))
+    bits: int = 20
 
     def at_least(self, margins: np.ndarray) -> np.ndarray:
         """P(grade >= 1), P(grade >= 2) for each margin w * x."""
         return 1 / (1 + np.exp(-np.clip(margins[:, None] - self.thresholds, -40, 40)))
 
-    def margin(self, text: str | None) -> float:
-        return float(self.weights[[i for w in words_of(text) if (i := self.words.get(w)) is not None]].sum())
+    def table(self) -> np.ndarray:
+        """The weights of all features: 2^bits single-precision numbers, whatever the corpus."""
+        out = np.zeros(1 << self.bits, np.float32)
+        out[self.features] = self.weights
+        return out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
@@ -68,52 +74,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFram
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "grade")
 
 
-def screened_words(sample: DataFrame, s: Settings) -> list[bytes]:
-    """The words whose document frequencies differ most between toxic and other documents of the sample."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[bytes, list[int]] = {}
-            for text, grade in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in words_of(text):
-                    seen.setdefault(w, [0, 0])[grade > 0] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))], ["word", "clean", "toxic"])
-
-    sizes = sample.agg(F.coalesce(F.sum((F.col("grade") == 0).cast("int")), F.lit(0)), F.coalesce(F.sum((F.col("grade") > 0).cast("int")), F.lit(0))).first()
-    clean, toxic = (max(1, n) for n in sizes)
-    counts = sample.select("text", "grade").mapInArrow(run, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    p, q, both = F.col("toxic") / toxic, F.col("clean") / clean, (F.col("toxic") + F.col("clean")) / (clean + toxic)
-    z = F.abs(p - q) / F.sqrt(both * (F.lit(1.0 + 1e-9) - both) * (1 / clean + 1 / toxic) + 1e-12)
-    telling = counts.where((F.col("clean") + F.col("toxic") >= s.min_docs) & (z >= s.min_z))
-    return sorted(bytes(r[0]) for r in telling.orderBy(F.desc(z), "word").limit(s.features).select("word").collect())
-
-
-def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> SeverityModel:
-    """Without labelled documents the model finds nothing toxic."""
-    sample = stage_table(labelled_sample(docs, labels, s), "labelled")
-    words = screened_words(sample, s)
-    if not words or not sample.where("grade > 0").limit(1).count():
-        return SeverityModel()
-    model = SeverityModel({w: i for i, w in enumerate(words)}, np.zeros(len(words)))
-    index = model.words
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[i for w in words_of(t) if (i := index.get(w)) is not None] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["x", "grade"])
-
-    sparse = stage_table(sample.mapInArrow(rows, "x array<int>, grade int"), "features")
-    total = sparse.count()
-    n = len(words)
+def likelihood(weights: np.ndarray, thresholds: np.ndarray, place: np.ndarray, owner: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray]:
+    """The log likelihood of grades and its gradient in (weights, thresholds). Row owner[i] has feature place[i]."""
+    n, rows = len(weights), np.arange(len(grade))
+    margin = np.bincount(owner, weights[place], minlength=len(grade))
+    cumulative = 1 / (1 + np.exp(-np.clip(margin[:, None] - thresholds, -40, 40)))
+    ge = np.column_stack([np.ones(len(grade)), cumulative, np.zeros(len(grade))])  # P(grade >= 0..3)
+    slope = ge * (1 - ge)
+    mass = np.maximum(ge[rows, grade] - ge[rows, grade + 1], 1e-12)
+    lower, upper = slope[rows, grade] / mass, slope[rows, grade + 1] / mass
+    gradient = np.empty(n + 2)
+    gradient[:n] = np.bincount(place, (lower - upper)[owner], minlength=n)
+    for k in (1, 2):
+        gradient[n + k - 1] = upper[grade == k - 1].sum() - lower[grade == k].sum()
+    return float(np.log(mass).sum()), gradient
+
+
+def evidence(place: np.ndarray, toxic: np.ndarray, n: int, all_toxic: np.ndarray) -> np.ndarray:
+    """How far each feature's weight is trusted, in (0, 1]: z^2 / (z^2 + 100), z telling how unlike its frequencies are in toxic
+    and other rows. The weights' ridge is that of weight / trust, so that words without evidence stay near zero."""
+    a, b = max(1, int(all_toxic.sum())), max(1, int((~all_toxic).sum()))
+    bad, good = np.bincount(place[toxic], minlength=n), np.bincount(place[~toxic], minlength=n)
+    both = (bad + good) / (a + b)
+    z2 = (bad / a - good / b) ** 2 / (both * (1 + 1e-9 - both) * (1 / a + 1 / b) + 1e-12)
+    return (z2 + 1e-3) / (z2 + 100)
+
+
+def fitted(lists: list[np.ndarray], grade: np.ndarray, s: Settings) -> SeverityModel:
+    """The model of rows of features and their grades; unless both toxic and clean rows are there, it finds nothing toxic."""
+    if not (grade > 0).any() or not (grade == 0).any():
+        return SeverityModel(bits=s.bits)
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    features, place = np.unique(np.concatenate(lists), return_inverse=True)
+    n, total = len(features), len(lists)
+    trust = evidence(place, (grade > 0)[owner], n, grade > 0)
 
     def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
         """The mean negative log likelihood with the ridge, and its gradient."""
-        total_, gradient = _likelihood(sparse, x[:n], x[n:])
-        gradient = -gradient / total
-        gradient[:n] += s.ridge * x[:n]
-        return -total_ / total + s.ridge / 2 * float(x[:n] @ x[:n]), gradient
+        value, slope = likelihood(x[:n] * trust, x[n:], place, owner, grade)
+        slope = -slope / total
+        slope[:n] = slope[:n] * trust + s.ridge * x[:n]
+        return -value / total + s.ridge / 2 * float(x[:n] @ x[:n]), slope
 
-    x = np.concatenate([model.weights, model.thresholds])
+    x = np.concatenate([np.zeros(n), [4.0, 5.0]])
     best, gradient = objective(x)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(s.steps):
@@ -132,8 +135,32 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Severit
         x, best, gradient = there, value, slope
         if done:
             break
-    model.weights, model.thresholds = x[:n], x[n:]
-    return model
+    return SeverityModel(features, x[:n] * trust, x[n:], s.bits)
+
+
+def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> SeverityModel:
+    """Without labelled toxic documents, or without clean ones, the model finds nothing toxic."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features_of(t.as_py(), s.bits) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["x", "grade"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, grades = [], [np.zeros(0, int)]
+        for batch in batches:
+            lists += [x.values.to_numpy() for x in batch.column(0)]
+            grades.append(batch.column(1).to_numpy())
+        m = fitted(lists, np.concatenate(grades).astype(int), s)
+        cells = [m.features.astype("<i4").tobytes(), m.weights.astype("<f8").tobytes(), m.thresholds.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([cells[0]], pa.binary()), pa.array([cells[1]], pa.binary()), pa.array([cells[2]], pa.list_(pa.float64()))], ["features", "weights", "thresholds"])
+
+    sparse = stage_table(labelled_sample(docs, labels, s).mapInArrow(rows, "x array<int>, grade int"), "features")
+    # at most `sample` rows, in a stable order, to one task
+    row = sparse.orderBy(F.xxhash64("x", "grade")).coalesce(1).mapInArrow(solve, "features binary, weights binary, thresholds array<double>").first()
+    if row is None:  # no labelled rows
+        return SeverityModel(bits=s.bits)
+    return SeverityModel(np.frombuffer(row["features"], "<i4"), np.frombuffer(row["weights"], "<f8"), np.array(row["thresholds"]), s.bits)
 
 
 def _curved(gradient: np.ndarray, moves: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -151,41 +178,15 @@ def _curved(gradient: np.ndarray, moves: list[tuple[np.ndarray, np.ndarray]]) ->
     return q
 
 
-def _likelihood(sparse: DataFrame, weights: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray]:
-    """The log likelihood and its gradient in (weights, thresholds), summed over the partitions of the sample."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(len(weights) + 3)  # the last place: the log likelihood
-        for batch in batches:
-            if not len(batch):
-                continue
-            x, grade = batch.column(0), batch.column(1).to_numpy()
-            at = np.diff(x.offsets.to_numpy())
-            owner, place = np.repeat(np.arange(len(batch)), at), x.flatten().to_numpy()
-            margin = np.bincount(owner, weights[place], minlength=len(batch))
-            cumulative = 1 / (1 + np.exp(-np.clip(margin[:, None] - thresholds, -40, 40)))
-            ge = np.column_stack([np.ones(len(batch)), cumulative, np.zeros(len(batch))])  # P(grade >= 0..3)
-            slope = ge * (1 - ge)
-            rows = np.arange(len(batch))
-            mass = np.maximum(ge[rows, grade] - ge[rows, grade + 1], 1e-12)
-            out[-1] += np.log(mass).sum()
-            lower, upper = slope[rows, grade] / mass, slope[rows, grade + 1] / mass
-            out[: len(weights)] += np.bincount(place, (lower - upper)[owner], minlength=len(weights))
-            for k in (1, 2):
-                out[len(weights) + k - 1] += upper[grade == k - 1].sum() - lower[grade == k].sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "g"])
-
-    total = np.zeros(len(weights) + 3)
-    for r in sparse.mapInArrow(run, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect():  # one row for each feature
-        total[r["i"]] = r["g"]
-    return float(total[-1]), total[:-1]
-
-
-def severity(text: Column, model: SeverityModel) -> Column:
+def severity(text: Column, model: SeverityModel, spark: SparkSession) -> Column:
     """struct(p_toxic, p_severe, expected_severity) of a text column."""
+    shared = spark.sparkContext.broadcast(model.table())
+
     @F.pandas_udf("p_toxic double, p_severe double, expected_severity double")
     def score(texts: pd.Series) -> pd.DataFrame:
-        p = model.at_least(np.array([model.margin(t) for t in texts]).reshape(-1))
+        weights = shared.value
+        margins = np.array([weights[features_of(t, model.bits)].sum(dtype=float) for t in texts])
+        p = model.at_least(margins.reshape(-1))
         return pd.DataFrame({"p_toxic": p[:, 0], "p_severe": p[:, 1], "expected_severity": p.sum(axis=1)})
 
     return score(text)
@@ -193,13 +194,15 @@ def severity(text: Column, model: SeverityModel) -> Column:
 
 def score_documents(docs: DataFrame, model: SeverityModel, s: Settings = Settings()) -> DataFrame:
     """row (all columns of docs), doc_id, text, severity (struct), rejected; null and empty texts have no features and are
-    kept. Rows are judged one by one, so repeated rows are judged alike; an empty table gives no rows."""
-    out = boxed(docs).withColumn("severity", severity(F.col("text"), model))
-    return out.withColumn("rejected", F.col("severity.p_toxic") >= s.reject_at)
+    kept. Rows are judged one by one, so repeated rows are judged alike; very long texts are read whole; an empty table gives
+    no rows."""
+    out = boxed(docs).withColumn("severity", severity(F.col("text"), model, docs.sparkSession))
+    return out.withColumn("rejected", (F.col("severity.p_toxic") >= s.reject_at) & F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs, same columns, less the documents that the model fitted on them and labels rejects."""
+    """docs, same columns, less the documents that the model fitted on them and labels rejects; nulls, repeated rows and empty
+    tables as in score_documents."""
     return unboxed(score_documents(docs, fit(docs, labels, s), s).where(~F.col("rejected")), docs.columns)
 
 
