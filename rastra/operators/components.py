@@ -25,7 +25,7 @@ def label8(mask: DataFrame, grid: GridSpec) -> DataFrame:
 def axis_strike() -> Column:
     """Degrees in [0, 180) of the principal axis of (row, col), as an azimuth (row grows south)."""
     rr, cc, rc = F.var_pop("row"), F.var_pop("col"), F.covar_pop("row", "col")
-    return F.pmod(F.degrees(F.lit(0.5) * F.atan2(-2 * rc, rr - cc)), F.lit(180.0))
+    return F.pmod(F.degrees(F.lit(0.5) * F.atan2(F.round(-2 * rc, 9), F.round(rr - cc, 9))), F.lit(180.0))
 
 
 def segment_table(labelled: DataFrame) -> DataFrame:

@@ -3,14 +3,15 @@
 import hashlib
 import json
 import math
+import random
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from rastra.grid import GridSpec
-from rastra.operators import components, features, split
-from rastra.sources import files
+from rastra.operators import allocate, components, features, registry, split, stats, tensor
+from rastra.sources import feeds, files
 from rastra.streaming.cells import append_layer, cell_windows, read_events
 
 
@@ -22,7 +23,7 @@ def test_offset_frame_of_an_east_west_bar(spark):
     bar = cells(spark, [(20, c) for c in range(40)])
     out = features.geometry(cells(spark, [(10, 20)]), bar, GridSpec(40, 40)).first()
     assert math.isclose(out.d, 10) and math.isclose(out.d_perp, 10) and math.isclose(out.d_par_abs, 0, abs_tol=1e-9)
-    assert math.isclose(out.cos2, -1) and math.isclose(out.coherence, 1) and math.isclose(out.cos2d, -1)
+    assert math.isclose(out.cos2, -1) and math.isclose(out.coherence, 1) and math.isclose(out.cos2d, -10)  # the product with the distance
 
 
 def test_relay_midpoint(spark):
@@ -37,10 +38,59 @@ def test_branches_are_cut_in_chunks(spark):
     assert chunks == [12, 12, 6]
 
 
-def test_linked_needs_gap_and_strike(spark):
-    rows = [(1, 0.0, 0.0, 0.0, 10.0, 90.0), (2, 0.0, 12.0, 0.0, 20.0, 85.0), (3, 0.0, 22.0, 9.0, 22.0, 0.0), (4, 30.0, 0.0, 30.0, 9.0, 90.0)]
-    out = components.linked(spark.createDataFrame(rows, "comp_id long, r0 double, c0 double, r1 double, c1 double, strike_deg double"))
-    assert {r.comp_id: r.system_id for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+def test_sense_is_taken_within_one_cell_of_the_anchor(spark):
+    bar = cells(spark, [(20, c) for c in range(40)])
+    sense = spark.createDataFrame([(20, 5, 2), (20, 30, 3), (1, 1, 2)], "row int, col int, code int")
+    out = features.geometry(cells(spark, [(10, 5), (30, 31), (10, 15)]), bar, GridSpec(40, 40), sense)
+    assert {r.col: r.sense_sgn for r in out.collect()} == {5: 1.0, 31: -1.0, 15: 0.0}
+    assert all(r.sense_side == r.sense_sgn * r.side for r in out.collect())
+
+
+def test_links_need_gap_strike_and_way(spark):
+    rows = [(1, 0.0, 0.0, 0.0, 10.0, 90.0), (2, 0.0, 12.0, 0.0, 20.0, 85.0), (3, 0.0, 22.0, 9.0, 22.0, 0.0), (4, 3.0, 0.0, 3.0, 10.0, 90.0), (5, 30.0, 0.0, 30.0, 9.0, 90.0)]
+    out = components.links(spark.createDataFrame(rows, "comp_id long, r0 double, c0 double, r1 double, c1 double, strike_deg double"))
+    assert [tuple(r) for r in out.collect()] == [(1, 2)]  # 3 turns, 4 lies beside 1, 5 is far
+
+
+def test_spaced_cells_equal_one_after_the_other(spark):
+    rng = random.Random(2)
+    rows = [(r, c, rng.randint(1, 9) / 10) for r in range(14) for c in range(14)]
+    kept = []
+    for r, c, _ in sorted(rows, key=lambda x: (-x[2], x[0], x[1])):
+        if all((r - a) ** 2 + (c - b) ** 2 > 9 for a, b in kept):
+            kept.append((r, c))
+    out = allocate.spaced(spark.createDataFrame(rows, "row int, col int, value double"), 3.0)
+    assert sorted((r.row, r.col) for r in out.collect()) == sorted(kept)
+
+
+def test_ranks_keep_null_values_and_groups(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), (None, 3.0), (None, 2.0)], "g string, x double")
+    assert sorted((r.g or "", r.x or 0.0, r["rank"]) for r in stats.average_rank(df, "x", ["g"]).collect() if r.x) == [("", 2.0, 1.0), ("", 3.0, 2.0), ("a", 1.0, 1.0)]
+    assert [r["rank"] for r in stats.average_rank(df, "x", ["g"]).where("x is null").collect()] == [None]
+
+
+def test_local_strike_of_diagonals(spark):
+    mask = cells(spark, [(i, i) for i in range(10, 70)])
+    out = tensor.local_strike(mask, GridSpec(80, 80)).where("row = 40").first()
+    assert math.isclose(out.strike_deg, 135.0, abs_tol=1e-6) and out.coherence > 0.9
+
+
+def test_leaderboard_is_checked(spark):
+    page = lambda rows: "<table>" + "".join(f"<tr><td>{r}<td>x<td>{n}<td>{s}" for r, n, s in rows) + "</table>"
+    make = lambda *rows: spark.createDataFrame([(1, page(rows))], "page_id long, html string")
+    good = feeds.leaderboard(make(("1", "ann", "0.9000"), ("#2", "bob", "0.5000"), ("x", "c", "0.1000"))).collect()
+    assert [(r["rank"], r.participant, r.score) for r in good] == [(1, "ann", 0.9), (2, "bob", 0.5)]
+    for bad in ((("2", "a", "0.9000"),), (("1", "a", "0.5000"), ("2", "b", "0.9000")), (("1", "a", "0.9000"), ("1", "b", "0.5000"))):
+        with pytest.raises(Exception, match="leaderboard"):
+            feeds.leaderboard(make(*bad)).collect()
+
+
+def test_merged_rows_must_agree(spark):
+    old = spark.createDataFrame([("h", 1.0, ["b"]), ("i", 2.0, ["a"])], "sha256 string, m double, sources array<string>")
+    new = spark.createDataFrame([("h", 1.0, ["a", "b"])], "sha256 string, m double, sources array<string>")
+    assert sorted(tuple(r) for r in registry.merge_rows(old, new, ["m"]).collect()) == [("h", 1.0, ["a", "b"]), ("i", 2.0, ["a"])]
+    with pytest.raises(Exception, match="unlike"):
+        registry.merge_rows(old, new.withColumn("m", F.lit(3.0)), ["m"]).collect()
 
 
 def test_weighted_negatives_keep_the_mass(spark):
