@@ -9,7 +9,11 @@ of the whole corpus, and the same however the input is split.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from rastra.llm.packing import pack_pieces, token_pieces
 from rastra.llm.tokens import VOCABULARY, id_bytes
 from rastra.storage import stage_table
 
-PACKED = ["n_tokens", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "starts"]
+PACKED = ["n_tokens int", "input_ids binary", "cu_seqlens array<int>", "position_ids binary", "doc_ids array<bigint>", "starts array<bigint>"]
 
 
 class CapacityTree:
@@ -85,29 +89,49 @@ def packed_sequences(docs: DataFrame, capacity: int = 1024, end_id: int = 50256,
     """Rows of at most capacity tokens: sequence_id and PACKED.
 
     input_ids are little-endian, of id_bytes(vocabulary) bytes each, and position_ids uint16, one row of the id matrix each
-    (unpadded); position_ids
-    restart at 0 with every segment, cu_seqlens has the segments' bounds from 0 to n_tokens, and doc_ids and starts tell
-    where each segment comes from. Every document ends with end_id; overlong ones are cut without loss. Null and empty
-    texts are one end_id; repeated rows are documents of their own; an empty table gives no rows; other columns of docs
-    don't matter.
+    (unpadded); position_ids restart at 0 with every segment, cu_seqlens has the segments' bounds from 0 to n_tokens, and
+    doc_ids and starts tell where each segment comes from. Every document ends with end_id; overlong ones, however long, are
+    cut without loss. Null and empty texts are one end_id; repeated rows are documents of their own; an empty table gives no
+    rows; other columns of docs don't matter.
     """
     if capacity > 1 << 16:
         raise ValueError("position_ids are uint16: capacity is at most 65536")
-    pieces = stage_table(token_pieces(docs, capacity, end_id, vocabulary, with_ids=True), "pieces")
+    pieces = stage_table(_squeezed(token_pieces(docs, capacity, end_id, vocabulary, with_ids=True)), "pieces")
     placed = pack_pieces(pieces, capacity, planner=best_fit_decreasing)
-    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "start", "ids")))  # at most `capacity` tokens
-    rows = placed.groupBy("sequence_id").agg(parts.alias("_p"))
-    count_up = F.unhex(F.lit(np.arange(capacity, dtype="<u2").tobytes().hex()))
-    joined = lambda part: F.aggregate("_p", F.lit(b""), lambda acc, p: F.concat(acc, part(p)))
-    return rows.select(
-        "sequence_id",
-        F.aggregate("_p", F.lit(0).cast("long"), lambda acc, p: acc + p["length"]).cast("int").alias("n_tokens"),
-        joined(lambda p: p["ids"]).alias("input_ids"),
-        F.concat(F.transform("_p", lambda p: p["offset"].cast("int")), F.array(F.aggregate("_p", F.lit(0).cast("long"), lambda acc, p: acc + p["length"]).cast("int"))).alias("cu_seqlens"),
-        joined(lambda p: F.substr(count_up, F.lit(1), (p["length"] * 2).cast("int"))).alias("position_ids"),
-        F.col("_p.doc_id").alias("doc_ids"),
-        F.col("_p.start").alias("starts"),
-    )
+    parts = F.collect_list(F.struct("offset", "length", "doc_id", "start", "ids"))  # at most `capacity` tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, len(whole), 512)):
+            out: list[list] = [[] for _ in range(7)]
+            for sequence, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                members = sorted(members.as_py(), key=lambda m: m["offset"])
+                bounds = np.cumsum([0, *(m["length"] for m in members)])
+                row = (
+                    sequence,
+                    int(bounds[-1]),
+                    b"".join(zlib.decompress(m["ids"]) for m in members),
+                    bounds.tolist(),
+                    np.concatenate([np.arange(m["length"], dtype="<u2") for m in members]).tobytes(),
+                    [m["doc_id"] for m in members],
+                    [m["start"] for m in members],
+                )
+                for column, value in zip(out, row):
+                    column.append(value)
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["sequence_id", *(c.split()[0] for c in PACKED)])
+
+    return placed.groupBy("sequence_id").agg(parts.alias("_p")).mapInArrow(run, ", ".join(["sequence_id long", *PACKED]))
+
+
+def _squeezed(pieces: DataFrame) -> DataFrame:
+    """pieces with their ids (the last column) compressed: they are written once and shuffled twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = [zlib.compress(x.as_buffer(), 1) for x in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(small, pa.binary())], batch.schema.names)
+
+    return pieces.mapInArrow(run, pieces.schema)
 
 
 def id_matrix(sequences: DataFrame, capacity: int = 1024, pad_id: int = 50256, vocabulary: str = VOCABULARY) -> DataFrame:
