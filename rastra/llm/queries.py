@@ -7,6 +7,7 @@ from rastra.llm.line_dedup import OP3_SQL, op3_line_dedup
 from rastra.llm.lm import op6_hmm_lm
 from rastra.llm.near_dedup import OP8_SQL, op8_minhash_near_dedup
 from rastra.llm.packing import op10_best_fit_packing
+from rastra.llm.periodic_runs import OP12_SQL, op12_periodic_runs
 from rastra.llm.pii import op1_pii
 from rastra.llm.pieces import op5_sentencepiece
 from rastra.llm.token_output import op4_token_binary
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_periodic_runs": op12_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_exact_top_k": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op12_periodic_runs": OP12_SQL}
