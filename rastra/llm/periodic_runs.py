@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 #: Words that matches grow by for all shifts at once, before a node's linear scan takes over.
 _STEPS = 24
@@ -181,8 +181,9 @@ def find_periodic_runs(docs: DataFrame, text_col: str = "text", least: int = 12)
 
     rest = [docs[f"`{c}`"] for c in docs.columns if c != text_col]
     boxed = docs.select(F.struct(*rest or [F.lit(0).alias("_")]).alias("row"), F.col(text_col).cast("binary").alias("text"))
-    kind = StructType().add("row", boxed.schema["row"].dataType).add("n_words", "long")
-    return boxed.mapInArrow(run, kind.add("runs", "array<struct<start: long, length: long, period: long>>").add("collapsed", "string"))
+    each = StructType().add("start", "long").add("length", "long").add("period", "long")
+    kind = StructType().add("row", boxed.schema["row"].dataType).add("n_words", "long").add("runs", ArrayType(each)).add("collapsed", "string")
+    return boxed.mapInArrow(run, kind)
 
 
 def with_planted_period(docs: DataFrame) -> DataFrame:
