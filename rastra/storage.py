@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,11 +28,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rastra-{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark removes a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(spark: SparkSession, write: Callable[[], None]) -> None:
+    """Run a write of a work table. Nothing reads its shuffle files afterwards, so Spark removes them at its end instead of keeping
+    them until the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        write()
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stage_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    written(spark, lambda: df.write.partitionBy(*partition_by).parquet(path))
     return spark.read.schema(df.schema).parquet(path)
 
 
