@@ -109,6 +109,101 @@ def marginal_pass(cells: DataFrame, fold: str, n_truth: float, patience: int = 0
     return cells.select(fold, "row", "col", "value", "credit").groupBy(fold).applyInPandas(run, f"{fold} {kind}, row int, col int, rank int")
 
 
+def greedy_rounds(
+    cells: DataFrame, fold: str, n_truth: float, floor: float = 0.02, cap: int | None = None, per_round: int = 20_000, max_rounds: int = 400,
+) -> DataFrame:
+    """fold, row, col, rank, round: per fold, cells are accepted while their marginal credit pays the bar c * (1 - own credit),
+    c = a / (1 - a), a = alpha * index, which moves with every acceptance.
+
+    cells: fold, row, col, value (probability) and credit (its kernel sum), as in marginal_pass. A round visits, by falling credit,
+    the open candidates whose last known marginal credit still exceeds the bar. One that is visited is settled until a dot comes
+    within two kernel radii of it, which opens all of that window again. A round that accepts nothing ends the fold. The bar
+    depends on all dots of the fold, so a fold is one group of a grid of fixed size, held as small arrays.
+    """
+    offs = kernel_offsets()
+    reach = max(abs(a) for a, *_ in offs)
+    weights = np.zeros((2 * reach + 1, 2 * reach + 1))
+    for a, b, k in offs:
+        weights[a + reach, b + reach] = k
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, pad = pdf[fold].iloc[0], 2 * reach
+        row, col = (pdf[c].to_numpy() - pdf[c].min() + pad for c in ("row", "col"))
+        shape = (row.max() + pad + 1, col.max() + pad + 1)
+        p, cover, which = np.zeros(shape), np.zeros(shape), np.full(shape, -1)
+        p[row, col] = pdf["value"].to_numpy()
+        ranked = pdf.assign(_r=row, _c=col)[pdf["credit"] >= floor].sort_values(["credit", "row", "col"], ascending=[False, True, True], kind="stable")
+        y, x, upper = ranked["_r"].to_numpy(), ranked["_c"].to_numpy(), ranked["credit"].to_numpy(float).copy()
+        which[y, x] = np.arange(len(y))
+        own, open_, taken = np.minimum(upper, 1.0), np.ones(len(y), bool), np.zeros(len(y), bool)
+        t = m = 0.0
+        out: list[tuple[int, int]] = []
+        for turn in range(1, max_rounds + 1):
+            a = ALPHA * (t / (ALPHA * (t + len(out) - m) + BETA * n_truth + 1e-12))
+            visit = np.flatnonzero(open_ & (upper > a / (1 - a) * (1 - own)))[:per_round] if a < 1 else ()
+            before = len(out)
+            for i in visit:
+                if a >= 1 or (cap is not None and len(out) >= cap):
+                    break
+                open_[i] = False
+                if taken[i]:
+                    continue
+                near = (slice(y[i] - reach, y[i] + reach + 1), slice(x[i] - reach, x[i] + reach + 1))
+                upper[i] = gain = (p[near] * np.maximum(weights - cover[near], 0.0)).sum()
+                if gain <= a / (1 - a) * (1 - own[i]):
+                    continue
+                taken[i], t, m = True, t + gain, m + own[i]
+                out.append((int(i), turn))
+                np.maximum(cover[near], weights, out=cover[near])
+                window = which[y[i] - pad : y[i] + pad + 1, x[i] - pad : x[i] + pad + 1]
+                open_[window[window >= 0]] = True
+                open_[i] = False
+                a = ALPHA * (t / (ALPHA * (t + len(out) - m) + BETA * n_truth + 1e-12))
+            if len(out) == before:
+                break
+        at = ranked.iloc[[i for i, _ in out]]
+        return pd.DataFrame({fold: name, "row": at["row"].to_numpy(), "col": at["col"].to_numpy(), "rank": np.arange(1, len(out) + 1), "round": [turn for _, turn in out]})
+
+    kind = cells.schema[fold].dataType.simpleString()
+    return cells.select(fold, "row", "col", "value", "credit").groupBy(fold).applyInPandas(run, f"{fold} {kind}, row int, col int, rank int, round int")
+
+
+def stratified_fill(cells: DataFrame, stratum: str, quota: DataFrame, gap: float) -> DataFrame:
+    """stratum, row, col, value: what filling the strata one after the other (in their order) chooses: within a stratum cells by
+    falling value, ties row by row, none within a closed radius of one chosen before, until the stratum's quota is met.
+
+    quota: stratum, quota; a stratum without one gets no cell. All strata are filled at once. In a round the first open cells of
+    a stratum, as many as it lacks, can be told apart from those that its quota may cut off: whatever becomes of the others, they
+    are within it. Those of them that no open cell within the radius comes before are chosen and close their neighbours; a
+    stratum whose quota is met closes. The first open cell of the whole order is always chosen, so every round gets on.
+    """
+    from rastra.operators.stencil import disk_offsets, spread
+    from rastra.storage import drop_staged, stage_table
+
+    need = quota.select(F.col(stratum).alias("_s"), F.col("quota").cast("long").alias("_need")).where("_need > 0")
+    rows = cells.select(stratum, "row", "col", "value").join(need, F.col(stratum) == F.col("_s")).drop("_s")
+    open_ = stage_table(rows.withColumn("_got", F.lit(0).cast("long")), "open")
+    around, order = [o for o in disk_offsets(gap) if o != (0, 0)], F.struct(F.col(stratum).alias("s"), (-F.col("value")).alias("v"), F.col("row").alias("r"), F.col("col").alias("c"))
+    chosen: list[DataFrame] = []
+    while not open_.isEmpty():
+        first = F.row_number().over(Window.partitionBy(stratum).orderBy(F.desc("value"), "row", "col"))
+        sure = open_.withColumn("_k", first).where(F.col("_k") <= F.col("_need") - F.col("_got")).drop("_k")
+        earlier = spread(open_.select("row", "col", order.alias("_o")), around).groupBy("row", "col").agg(F.min("_o").alias("_o"))
+        tops = stage_table(sure.join(earlier, ["row", "col"], "left").where(F.col("_o").isNull() | (order < F.col("_o"))).drop("_o"), "tops")
+        chosen.append(tops.select(stratum, "row", "col", "value"))
+        got = tops.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_more"))
+        taken = spread(tops.select("row", "col"), disk_offsets(gap)).select("row", "col").distinct()
+        rest = open_.join(taken, ["row", "col"], "left_anti").join(got, F.col(stratum) == F.col("_s"), "left").drop("_s")
+        rest = rest.withColumn("_got", F.col("_got") + F.coalesce("_more", F.lit(0))).drop("_more").where("_got < _need")
+        after = stage_table(rest, "open")
+        drop_staged(open_)
+        open_ = after
+    out = cells.sparkSession.createDataFrame([], rows.select(stratum, "row", "col", "value").schema)
+    for tops in chosen:
+        out = out.unionByName(tops)
+    return out
+
+
 def spaced(cells: DataFrame, gap: float) -> DataFrame:
     """row, col, value: cells by falling value (ties row by row), none within a closed radius of one chosen before.
 

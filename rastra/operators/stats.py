@@ -31,11 +31,23 @@ def average_rank(df: DataFrame, value: str, by: list[str], parts: int = 64) -> D
     return df.join(ranks.where(F.col(f"_k{len(by)}").isNotNull()), same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+def with_group(df: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """df with the columns of a table that has a row for each group; a null group is a group."""
+    names = [f"_g{i}" for i in range(len(by))]
+    table = table.select(*[F.col(c).alias(n) for c, n in zip(by, names)], *[c for c in table.columns if c not in by])
+    return df.join(table, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)]).drop(*names)
+
+
+def pearson(a: str, b: str) -> Column:
+    """Pearson's correlation as an aggregate, null where a column is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """by, rho: null for constant columns or fewer than three rows."""
     ranked = average_rank(average_rank(df, a, by).withColumnRenamed("rank", "_ra"), b, by)
-    out = ranked.groupBy(*by).agg(F.corr("_ra", "rank").alias("rho"), F.count("*").alias("_n"))
-    return out.select(*by, F.when((F.col("_n") >= 3) & ~F.isnan("rho"), F.col("rho")).alias("rho"))
+    out = ranked.groupBy(*by).agg(pearson("_ra", "rank").alias("rho"), F.count("*").alias("_n"))
+    return out.select(*by, F.when(F.col("_n") >= 3, F.col("rho")).alias("rho"))
 
 
 def auc(df: DataFrame, value: str, label: str, by: list[str], least: int = 10) -> DataFrame:
@@ -54,17 +66,17 @@ def rank_to_byte(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     df = df.where(F.col(value).isNotNull())
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
     scaled = F.when(F.col("_n") > 1, (F.col("rank") - 1) / (F.col("_n") - 1) * 254).otherwise(0.0)
-    return ranked.join(sizes, by).withColumn("byte", F.rint(scaled).cast("int")).drop("rank", "_n")
+    return with_group(ranked, sizes, by).withColumn("byte", F.rint(scaled).cast("int")).drop("rank", "_n")
 
 
 def robust_z(df: DataFrame, value: str, by: list[str], clip: float = 10.0) -> DataFrame:
     """df with z: (value - median) / (1.4826 MAD), the standard deviation where MAD is 0, clipped; 0 where that is 0 too."""
     center = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("_med"), F.stddev_pop(value).alias("_sd"))
-    off = df.join(center, by)
+    off = with_group(df, center, by)
     spread = off.groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("_med")), 0.5).alias("_mad"))
     scale = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.col("_sd"))
     z = F.when(scale > 0, (F.col(value) - F.col("_med")) / scale).otherwise(0.0)
-    return off.join(spread, by).withColumn("z", F.greatest(F.lit(-clip), F.least(F.lit(clip), z))).drop("_med", "_sd", "_mad")
+    return with_group(off, spread, by).withColumn("z", F.greatest(F.lit(-clip), F.least(F.lit(clip), z))).drop("_med", "_sd", "_mad")
 
 
 def bin_of(value: Column, edges: list[float]) -> Column:
@@ -90,16 +102,18 @@ def entropy(df: DataFrame, category: str, by: list[str]) -> DataFrame:
     counts = df.groupBy(*by, category).agg(F.count("*").alias("_n"))
     total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
     p = F.col("_n") / F.col("_all")
-    return counts.join(total, by).groupBy(*by).agg((-F.sum(p * F.ln(p))).alias("entropy"))
+    return with_group(counts, total, by).groupBy(*by).agg((-F.sum(p * F.ln(p))).alias("entropy"))
 
 
 def power_law(df: DataFrame, x: str, y: str, edges: list[float], quantile: float = 0.9, least: int = 5) -> DataFrame:
-    """One row: gamma, log_scale. Weighted least squares of log(quantile of y) on log(mean x) over bins of x."""
+    """One row: gamma, log_scale. Weighted least squares of log(quantile of y) on log(mean x) over bins of x; both are null where
+    fewer than two bins have `least` rows."""
     bins = df.where((F.col(x) > 0) & (F.col(y) > 0)).withColumn("_b", bin_of(F.col(x), edges)).where("_b is not null")
     points = bins.groupBy("_b").agg(F.ln(F.avg(x)).alias("u"), F.ln(F.percentile(y, quantile)).alias("v"), F.count("*").alias("w")).where(F.col("w") >= least)
     sums = points.agg(*[F.sum(e).alias(n) for n, e in (("w", F.col("w")), ("wu", F.col("w") * F.col("u")), ("wv", F.col("w") * F.col("v")), ("wuu", F.col("w") * F.col("u") * F.col("u")), ("wuv", F.col("w") * F.col("u") * F.col("v")))])
-    gamma = (F.col("w") * F.col("wuv") - F.col("wu") * F.col("wv")) / (F.col("w") * F.col("wuu") - F.col("wu") * F.col("wu"))
-    return sums.select(gamma.alias("gamma"), ((F.col("wv") - gamma * F.col("wu")) / F.col("w")).alias("log_scale"))
+    spread = F.col("w") * F.col("wuu") - F.col("wu") * F.col("wu")
+    gamma = F.try_divide(F.col("w") * F.col("wuv") - F.col("wu") * F.col("wv"), F.when(spread > 1e-9 * F.col("w") * F.col("wuu"), spread))
+    return sums.select(gamma.alias("gamma"), F.try_divide(F.col("wv") - gamma * F.col("wu"), F.col("w")).alias("log_scale"))
 
 
 def quantile_table(df: DataFrame, value: str, by: list[str], at: list[float]) -> DataFrame:
@@ -114,11 +128,11 @@ def staged_percentile(df: DataFrame, value: str, q: float) -> float | None:
 
 def correlations(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """by, n, pearson, spearman over rows where both are finite: null for constant columns or fewer than three rows."""
-    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    fine = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf"))  # noqa: E731  NaN is above infinity
     rows = df.where(fine(a) & fine(b)).select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
     ranked = average_rank(average_rank(rows, "_a", by).withColumnRenamed("rank", "_ra"), "_b", by)
     spans = (F.max("_a") - F.min("_a") > 1e-14) & (F.max("_b") - F.min("_b") > 1e-14) & (F.count("*") >= 3)
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("_p"), F.corr("_ra", "rank").alias("_s"), spans.alias("_ok"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), pearson("_a", "_b").alias("_p"), pearson("_ra", "rank").alias("_s"), spans.alias("_ok"))
     return out.select(*by, "n", F.when(F.col("_ok"), F.col("_p")).alias("pearson"), F.when(F.col("_ok"), F.col("_s")).alias("spearman"))
 
 
@@ -148,7 +162,7 @@ def dense_rank_of(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """df with dense: the number of distinct values up to the row's own (not Spearman's rank on ties)."""
     distinct = df.where(F.col(value).isNotNull()).select(*by, value).distinct()
     ranks = distinct.withColumn("dense", F.dense_rank().over(Window.partitionBy(*by).orderBy(value)))
-    return df.join(ranks, [*by, value])
+    return with_group(df, ranks, [*by, value])
 
 
 def surface_profile(cells: DataFrame, by: list[str], cells_of_grid: int, dense_from: float = 0.2) -> DataFrame:

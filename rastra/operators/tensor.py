@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from rastra.grid import GridSpec
+from rastra.operators.blocks import Window, by_blocks, smoothed
 from rastra.operators.stencil import spread
 
 
@@ -15,7 +19,7 @@ def gradient(dense: DataFrame, value: str = "value") -> DataFrame:
     """dense (every cell of a grid) with g_row and g_col: central differences, one-sided at the edges."""
     out = dense
     for axis, other in (("row", "col"), ("col", "row")):
-        w = Window.partitionBy(other).orderBy(axis)
+        w = Over.partitionBy(other).orderBy(axis)
         before, after = F.lag(value).over(w), F.lead(value).over(w)
         out = out.withColumn(f"g_{axis}", F.when(before.isNull(), after - F.col(value)).when(after.isNull(), F.col(value) - before).otherwise((after - before) / 2))
     return out
@@ -54,7 +58,7 @@ def box_contrast(dense: DataFrame, half: int, value: str = "value") -> DataFrame
     """dense with contrast: (value - box mean) / box deviation over (2 half + 1)^2 cells, cut off at the grid's edge."""
     out = dense.select("row", "col", value, F.col(value).alias("s"), (F.col(value) ** 2).alias("q"), F.lit(1).alias("n"))
     for axis, other in (("row", "col"), ("col", "row")):
-        w = Window.partitionBy(other).orderBy(axis).rangeBetween(-half, half)
+        w = Over.partitionBy(other).orderBy(axis).rangeBetween(-half, half)
         out = out.withColumns({c: F.sum(c).over(w) for c in ("s", "q", "n")})
     mean = F.col("s") / F.col("n")
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean))
@@ -96,18 +100,33 @@ def sparse_gradient(cells: DataFrame, grid: GridSpec, value: str = "value") -> D
     return parts[0].unionByName(parts[1]).groupBy("row", "col").agg(F.sum("g_row").alias("g_row"), F.sum("g_col").alias("g_col"))
 
 
-def local_strike(mask: DataFrame, grid: GridSpec, sigma: float = 3.0) -> DataFrame:
-    """row, col, strike_deg, coherence of every mask cell: the structure tensor of the smoothed mask, smoothed by sigma.
+def strikes(mask: DataFrame, grid: GridSpec, sigmas: list[float]) -> DataFrame:
+    """row, col, then strike_0, coherence_0, ... for each sigma, of every mask cell: the structure tensor of the smoothed mask, smoothed
+    by sigma, mirrored at the grid's edges.
 
     Differences below 1e-12 count as none, so that rounding gives no direction."""
-    smooth = gaussian_reflected(mask.select("row", "col").distinct().withColumn("value", F.lit(1.0)), grid, 1.0, ["value"])
-    g = sparse_gradient(smooth, grid)
-    products = g.select("row", "col", (F.col("g_row") ** 2).alias("rr"), (F.col("g_col") ** 2).alias("cc"), (F.col("g_row") * F.col("g_col")).alias("rc"))
-    s = gaussian_reflected(products, grid, sigma, ["rr", "cc", "rc"]).join(mask.select("row", "col").distinct(), ["row", "col"], "left_semi")
-    diff, cross = F.round(F.col("cc") - F.col("rr"), 12), F.round(2 * F.col("rc"), 12)
-    across = F.lit(0.5) * F.atan2(cross, diff) + math.pi / 2
-    strike = F.pmod(F.degrees(F.atan2(F.round(F.cos(across), 12), -F.sin(across))), F.lit(180.0))
-    return s.select("row", "col", strike.alias("strike_deg"), (F.sqrt(diff * diff + cross * cross) / F.greatest(F.col("rr") + F.col("cc"), F.lit(1e-12))).alias("coherence"))
+    first, reach = gaussian_weights(1.0), max(len(gaussian_weights(s)) // 2 for s in sigmas)
+
+    def run(w: Window) -> pd.DataFrame:
+        if not (w.there & w.inner).any():
+            return w.cells(w.there)
+        y, x = np.gradient(smoothed(w.there.astype(float), first, True))
+        out = {}
+        for i, sigma in enumerate(sigmas):
+            rr, cc, rc = (smoothed(a, gaussian_weights(sigma), True) for a in (y * y, x * x, y * x))
+            diff, cross = np.round(cc - rr, 12), np.round(2 * rc, 12)
+            across = 0.5 * np.arctan2(cross, diff) + np.pi / 2
+            out[f"strike_{i}"] = np.degrees(np.arctan2(np.round(np.cos(across), 12), -np.sin(across))) % 180.0
+            out[f"coherence_{i}"] = np.sqrt(diff * diff + cross * cross) / np.maximum(rr + cc, 1e-12)
+        return w.cells(w.there, **out)
+
+    names = ", ".join(f"strike_{i} double, coherence_{i} double" for i in range(len(sigmas)))
+    return by_blocks(mask.select("row", "col"), [], grid, len(first) // 2 + 1 + reach, run, names)
+
+
+def local_strike(mask: DataFrame, grid: GridSpec, sigma: float = 3.0) -> DataFrame:
+    """row, col, strike_deg, coherence of every mask cell (see strikes)."""
+    return strikes(mask, grid, [sigma]).toDF("row", "col", "strike_deg", "coherence")
 
 
 def laplacian(dense: DataFrame, value: str = "value") -> DataFrame:
@@ -115,7 +134,7 @@ def laplacian(dense: DataFrame, value: str = "value") -> DataFrame:
     out = gradient(dense, value)
     terms = F.lit(0.0)
     for axis, other in (("row", "col"), ("col", "row")):
-        w = Window.partitionBy(other).orderBy(axis)
+        w = Over.partitionBy(other).orderBy(axis)
         out = out.withColumn(f"_{axis}", F.coalesce(F.lag(value).over(w), value) + F.coalesce(F.lead(value).over(w), value) - 2 * F.col(value))
         terms = terms + F.col(f"_{axis}")
     return out.withColumns({"laplacian": terms, "slope": F.hypot("g_row", "g_col")}).drop("_row", "_col", "g_row", "g_col")

@@ -224,7 +224,7 @@ def negative_block_errors(spark, sf_dir):
 
 
 @query("independence", f"""WITH {_BLOCKS}, k AS (SELECT *, {_AVG('1', 'mse_a')} AS ra, {_AVG('1', 'mse_b')} AS rb, {_AVG('1', 'fpr_a')} AS qa, {_AVG('1', 'fpr_b')} AS qb FROM bl),
-s AS (SELECT count(*) AS n, greatest(abs(corr(mse_a, mse_b)), abs(corr(ra, rb)), abs(corr(fpr_a, fpr_b)), abs(corr(qa, qb))) AS m FROM k) SELECT n AS n_blocks, round(m, 5) AS strongest, n >= 20 AS measured, n >= 20 AND m < 0.6 AS allow FROM s""")
+s AS (SELECT count(*) AS n, [abs(corr(mse_a, mse_b)), abs(corr(ra, rb)), abs(corr(fpr_a, fpr_b)), abs(corr(qa, qb))] AS four FROM k), f AS (SELECT n, [x FOR x IN four IF x IS NOT NULL AND NOT isnan(x)] AS four FROM s), g AS (SELECT n, list_max(four) AS m, n >= 20 AND len(four) = 4 AS measured FROM f) SELECT n AS n_blocks, round(m, 5) AS strongest, measured, measured AND m < 0.6 AS allow FROM g""")
 def independence(spark, sf_dir):
     return stats.independence(_blocks(spark, sf_dir)).select("n_blocks", F.round("strongest", 5).alias("strongest"), "measured", "allow")
 

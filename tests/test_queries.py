@@ -9,7 +9,7 @@ import sys
 import pytest
 
 
-from rastra.plans.more import ORACLE_SQL, QUERIES
+from rastra.plans.deeper import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
