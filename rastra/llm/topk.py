@@ -192,6 +192,18 @@ def _blocks(rows: DataFrame, size: int, *extra: str) -> DataFrame:
     return parted.groupBy("leaf", "part").agg(F.collect_list(F.struct("id", "vec", *extra)).alias("members"))
 
 
+def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of q and x as whole numbers: by doubles where those hold them all, else by integers."""
+    if q.shape[1] * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) < 2**53:
+        return (q @ x.T).astype(np.int64)
+    return q.astype(np.int64) @ x.astype(np.int64).T
+
+
+def _safe(tau: np.ndarray) -> np.ndarray:
+    """Scores as doubles that are not greater."""
+    return tau - 1e-15 * np.abs(tau)
+
+
 def _best_of_block(q: np.ndarray, qid: np.ndarray, tau: np.ndarray, x: np.ndarray, vid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query row, candidate row, score) of each query's k best that reach its tau, and how many products were taken."""
     net = x[farthest_first(x, max(1, int(len(x) ** 0.5)))[0]]
@@ -206,22 +218,22 @@ def _best_of_block(q: np.ndarray, qid: np.ndarray, tau: np.ndarray, x: np.ndarra
         if not len(asks) or not len(mine):
             continue
         taken += len(asks) * len(mine)
-        score = q[asks] @ x[mine].T
-        score[qid[asks][:, None] == vid[mine][None, :]] = -np.inf
-        a, m = np.nonzero(score >= tau[asks][:, None])
+        score = _products(q[asks], x[mine])
+        close = np.where(qid[asks][:, None] == vid[mine][None, :], -np.inf, _safe(score.astype(float)))
+        a, m = np.nonzero((close >= tau[asks][:, None]) & (close > -np.inf))
         found.append((asks[a], mine[m], score[a, m]))
         top = np.full((len(q), k), -np.inf)
-        some = -np.sort(-score, axis=1)[:, :k]
+        some = -np.sort(-close, axis=1)[:, :k]
         top[asks, : some.shape[1]] = some
         best = -np.sort(-np.hstack([best, top]), axis=1)[:, :k]
-        tau = np.maximum(tau, best[:, k - 1])
+        tau = np.maximum(tau, _safe(best[:, k - 1]))
     if not found:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), taken
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int64), taken
     row, at, value = (np.concatenate(part) for part in zip(*found))
     order = np.lexsort((vid[at], -value, row))
     row, at, value = row[order], at[order], value[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-    keep = (rank < k) & np.isfinite(value)
+    keep = rank < k
     return row[keep], at[keep], value[keep], taken
 
 
@@ -240,7 +252,7 @@ def _probed(probes: DataFrame, blocks: DataFrame, k: int, width: int, s: Setting
                 q, x = _matrix([q["vec"] for q in asked], width), _matrix([m["vec"] for m in members], width)
                 row, at, value, taken = _best_of_block(q, qid, np.array([q["tau"] for q in asked]), x, vid, k)
                 ids, vecs = pa.array([None, *qid[row].tolist()], pa.int64()), pa.array([None, *vid[at].tolist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, vecs, pa.array([taken, *value.astype(np.int64).tolist()], pa.int64())], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids, vecs, pa.array([taken, *value.tolist()], pa.int64())], ["query_id", "vec_id", "score"])
 
     return batched.join(blocks, "leaf").select("asked", "members").mapInArrow(run, "query_id long, vec_id long, score long")
 
@@ -295,10 +307,13 @@ def _group_probes(groups: DataFrame, tree: CoverTree, k: int, s: Settings, walk:
 def _search(vectors: DataFrame, queries: DataFrame, k: int, s: Settings) -> DataFrame:
     """query_id, vec_id, score: candidates that hold every query's k best, and counts of products (query_id null)."""
     spark = vectors.sparkSession
-    width, rows = vectors.agg(F.max(F.size("vec")), F.count("*")).first()
+    most = [F.max(F.array_max(F.transform("vec", F.abs)))]
+    width, rows, top = vectors.agg(F.max(F.size("vec")), F.count("*"), *most).first()
     if not rows:
         return spark.createDataFrame([], "query_id long, vec_id long, score long")
     width = max(1, width)
+    if width * (top or 0) ** 2 >= 2**63:
+        raise ValueError(f"components of {top:.0f} are too large: their inner products may leave the range of a long")
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(s.sample).collect()
     tree = CoverTree.fit(_matrix([np.array(r["vec"], "<f8").tobytes() for r in sample], width), max(1, min(s.leaves, rows // s.leaf_rows)))
     data = stage_table(_dealt(vectors, tree), "dealt")
@@ -318,7 +333,7 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, s: Settings) -> Data
     first = stage_table(_probed(_group_probes(_blocks(asked, s.queries), tree, k, s, False), blocks, k, width, s), "first")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     named = first.where("query_id is not null")
-    kth = named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("tau"))
+    kth = named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), (F.col("score").cast("double") - 1e-15 * F.abs("score")).alias("tau"))
     asked = asked.join(kth, "id", "left").fillna(float("-inf"), ["tau"])
     return first.unionByName(_probed(_group_probes(_blocks(asked, s.queries, "tau"), tree, k, s, True), blocks, k, width, s))
 
@@ -328,6 +343,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, s: Settings = Sett
 
     vectors and queries: id long, vec array<double> of whole numbers. A query's own id is no candidate of it; fewer
     candidates give fewer rows; a query id that repeats counts once, repeated candidate rows as often as they stand.
+    Scores are exact over the whole range of a long; components so large that a score might leave it are an error.
     Vectors of unlike lengths are padded with zeros, empty ones too. Without vectors or queries there are no rows.
     """
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -343,6 +359,7 @@ def pruned_share(vectors: DataFrame, queries: DataFrame, k: int = 5, s: Settings
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """top_k of the contract's queries over all usable embeddings; odd rows as there."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = rows.select(F.col("vec_id").cast("long").alias("id"), quantized(F.col("embedding")).alias("vec"))
     return top_k(rows, rows.where(F.col("id") % 50 == 0))
