@@ -329,11 +329,11 @@ def repeated_spans(texts: TextTable, window: int = 200, gram: int = 64) -> DataF
     """k1, k2, n_bytes, spans and kept of every distinct text: the maximal spans of bytes that windows of `window` bytes cover which
     start anywhere else too, and the other bytes. Reads `texts` and work tables until its rows are written."""
     all_blocks = stage_table(_text_blocks(texts.rows, window, gram), "blocks")
-    again = all_blocks.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
-    some = all_blocks.join(again, "anchor").select(*_KEY, "start", "windows", "anchor")
+    again = stage_table(all_blocks.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "again")
+    some = all_blocks.join(again, "anchor").select(*_KEY, "start", "windows", "anchor")  # two tables: a hot anchor can be split
     places = some.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("places"))
     blocks = stage_table(_cut(places.join(texts.rows, _KEY), window), "cut")
-    drop_staged(all_blocks)
+    drop_staged(all_blocks, again)
 
     unlike = blocks.select("anchor", "content").distinct().groupBy("anchor").agg(F.ceil(F.count("*") / _BLOCKS).cast("int").alias("parts")).where("parts > 1")
     sets = blocks.groupBy("anchor", "content").agg(F.first("block").alias("block"), F.sum("copies").alias("n"))
