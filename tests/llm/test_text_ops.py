@@ -388,200 +388,6 @@ def test_packings_need_few_sequences():
         assert least <= slack <= decreasing and slack <= least * 1.01 + 1
 
 
-def test_matrix_intersections():
-    rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (0, 1, 500, 6000, 3000)]
-    got = near_dedup._shared(sets, sets[::-1])
-    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[::-1]] for a in sets]
-
-
-def test_fingerprints_follow_generalised_jaccard(spark):
-    rng = np.random.default_rng(5)
-    rows = []
-    for i in range(0, 60, 2):
-        a = [f"w{x}" for x in rng.integers(0, 60, 150)]
-        b = a[: 20 + 4 * i] + [f"v{x}" for x in rng.integers(0, 60, 130)]
-        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
-    sig = {r.doc_id: r.sig for r in fingerprints.signatures(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], "text", 128).collect()}
-    off = []
-    for i in range(0, 60, 2):
-        x, y = Counter(rows[i][1].split()), Counter(rows[i + 1][1].split())
-        want = sum((x & y).values()) / sum((x | y).values())
-        off.append(sum(p == q for p, q in zip(sig[i], sig[i + 1])) / 128 - want)
-    assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.06
-
-
-def test_fingerprint_rows_equal_brute_force(spark):
-    docs = generated(spark, 30).unionByName(spark.createDataFrame([(100, None), (101, ""), (102, "é🎉x")], "doc_id long, text string"))
-    text = texts(docs)
-    order = sorted(text, reverse=True)
-    out = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs).collect()}
-    assert len(out) == len(text)
-    for i, d in enumerate(order):
-        following = text[order[(i + 1) % len(order)]]
-        n = len(text[d])
-        edited = text[d][: n - n // 3] + following[: n // 3]
-        assert out[d].n_chars == n and out[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert (out[d].near_next == 1) == (out[d].fingerprint == out[order[(i + 1) % len(order)]].fingerprint)
-    same = defaultdict(set)
-    for d, t in text.items():
-        same[t].add(out[d].fingerprint)
-    assert all(len(s) == 1 for s in same.values())
-    assert fingerprints.edited_fingerprints(no_docs(spark)).count() == 0 and fingerprints.edited_fingerprints(odd_docs(spark)).count() == 11
-
-
-def test_language_model_base_and_normalisation(spark):
-    docs = generated(spark, 80).unionByName(spark.createDataFrame([(200, None), (201, "only unknown words")], "doc_id long, text string"))
-    text = texts(docs)
-    token = lambda t: words(t) + ["\n"]
-    counts = Counter(w for i, t in text.items() if zlib.crc32(str(i).encode()) % 10 for w in token(t))
-    total, kinds = sum(counts.values()), len(counts)
-    for r in lm.score_texts(docs, lm.Settings(lookup_share=200, own_share=50)).collect():
-        t = token(text[r.doc_id])
-        want = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in t)
-        assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.n_known == sum(counts[w] > 0 for w in t)
-        assert r.n_tokens == len(t) and r.train_tokens == total and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
-        assert math.isfinite(r.score) and r.score < 0
-    assert lm.score_texts(no_docs(spark)).count() == 0 and lm.score_texts(odd_docs(spark)).count() == 11
-
-
-def test_forward_equals_enumeration_and_training_gains():
-    rng = np.random.default_rng(0)
-    emit = rng.uniform(0.1, 1, (3, 2))
-    m = lm.Model(np.array([0.3, 0.7]), np.array([[0.8, 0.2], [0.4, 0.6]]), emit / emit.sum(0))
-    for obs in ([0], [0, 1, 2, 1], [2, 2]):
-        want = 0.0
-        for path in itertools.product((0, 1), repeat=len(obs)):
-            p = m.start[path[0]] * m.emit[obs[0], path[0]]
-            for a, b, o in zip(path, path[1:], obs[1:]):
-                p *= m.move[a, b] * m.emit[o, b]
-            want += p
-        (_, lengths, padded), = lm._groups([np.array(obs)], 100)
-        assert math.isclose(lm._forward(m, lengths, padded)[0][0], math.log(want))
-    data = [rng.integers(0, 3, n) for n in (1, 5, 40, 7)]
-    start, move, counts = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2))
-    before = 0.0
-    for _, lengths, padded in lm._groups(data, 60):
-        before += lm._forward(m, lengths, padded)[0].sum()
-        lm._expected(m, lengths, padded, start, move, counts)
-    assert math.isclose(counts.sum(), 53) and math.isclose(start.sum(), 4) and math.isclose(move.sum(), 49)
-    better = lm.Model(start / start.sum(), move / move.sum(1, keepdims=True), counts / counts.sum(0))
-    assert sum(lm._forward(better, n, o)[0].sum() for _, n, o in lm._groups(data, 60)) > before
-
-
-def test_language_model_beats_unigrams_on_held_out_texts(spark):
-    rng = np.random.default_rng(4)
-    rows = [(i, " ".join(f"{'ab'[i % 2]}{x}" for x in rng.integers(0, 30, 60))) for i in range(300)]
-    out = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    assert out[0] > out[1] + 0.1 * out[2]
-
-
-def test_top_k_equals_brute_force(spark):
-    rng = np.random.default_rng(6)
-    x = np.round(rng.normal(0, 40, (400, 6)))
-    x[50:120] = x[50]
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
-    out = topk.top_k(rows, rows.where("id % 10 = 0"), 5, topk.Settings(sample=100, leaf_rows=20, block=32, queries=8, first_leaves=1))
-    want = []
-    for q in range(0, 400, 10):
-        order = sorted((-int(x[q] @ x[i]), i) for i in range(400) if i != q)[:5]
-        want += [(q, k, i, -s) for k, (s, i) in enumerate(order, 1)]
-    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
-
-
-def test_top_k_of_odd_vectors(spark):
-    rows = [(1, [1.0, 2.0]), (2, [1.0]), (3, []), (4, [0.0, 0.0, 5.0]), (5, None), (6, [float("nan")]), (7, [None, 1.0])]
-    df = spark.createDataFrame(rows, "id long, vec array<double>")
-    good = df.where(topk.usable(F.col("vec")))
-    assert sorted(r.id for r in good.collect()) == [1, 2, 3, 4]
-    out = [(r.vec_id, r.score) for r in topk.top_k(good, good.where("id = 1")).orderBy("rank").collect()]
-    assert out == [(2, 1), (3, 0), (4, 0)]
-    assert topk.top_k(good.where("id > 9"), good).count() == 0
-
-
-def test_byte_pair_ids_equal_the_tokenizers_library(spark):
-    from tokenizers import Tokenizer
-
-    exact = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
-    for t in ["", " a  b\n\n c\t", "don't é漢字🎉▁ <|endoftext|> x", "123456 ''' ---", "A" * 5000, *filter(None, texts(odd_docs(spark)).values())]:
-        assert encoder()(t).tolist() == exact.encode(t, add_special_tokens=False).ids
-
-
-def test_best_fit_packing_is_gapless_and_tight(spark):
-    docs = odd_docs(spark).unionByName(odd_docs(spark).withColumn("doc_id", F.col("doc_id") + 100))
-    rows = packing.best_fit_pack(docs, capacity=64, with_ids=True).collect()
-    bins, by_doc = defaultdict(list), defaultdict(list)
-    for r in rows:
-        bins[r.sequence_id].append((r.offset, r.length))
-        assert zlib.crc32(np.frombuffer(bytes(r.ids), "<u2").astype("<u4").tobytes()) == r.ids_crc32 and len(r.ids) == 2 * r.length <= 128
-    for parts in bins.values():
-        at = 0
-        for offset, n in sorted(parts):
-            assert offset == at
-            at += n
-        assert at <= 64
-    assert len(bins) <= 1.02 * math.ceil(sum(r.length for r in rows) / 64) + 1
-    for r in rows:
-        if r.doc_id == 7:
-            by_doc[7].append((r.start, np.frombuffer(bytes(r.ids), "<u2").tolist()))
-    assert sum((ids for _, ids in sorted(by_doc[7])), []) == encoder()(texts(odd_docs(spark))[7]).tolist() + [2]
-    assert packing.best_fit_pack(no_docs(spark)).count() == 0
-
-
-def test_minimum_bin_slack_uses_every_item_once():
-    rng = np.random.default_rng(3)
-    counts = Counter(rng.integers(1, 101, 2000).tolist())
-    used, bins = Counter(), 0
-    for repeats, pattern in packing.minimum_bin_slack(counts, 100):
-        assert sum(k * m for k, m in pattern.items()) <= 100
-        bins += repeats
-        for k, m in pattern.items():
-            used[k] += m * repeats
-    assert used == counts and bins <= math.ceil(sum(k * n for k, n in counts.items()) / 100) * 1.02 + 1
-    assert cut(1, 4) == [(0, 1)] and cut(9, 4) == [(0, 1), (1, 4), (5, 4)] and cut(8, 4) == [(0, 4), (4, 4)]
-
-
-def test_capacity_tree_is_best_fit_decreasing():
-    rng = np.random.default_rng(8)
-    lengths = rng.integers(1, 50, 300).tolist()
-    bins, free = [], []
-    for i in sorted(range(300), key=lambda i: (-lengths[i], i)):
-        fits = [(f, -b) for b, f in enumerate(free) if f >= lengths[i]]
-        if fits:
-            best = min(f for f, _ in fits)
-            b = next(-k for f, k in fits if f == best)
-        else:
-            b = len(bins)
-            bins.append([])
-            free.append(64)
-        bins[b].append(i)
-        free[b] -= lengths[i]
-    rows = token_output.best_fit_decreasing(Counter(lengths), 64)
-    got = defaultdict(dict)  # sequence -> offset -> length
-    seen = Counter()
-    for length, a, z, first, each, offset in rows:
-        seen[length] += z - a
-        for rank in range(z - a):
-            got[first + rank // each][offset + rank % each * length] = length
-    assert seen == Counter(lengths) and len(got) == len(bins)
-    for places in got.values():
-        at = 0
-        for offset, length in sorted(places.items()):
-            assert offset == at
-            at += length
-        assert at <= 64
-
-
-def test_packings_need_few_sequences():
-    """Minimum bin slack needs no more sequences than best-fit decreasing, and about as few as the tokens fill."""
-    rng = np.random.default_rng(11)
-    for n, spread in ((60, 5.0), (900, 5.5), (9000, 5.8), (500, 6.2)):
-        counts = Counter(np.clip(rng.lognormal(spread, 0.8, n), 1, 1024).astype(int).tolist())
-        tokens = sum(k * v for k, v in counts.items())
-        least = max(-(-tokens // 1024), sum(v for k, v in counts.items() if k > 512))
-        slack = sum(r for r, _ in packing.minimum_bin_slack(counts, 1024))
-        decreasing = max(r[3] + (r[2] - r[1]) // r[4] for r in token_output.best_fit_decreasing(counts, 1024))
-        assert least <= slack <= decreasing and slack <= least * 1.01 + 1
 
 
 def test_packed_sequences_round_trip(spark, tmp_path):
@@ -774,3 +580,18 @@ def test_top_k_prunes_clustered_vectors_and_takes_empty_ones(spark):
     assert topk.pruned_share(rows, rows.where("id % 50 = 0"), 5, s) > 0.8
     empty = spark.createDataFrame([(0, []), (50, [])], "id long, vec array<double>")
     assert [tuple(r) for r in topk.top_k(empty, empty).orderBy("query_id").collect()] == [(0, 1, 50, 0), (50, 1, 0, 0)]
+
+
+def test_top_k_scores_are_exact_over_the_range_of_a_long(spark):
+    big = 256000001.0
+    rows = [(1, [big, 0.0]), (2, [big, 0.0]), (3, [big, 1.0]), (4, [big, 2.0]), (5, [-big, 0.0]), (6, [big - 1, 0.0]), (7, [big, -1.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = defaultdict(list)
+    for r in topk.top_k(df, df, 3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    product = lambda a, b: sum(int(x) * int(y) for x, y in zip(a, b))
+    for i, v in rows:
+        want = sorted(((j, product(v, w)) for j, w in rows if j != i), key=lambda x: (-x[1], x[0]))[:3]
+        assert got[i] == want
+    with pytest.raises(ValueError, match="too large"):
+        topk.top_k(spark.createDataFrame([(1, [4e9]), (2, [1.0])], "id long, vec array<double>"), df)
