@@ -133,4 +133,5 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edited_fingerprints of all documents; null, empty, long and repeated texts as there."""
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

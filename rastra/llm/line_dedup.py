@@ -147,6 +147,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drop_repeated_lines on all documents, as digests; null and empty texts are one empty line, other odd rows as there."""
     out = drop_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(
         "doc_id",

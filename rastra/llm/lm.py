@@ -305,4 +305,5 @@ def score_texts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def op6_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_texts on all documents; null texts are empty, other odd rows as there."""
     return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Texts without words (null, empty) are linked with nothing. Equal texts are linked. Rows that share a doc_id are one
-    document. Rows without a doc_id are counted but linked with nothing and kept. An empty table gives no rows.
+    document. Rows without a doc_id are counted but linked with nothing and kept. Very long texts are shingled whole. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     with _arrow_rows(spark, 1000):
@@ -327,6 +328,7 @@ def keep_one_of_each(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of all documents by shingles of four words; odd rows as there."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Plan(words=4))
 
 

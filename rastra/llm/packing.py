@@ -209,4 +209,5 @@ def best_fit_pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabu
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """best_fit_pack of all documents; null and empty texts are one end token, other odd rows as there."""
     return best_fit_pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

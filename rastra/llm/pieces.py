@@ -258,7 +258,7 @@ def encode_sampled(docs: DataFrame, seed: int = 1, sharpness: float = 0.5, model
     with with_text also what these ids decode to.
 
     Null and empty texts have no pieces. Rows with the same doc_id and text have the same segmentation; rows without a
-    doc_id are seeded alike. An empty table gives no rows.
+    doc_id are seeded alike. Very long texts are read whole. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,7 +220,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     then kind; code points, end exclusive.
 
     Without a model one is trained on all of docs. Null and empty texts have no spans; rows are judged one by one, so
-    repeated rows get equal spans; an empty table trains a model that adds nothing.
+    repeated rows get equal spans; very long texts are searched whole; an empty table trains a model that adds nothing.
     """
     found = with_candidates(boxed(docs, id_col, text_col))
     model = model or train(found.select("_spans"))
@@ -250,13 +250,15 @@ def mask(text: Column, spans: Column) -> Column:
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """docs, same columns, with the personal data in text masked."""
+    """docs, same columns, with the personal data in text masked. Null texts stay null and empty ones empty; repeated rows are masked
+    alike; an empty table stays one."""
     found = find_personal_data(docs)
     masked = F.when(F.size("personal_data") > 0, mask(F.col("text"), F.col("personal_data"))).otherwise(F.col("row.text"))
     return with_text(found, docs, masked)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_personal_data in all documents, as counts and digests; null, empty, long and repeated texts as there."""
     out = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     out = out.withColumn("base", F.filter("personal_data", lambda s: s["base"]))
     kinds = F.transform("base", lambda s: s["kind"])

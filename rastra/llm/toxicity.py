@@ -207,6 +207,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity by the model of all labels; null and empty texts have no words, repeated rows score alike."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score_documents(docs, model)
