@@ -168,6 +168,28 @@ def greedy_rounds(
     return cells.select(fold, "row", "col", "value", "credit").groupBy(fold).applyInPandas(run, f"{fold} {kind}, row int, col int, rank int, round int")
 
 
+def exclusion_sweep(cells: DataFrame, radii: list[float], n_truth: float, patience: int) -> DataFrame:
+    """radius, row, col, rank: marginal_pass once for each radius, over the cells of more than that distance d. cells: row, col, value,
+    credit and d; nearer cells still hold probability that dots beside them cover. The radii are groups side by side."""
+    swept = cells.withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii])))
+    open_ = F.when(F.col("d") > F.col("radius"), F.col("credit")).otherwise(-1.0)
+    return marginal_pass(swept.withColumn("credit", open_), "radius", n_truth, patience)
+
+
+def zone_limits(cells: DataFrame, fold: str, label: str, d: str, cap: int, quantile: float = 0.9) -> DataFrame:
+    """fold, zone, fraction, cap, base_rate, n_expected: what the other folds say of a fold. The zone is a quantile of their positive
+    cells' distance, fraction the share of these inside it, by which the cap is cut (1 at least); n_expected is their base rate
+    times the fold's cells. Without a positive cell elsewhere zone and fraction are null and the cap is 1."""
+    folds = cells.groupBy(F.col(fold).alias("_f")).agg(F.count("*").alias("_n"))
+    others = cells.select(fold, d, F.col(label).alias("_y")).join(F.broadcast(folds), F.col(fold) != F.col("_f"))  # a row for each fold
+    hit = F.when(F.col("_y") == 1, F.col(d))
+    zones = others.groupBy("_f", "_n").agg(F.percentile(hit, quantile).alias("zone"), F.avg("_y").alias("base_rate"))
+    inside = others.where("_y = 1").join(F.broadcast(zones.select("_f", "zone")), "_f").groupBy("_f").agg(F.avg((F.col(d) <= F.col("zone")).cast("double")).alias("fraction"))
+    out = zones.join(inside, "_f", "left")
+    share = F.greatest(F.lit(1), F.floor(cap * F.coalesce("fraction", F.lit(0.0)))).cast("long")
+    return out.select(F.col("_f").alias(fold), "zone", "fraction", share.alias("cap"), "base_rate", (F.col("base_rate") * F.col("_n")).alias("n_expected"))
+
+
 def stratified_fill(cells: DataFrame, stratum: str, quota: DataFrame, gap: float) -> DataFrame:
     """stratum, row, col, value: what filling the strata one after the other (in their order) chooses: within a stratum cells by
     falling value, ties row by row, none within a closed radius of one chosen before, until the stratum's quota is met.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -112,3 +114,72 @@ def edge_features(cells: DataFrame, geometry: DataFrame, scalar: DataFrame, grid
     edge = edge_tangent(scalar, grid).select("row", "col", F.col("cos2").alias("_c"), F.col("sin2").alias("_s"), F.col("log_gradient").alias(EDGE[1]), F.col("coherence").alias(EDGE[2]))
     out = geometry.join(cells.select("row", "col"), ["row", "col"], "left_semi").join(edge, ["row", "col"], "left").fillna(0.0, ["_c", "_s", *EDGE[1:]])
     return out.withColumn(EDGE[0], _clipped(F.col("_c") * F.col("cos2") + F.col("_s") * F.col("sin2"))).select(*geometry.columns, *EDGE)
+
+
+def interaction(mask: DataFrame, grid: GridSpec, radius: float = 15.0, tip: float = 2.0, scale: float = 0.5) -> DataFrame:
+    """row, col, value of the cells outside the mask: what its traces add up to. Each mask cell counts its component's size ** scale,
+    falling linearly to 0 at radius; near a tip (at most one of eight neighbours) tip / sqrt(distance) is added, up to half the
+    radius and 8 cells; and around bends (coherence below 1/2) the mean of 2 (1 - coherence) over 5 x 5 cells. Cells of value 0 are
+    left out."""
+    labelled = components.label8(mask, grid)
+    sizes = labelled.groupBy("comp_id").agg(F.pow(F.count("*").cast("double"), F.lit(scale)).alias("weight"))
+    bend = F.when(F.col("coherence") < 0.5, 2 * (1 - F.col("coherence"))).otherwise(0.0)
+    cells = labelled.join(sizes, "comp_id").join(tensor.local_strike(mask, grid), ["row", "col"]).select("row", "col", "weight", bend.alias("bend"))
+    reach, near = math.ceil(radius), min(8.0, radius / 2)
+    far = [(a, b, max(1.0 - math.hypot(a, b) / radius, 0.0)) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
+
+    def run(w: Window) -> pd.DataFrame:
+        total = _summed(w.arrays["weight"], [o for o in far if o[2] > 0]) + _summed(w.arrays["bend"], [(a, b, 1 / 25) for a in range(-2, 3) for b in range(-2, 3)])
+        tips = w.there & (_summed(w.there.astype(float), [(a, b, 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]) <= 1)
+        d = np.full(tips.shape, np.inf)
+        for a in range(-int(near), int(near) + 1):
+            for b in range(-int(near), int(near) + 1):
+                if math.hypot(a, b) <= near:
+                    np.minimum(d, np.where(_moved(tips, a, b), math.hypot(a, b), np.inf), out=d)
+        total += np.where((d > 0) & (d <= near), tip / np.sqrt(np.maximum(d, 0.5)), 0.0)
+        return w.cells(~w.there & (total > 0), value=total)
+
+    return by_blocks(cells, ["weight", "bend"], grid, reach + 1, run, "value double")
+
+
+def _moved(a: np.ndarray, dr: int, dc: int) -> np.ndarray:
+    """a moved by (dr, dc); what comes in is 0."""
+    h, w = a.shape
+    out = np.zeros_like(a)
+    if abs(dr) < h and abs(dc) < w:
+        out[max(0, dr) : h + min(0, dr), max(0, dc) : w + min(0, dc)] = a[max(0, -dr) : h - max(0, dr), max(0, -dc) : w - max(0, dc)]
+    return out
+
+
+def _summed(a: np.ndarray, offsets: list[tuple[int, int, float]]) -> np.ndarray:
+    return sum(k * _moved(a, dr, dc) for dr, dc, k in offsets)
+
+
+def system_intensity(systems: DataFrame, grid: GridSpec, classes: list[tuple[float, float]]) -> DataFrame:
+    """row, col, value: the sum over cells of sqrt(their system's length) smoothed by a Gaussian whose width goes with the length.
+
+    systems: row, col, length. classes: (greatest length, sigma), ascending; a length above all is not counted. Mirrored at the
+    grid's edges."""
+    bounds = [0.0, *[upper for upper, _ in classes]]
+    weights = [F.when((F.col("length") > a) & (F.col("length") <= b), F.sqrt(F.col("length").cast("double"))).otherwise(0.0).alias(f"w{i}") for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    cells = systems.select("row", "col", *weights)
+    kernels = [tensor.gaussian_weights(sigma) for _, sigma in classes]
+
+    def run(w: Window) -> pd.DataFrame:
+        total = sum(smoothed(w.arrays[f"w{i}"], k, True) for i, k in enumerate(kernels))
+        return w.cells(total > 0, value=total)
+
+    return by_blocks(cells, [f"w{i}" for i in range(len(classes))], grid, max(len(k) // 2 for k in kernels), run, "value double")
+
+
+def axial_orientation(cells: DataFrame, grid: GridSpec, sigma: float = 9.0) -> DataFrame:
+    """row, col, angle_deg of the layer's cells: the axis of the gradient of the smoothed layer (0 where there is none), from products
+    smoothed once more. The layer is 0 where it has no cell, and mirrored at the grid's edges."""
+    kernel = tensor.gaussian_weights(sigma)
+
+    def run(w: Window) -> pd.DataFrame:
+        y, x = np.gradient(smoothed(w.arrays["value"], kernel, True))
+        xx, yy, xy = (smoothed(a, kernel, True) for a in (x * x, y * y, x * y))
+        return w.cells(w.there, angle_deg=0.5 * np.degrees(np.arctan2(np.round(2 * xy, 12), np.round(xx - yy, 12))))
+
+    return by_blocks(cells.select("row", "col", "value"), ["value"], grid, 2 * (len(kernel) // 2) + 1, run, "angle_deg double")

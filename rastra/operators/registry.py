@@ -181,3 +181,41 @@ def within_bytes(files: DataFrame, key: str, size: str, budget: int, cap: int) -
     edge = fit.join(room.where(F.col("_n") > F.col("_room")), size)  # one size at most
     cut = edge.withColumn("_k", F.row_number().over(Window.partitionBy(size).orderBy(key))).where("_k <= _room")
     return whole.unionByName(cut.select(key, size))
+
+
+#: Listed files of more bytes are not taken.
+LARGEST = 100 * 1024 * 1024
+
+
+def merged_state(state: DataFrame, listing: DataFrame, own: DataFrame, inputs: str | None = None, largest: int = LARGEST) -> tuple[DataFrame, DataFrame]:
+    """(state, log): a registry after a new listing, and what became of each listed file.
+
+    state: sha256, sources (array), one row for each content. listing: source, sha256, bytes. own: sha256 of contents that are the
+    candidate's own. A listed file is of one kind, the first that fits: own; input (its source matches the pattern); known (content
+    and source are in the state); alias (a new source of a content that the state has); too_large; new. Contents of new files
+    become rows of the state, aliases are added to the sources of theirs. Merging the same listing again finds own, input, known
+    and too_large files alone and returns the same state.
+    """
+    have = state.select("sha256", F.lit(True).alias("_have"))
+    named = state.select("sha256", F.explode("sources").alias("source")).withColumn("_named", F.lit(True))
+    mine = own.select("sha256").distinct().withColumn("_own", F.lit(True))
+    rows = listing.select("source", "sha256", "bytes").distinct()
+    rows = rows.join(mine, "sha256", "left").join(have, "sha256", "left").join(named, ["sha256", "source"], "left")
+    kind = (
+        F.when(F.col("_own"), "own").when(F.col("source").rlike(inputs) if inputs else F.lit(False), "input").when(F.col("_named"), "known").when(F.col("_have"), "alias")
+        .when(F.col("bytes") > largest, "too_large").otherwise("new")
+    )
+    log = rows.select("source", "sha256", "bytes", kind.alias("kind"))
+    more = log.where("kind in ('alias', 'new')").select("sha256", "source")
+    old = state.select("sha256", F.explode("sources").alias("source"))
+    merged = old.unionByName(more).groupBy("sha256").agg(F.array_sort(F.collect_set("source")).alias("sources"))  # a content's own sources
+    return merged, log
+
+
+def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """a; reading it raises where a key is in one of both tables alone."""
+    sides = a.select(key).distinct().withColumn("_a", F.lit(1)).join(b.select(key).distinct().withColumn("_b", F.lit(1)), key, "full")
+    odd = sides.agg(F.count_if(F.col("_a").isNull()).alias("_more"), F.count_if(F.col("_b").isNull()).alias("_less"))
+    text = F.concat(F.lit("keys differ: "), F.col("_less"), F.lit(" are only in the first table, "), F.col("_more"), F.lit(" only in the second"))
+    checked = odd.select(F.when((F.col("_more") > 0) | (F.col("_less") > 0), F.raise_error(text).cast("int")).otherwise(0).alias("_odd"))
+    return a.join(F.broadcast(checked)).where("_odd = 0").drop("_odd")  # one row

@@ -97,6 +97,26 @@ def enrichment(df: DataFrame, value: str, label: str, edges: list[float]) -> Dat
     return out.select("bin", "n_all", "n_pos", rate.alias("rate"), F.when(F.col("_base") > 0, rate / F.col("_base")).otherwise(0.0).alias("ratio"))
 
 
+def joint_enrichment(df: DataFrame, a: str, b: str, label: str, edges_a: list[float], edges_b: list[float]) -> DataFrame:
+    """bin_a, bin_b, n_all, n_pos, rate of two measures' joint bins, empty ones included; rows outside either's bins don't count."""
+    spark = df.sparkSession
+    counts = df.select(bin_of(F.col(a), edges_a).alias("bin_a"), bin_of(F.col(b), edges_b).alias("bin_b"), F.col(label).alias("_y")).where("bin_a is not null and bin_b is not null")
+    counts = counts.groupBy("bin_a", "bin_b").agg(F.count("*").alias("n_all"), F.sum("_y").alias("n_pos"))
+    at = F.col("id").cast("int")
+    bins = spark.range((len(edges_a) - 1) * (len(edges_b) - 1)).select((at / (len(edges_b) - 1)).cast("int").alias("bin_a"), (at % (len(edges_b) - 1)).alias("bin_b"))
+    out = bins.join(counts, ["bin_a", "bin_b"], "left").fillna(0, ["n_all", "n_pos"])
+    return out.withColumn("rate", F.when(F.col("n_all") > 0, F.col("n_pos") / F.col("n_all")).otherwise(0.0))
+
+
+def side_rates(df: DataFrame, side: str, label: str) -> DataFrame:
+    """One row: n_left, n_right (positive cells of a side), rate_left, rate_right and log_ratio (right over left; null without a rate)."""
+    of = lambda s, c: F.coalesce(F.sum(F.when(F.signum(side) == s, c)), F.lit(0))
+    one = df.agg(of(-1, F.col(label)).alias("n_left"), of(1, F.col(label)).alias("n_right"), of(-1, F.lit(1)).alias("_l"), of(1, F.lit(1)).alias("_r"))
+    rate = lambda n, all_: F.col(n) / F.greatest(F.col(all_), F.lit(1))
+    out = one.select("n_left", "n_right", rate("n_left", "_l").alias("rate_left"), rate("n_right", "_r").alias("rate_right"))
+    return out.withColumn("log_ratio", F.when((F.col("rate_left") > 0) & (F.col("rate_right") > 0), F.ln(F.col("rate_right") / F.nullif("rate_left", F.lit(0.0)))))
+
+
 def entropy(df: DataFrame, category: str, by: list[str]) -> DataFrame:
     """by, entropy: of the categories' shares, in nats."""
     counts = df.groupBy(*by, category).agg(F.count("*").alias("_n"))

@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rastra.grid import EVENT_GRID, LAYER_GRID, event_cells, event_roles, layer_cells
-from rastra.operators import allocate, components, features, fields, fits, frames, nearest, stats, stencil, tensor
-from rastra.plans.more import _AVG, _NEAR, _PAIRS, ORACLE_SQL, QUERIES, query
+from rastra.grid import EVENT_GRID, LAYER_GRID, event_cells, event_roles, layer_cells, table
+from rastra.operators import allocate, components, crossfit, features, fields, fits, frames, metric, nearest, registry, stats, stencil, tensor
+from rastra.plans.more import _AVG, _NEAR, _PAIRS, ORACLE_SQL, QUERIES, _near, query
 from rastra.plans.queries import _EVENTS, _GEOMETRY, _LABELS, _LAYERS, _mirror, label8, r4, r6
+from rastra.sources import sink
+from rastra.storage import new_path, remove_path
 
 __all__ = ["ORACLE_SQL", "QUERIES"]  # all modules' queries
 
+
 # --- allocation in order ---
 
 #: Candidates of a fold by falling credit (rounded, so that the order of sums decides nothing), each with the cells it can cover.
@@ -306,3 +309,239 @@ def rank_p_values(spark, sf_dir):
     pairs = cells.where("layer <> 0").join(cells.where("layer = 0").select("row", "col", F.col("value").alias("y")), ["row", "col"])
     out = stats.correlations(pairs, "value", "y", ["layer"])
     return out.select("layer", "n", r6("spearman").alias("rho"), r6(fits.rank_p_value(F.col("spearman"), F.col("n"))).alias("p"))
+
+
+# --- sinks and state ---
+
+
+@query("committed_surface", f"""WITH {_EVENTS} SELECT count(*) AS n_cells, count(*) FILTER (v > 0) AS n_positive, round(sum(v), 4) AS total, 1 AS read_back FROM pred""")
+def committed_surface(spark, sf_dir):
+    """Commit the prediction, read it back, and tell the receipt; the folder goes when its rows are counted."""
+    path = new_path(spark, "surface")
+    receipt = sink.commit_surface(event_roles(spark, sf_dir)[1], path, EVENT_GRID, "prediction", "clicks with their value")
+    read = sink.read_receipt(spark, path)
+    remove_path(spark, path)
+    row = [(read["n_cells"], read["n_positive"], round(read["total"], 4), int(read == receipt))]
+    return spark.createDataFrame(row, "n_cells long, n_positive long, total double, read_back int")
+
+
+def _files(spark, sf_dir):
+    """Documents as files: source:doc_id, their content's hash, their bytes."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("lang", F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("source"), F.sha2(text, 256).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"))
+
+
+#: The state has the files in one language, the listing has all; those of the benchmark are the candidate's own.
+_STATE = """f AS (SELECT lang, concat_ws(':', source, doc_id::VARCHAR) AS source, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, ''))::BIGINT AS bytes FROM documents),
+own AS (SELECT sha256(text) AS sha256 FROM benchmark), st AS (SELECT sha256, list(DISTINCT source) AS sources FROM f WHERE lang = 'en' GROUP BY sha256),
+lg AS (SELECT DISTINCT source, f.sha256, bytes, CASE WHEN f.sha256 IN (FROM own) THEN 'own' WHEN source LIKE '%:1_' THEN 'input' WHEN list_contains(st.sources, source) THEN 'known' WHEN st.sha256 IS NOT NULL THEN 'alias' WHEN bytes > 20000 THEN 'too_large' ELSE 'new' END AS kind
+  FROM f LEFT JOIN st USING (sha256))"""
+
+
+def _merged(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    state = files.where("lang = 'en'").groupBy("sha256").agg(F.collect_set("source").alias("sources"))
+    own = table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("sha256"))
+    return registry.merged_state(state, files, own, ":1.$", 20_000), files, own
+
+
+@query("merge_log", f"WITH {_STATE} SELECT source, sha256, kind FROM lg")
+def merge_log(spark, sf_dir):
+    (_, log), _, _ = _merged(spark, sf_dir)
+    return log.select("source", "sha256", "kind")
+
+
+@query("merged_state", f"""WITH {_STATE}, al AS (SELECT sha256, unnest(sources) AS source FROM st UNION ALL SELECT sha256, source FROM lg WHERE kind IN ('alias', 'new'))
+SELECT sha256, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM al GROUP BY sha256""")
+def merged_state(spark, sf_dir):
+    """Twice: the second merge of the same listing must change nothing."""
+    (state, _), files, own = _merged(spark, sf_dir)
+    again, _ = registry.merged_state(state, files, own, ":1.$", 20_000)
+    return again.select("sha256", F.array_join("sources", ",").alias("sources"))
+
+
+# --- expressions on offsets ---
+
+
+#: Offsets of cells to the nearest truth cell within 12, with the cell's value as an angle.
+_OFFSETS = f"""{_EVENTS}, w AS (SELECT p.r, p.c, p.v, min({{'d2': (p.r - t.r) ** 2 + (p.c - t.c) ** 2, 'r': t.r, 'c': t.c}}) AS m
+  FROM pred p JOIN truth t ON t.r BETWEEN p.r - 12 AND p.r + 12 AND t.c BETWEEN p.c - 12 AND p.c + 12 WHERE (p.r - t.r) ** 2 + (p.c - t.c) ** 2 <= 144 GROUP BY ALL),
+x AS (SELECT r, c, (r - m.r)::DOUBLE AS dy, (c - m.c)::DOUBLE AS dx, sqrt(m.d2) AS d, v * 180 AS s, v FROM w)"""
+
+
+def _offsets(spark, sf_dir):
+    truth, prediction = event_roles(spark, sf_dir)
+    near = nearest.nearest_within(prediction, truth, 12)
+    d = lambda c: (F.col(c) - F.col(f"near_{c}")).cast("double")
+    return near.select("row", "col", d("row").alias("dy"), d("col").alias("dx"), F.sqrt(F.col("d2").cast("double")).alias("d"), (F.col("value") * 180).alias("s"), F.col("value").alias("v"))
+
+
+_TURN = lambda e: f"((({e}) % 180.0) + 180.0) % 180.0"
+
+
+@query("offset_expressions", f"""WITH {_OFFSETS} SELECT r AS "row", c AS col, round(greatest(0, 1 - d / 3), 6) AS kernel, round({_TURN('degrees(atan2(dx, -dy))')}, 5) % 180 AS azimuth,
+round(dx * sin(radians(s)) - dy * cos(radians(s)), 5) + 0.0 AS along, round(-dx * cos(radians(s)) - dy * sin(radians(s)), 5) + 0.0 AS across, round(d / (d + 0.2 * v + 0.8 * s + 1e-12), 5) AS dti FROM x""")
+def offset_expressions(spark, sf_dir):
+    from rastra.functions import scalars
+
+    scalars.register(spark)
+    _offsets(spark, sf_dir).createOrReplaceTempView("rastra_offsets")
+    return spark.sql("""SELECT row, col, round(grid_kernel(d, 3), 6) AS kernel, round(grid_azimuth(dy, dx), 5) % 180D AS azimuth, round(along_strike(dy, dx, s), 5) + 0D AS along,
+        round(across_strike(dy, dx, s), 5) + 0D AS across, round(dti(d, v, s), 5) AS dti FROM rastra_offsets""")
+
+
+@query("offset_credit", f"""WITH {_EVENTS}, o AS (SELECT dr::INTEGER AS dr, dc::INTEGER AS dc, 1 - sqrt(dr * dr + dc * dc) / 3.0 AS k FROM range(-3, 4) x(dr), range(-3, 4) y(dc) WHERE dr * dr + dc * dc < 9)
+SELECT dr, dc, round(any_value(k), 6) AS k, count(t.r) AS n, round(coalesce(sum(p.v * k) FILTER (t.r IS NOT NULL), 0), 5) AS credit FROM o CROSS JOIN pred p LEFT JOIN truth t ON t.r = p.r + dr AND t.c = p.c + dc GROUP BY dr, dc""")
+def offset_credit(spark, sf_dir):
+    """What each offset of the kernel is worth: the truth cells that prediction cells have there, and the credit."""
+    truth, prediction = event_roles(spark, sf_dir)
+    spread = stencil.spread(prediction, stencil.kernel_offsets(), EVENT_GRID)
+    hit = spread.join(truth, ["row", "col"]).groupBy((F.col("row") - F.col("src_row")).alias("dr"), (F.col("col") - F.col("src_col")).alias("dc")).agg(F.count("*").alias("n"), F.sum(F.col("value") * F.col("k")).alias("credit"))
+    offsets = spark.createDataFrame(stencil.kernel_offsets(), "dr int, dc int, k double")
+    return offsets.join(hit, ["dr", "dc"], "left").fillna(0).select("dr", "dc", r6("k").alias("k"), "n", F.round("credit", 5).alias("credit"))
+
+
+# --- out of fold ---
+
+_OOF_EDGES = {"d": [0.0, 2.0, 4.0, 6.0, 9.0, 12.5], "v": [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]}
+_BIN = lambda f: "CASE " + " ".join(f"WHEN {f} >= {a} AND {f} < {b} THEN {i}" for i, (a, b) in enumerate(zip(_OOF_EDGES[f], _OOF_EDGES[f][1:]))) + f" WHEN {f} = {_OOF_EDGES[f][-1]} THEN {len(_OOF_EDGES[f]) - 2} ELSE -1 END"
+_SHARE = lambda f, side: f"((SELECT count(*) FROM b o WHERE o.fold <> b.fold AND o.y = {side} AND o.{f}b = b.{f}b) + 1) / ((SELECT count(*) FROM b o WHERE o.fold <> b.fold AND o.y = {side}) + {len(_OOF_EDGES[f])})"
+_OOF = f"""{_NEAR}, b AS (SELECT r, c, v, d, y, ((r >= 360)::INTEGER * 2 + (c >= 128)::INTEGER)::INTEGER AS fold, {_BIN("d")} AS db, {_BIN("v")} AS vb FROM nn),
+lr AS (SELECT *, ln({_SHARE("d", 1)} / ({_SHARE("d", 0)})) + ln({_SHARE("v", 1)} / ({_SHARE("v", 0)})) AS l, (SELECT count(*) FROM b o WHERE o.fold <> b.fold AND o.y = 1) AS np, (SELECT count(*) FROM b o WHERE o.fold <> b.fold AND o.y = 0) AS nn_ FROM b),
+oof AS (SELECT r, c, y, l, round(1 / (1 + exp(-(l + ln((np + 1) / (nn_ + 1))))), 9) AS v FROM lr)"""
+
+
+def _scored(spark, sf_dir):
+    """Cells with the quadrant as fold, scored by the model of the other quadrants; p rounded, so that sums' order decides nothing."""
+    fold = (F.col("row") >= 360).cast("int") * 2 + (F.col("col") >= 128).cast("int")
+    out = crossfit.density_ratio(_near(spark, sf_dir).withColumn("fold", fold), "fold", "y", _OOF_EDGES)
+    return out.withColumn("p", F.round("p", 9))
+
+
+@query("density_ratio", f"""WITH {_OOF} SELECT r AS "row", c AS col, round(l, 6) + 0.0 AS log_ratio, round(v, 6) AS p FROM oof""")
+def density_ratio(spark, sf_dir):
+    return _scored(spark, sf_dir).select("row", "col", r6("log_ratio").alias("log_ratio"), r6("p").alias("p"))
+
+
+@query("quantile_calibration", f"""WITH {_OOF}, q AS (SELECT quantile_cont(v, [{", ".join(str(i / 8) for i in range(1, 8))}]) AS cuts FROM oof), e AS (SELECT oof.*, len([x FOR x IN cuts IF x < v]) AS bin FROM oof, q)
+SELECT bin::INTEGER AS bin, count(*) AS n, sum(y)::BIGINT AS positives, round(avg(v), 6) AS mean_value FROM e GROUP BY bin""")
+def quantile_calibration(spark, sf_dir):
+    out = crossfit.quantile_calibration(_scored(spark, sf_dir), "p", "y")
+    return out.select("bin", "n", F.col("positives").cast("long").alias("positives"), r6("mean_value").alias("mean_value"))
+
+
+_FOLD_SQL = ORACLE_SQL["greedy_rounds"].replace(_EVENTS, _OOF).replace("FROM click,", "FROM oof,").replace("JOIN click p", "JOIN oof p").replace("120.0", "25.0")
+_DOTS = _FOLD_SQL[: _FOLD_SQL.rindex("SELECT fold, unnest(acc).r")]
+
+
+@query("fold_scores", f"""{_DOTS}, dots AS (SELECT fold, unnest(acc).r AS r, unnest(acc).c AS c FROM s), tr AS (SELECT r // 180 * 4 + c // 64 AS fold, r, c FROM oof WHERE y = 1),
+pk AS (SELECT t.fold, t.r AS tr, t.c AS tc, d.r AS dr, d.c AS dc, 1 - sqrt((t.r - d.r) ** 2 + (t.c - d.c) ** 2) / 3.0 AS k FROM tr t JOIN dots d ON t.fold = d.fold WHERE (t.r - d.r) ** 2 + (t.c - d.c) ** 2 < 9),
+cv AS (SELECT fold, sum(k) AS tp FROM (SELECT fold, tr, tc, max(k) AS k FROM pk GROUP BY ALL) GROUP BY fold),
+dq AS (SELECT fold, count(*) AS n_dots, sum(1 - coalesce(q, 0)) AS fp FROM dots LEFT JOIN (SELECT fold, dr AS r, dc AS c, max(k) AS q FROM pk GROUP BY ALL) USING (fold, r, c) GROUP BY fold),
+fs AS (SELECT fold::INTEGER AS fold, coalesce(n_truth, 0) AS n_truth, coalesce(n_dots, 0) AS n_dots, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp FROM (SELECT fold, count(*) AS n_truth FROM tr GROUP BY fold) FULL JOIN dq USING (fold) LEFT JOIN cv USING (fold))
+SELECT fold, n_truth, n_dots, round(tp, 5) AS tp, round(fp, 5) AS fp, round(tp / (tp + 0.2 * fp + 0.8 * (n_truth - tp) + 1e-12), 5) AS dti FROM fs
+UNION ALL SELECT -1, sum(n_truth)::BIGINT, sum(n_dots)::BIGINT, round(sum(tp), 5), round(sum(fp), 5), round(sum(tp) / (sum(tp) + 0.2 * sum(fp) + 0.8 * (sum(n_truth) - sum(tp)) + 1e-12), 5) FROM fs""")
+def fold_scores(spark, sf_dir):
+    """Fit, score, allocate and pool: probabilities out of fold, dots by greedy rounds in blocks, each block's index and (-1) the pooled one."""
+    layer = _scored(spark, sf_dir)
+    block = (F.col("row") / 180).cast("int") * 4 + (F.col("col") / 64).cast("int")
+    value = layer.select("row", "col", F.col("p").alias("value"))
+    credit = stencil.kernel_sum(value, EVENT_GRID).select("row", "col", F.round("value", 9).alias("credit"))
+    cells = credit.join(value, ["row", "col"], "left").fillna(0.0, ["value"]).withColumn("fold", block)
+    dots = allocate.greedy_rounds(cells, "fold", 25.0).withColumn("value", F.lit(1.0))
+    own = crossfit.fold_scores(layer.where("y = 1").withColumn("fold", block), dots, "fold").drop("fn", "dti")
+    pooled = own.agg(F.lit(-1).alias("fold"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_truth", "n_dots", "tp", "fp")])
+    both = own.unionByName(pooled).withColumn("fn", F.col("n_truth") - F.col("tp"))
+    index = metric.dti(F.col("tp"), F.col("fp"), F.col("fn"))
+    return both.select("fold", "n_truth", "n_dots", F.round("tp", 5).alias("tp"), F.round("fp", 5).alias("fp"), F.round(index, 5).alias("dti"))
+
+
+# --- intensities ---
+
+
+@query("interaction", f"""WITH RECURSIVE {_GEOMETRY}, wt AS (SELECT lab.r, lab.c, sqrt(n) AS w, CASE WHEN coh < 0.5 THEN 2 * (1 - coh) ELSE 0 END AS b FROM lab JOIN sz USING (comp) JOIN sk USING (r, c)),
+fa AS (SELECT (r + dr)::INTEGER AS r, (c + dc)::INTEGER AS c, sum(w * (1 - sqrt(dr * dr + dc * dc) / 15.0)) AS v FROM wt, range(-15, 16) x(dr), range(-15, 16) y(dc) WHERE dr * dr + dc * dc < 225 AND r + dr BETWEEN 0 AND 719 AND c + dc BETWEEN 0 AND 255 GROUP BY ALL),
+be AS (SELECT (r + dr)::INTEGER AS r, (c + dc)::INTEGER AS c, sum(b / 25) AS v FROM wt, range(-2, 3) x(dr), range(-2, 3) y(dc) GROUP BY ALL),
+ti AS (SELECT a.r, a.c FROM one a LEFT JOIN one b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND NOT (a.r = b.r AND a.c = b.c) GROUP BY a.r, a.c HAVING count(b.r) <= 1),
+tf AS (SELECT (r + dr)::INTEGER AS r, (c + dc)::INTEGER AS c, 2 / sqrt(sqrt(min(dr * dr + dc * dc))) AS v FROM ti, range(-7, 8) x(dr), range(-7, 8) y(dc) WHERE dr * dr + dc * dc <= 56.25 GROUP BY ALL HAVING min(dr * dr + dc * dc) > 0)
+SELECT fa.r AS "row", fa.c AS col, round(fa.v + coalesce(be.v, 0) + coalesce(tf.v, 0), 4) AS value FROM fa LEFT JOIN be USING (r, c) LEFT JOIN tf USING (r, c) WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.r = fa.r AND one.c = fa.c)""")
+def interaction(spark, sf_dir):
+    return fields.interaction(event_roles(spark, sf_dir)[0], EVENT_GRID).select("row", "col", r4("value").alias("value"))
+
+
+_CLASSES = [(2.0, 2.0), (8.0, 3.0), (1e9, 5.0)]
+
+
+@query("system_intensity", f"""WITH RECURSIVE {_LABELS}, sz AS (SELECT comp, count(*) AS n FROM lab GROUP BY comp), {", ".join(f"q{i} AS (SELECT r, c, sqrt(n) AS v FROM lab JOIN sz USING (comp) WHERE n > {a} AND n <= {b})" for i, (a, b) in enumerate(zip([0.0, 2.0, 8.0], [2.0, 8.0, 1e9])))},
+{", ".join(_mirror(f"q{i}", int(sigma), ["v"], f"g{i}") for i, (_, sigma) in enumerate(_CLASSES))}
+SELECT r::INTEGER AS "row", c::INTEGER AS col, round(sum(v), 6) AS value FROM ({" UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(3))}) GROUP BY r, c""")
+def system_intensity(spark, sf_dir):
+    labelled = label8(spark, sf_dir)
+    lengths = labelled.join(labelled.groupBy("comp_id").agg(F.count("*").alias("length")), "comp_id")
+    return fields.system_intensity(lengths, EVENT_GRID, _CLASSES).select("row", "col", r6("value").alias("value"))
+
+
+@query("axial_orientation", f"""WITH {_EVENTS}, {_mirror("click", 2, ["v"], "sm")}, dn AS (SELECT a.r::INTEGER AS r, b.c::INTEGER AS c, coalesce(v, 0) AS v FROM range(720) a(r) CROSS JOIN range(256) b(c) LEFT JOIN sm ON sm.r = a.r AND sm.c = b.c),
+gr AS (SELECT r, c, CASE WHEN r = 0 THEN lead(v) OVER a - v WHEN r = 719 THEN v - lag(v) OVER a ELSE (lead(v) OVER a - lag(v) OVER a) / 2 END AS y,
+  CASE WHEN c = 0 THEN lead(v) OVER b - v WHEN c = 255 THEN v - lag(v) OVER b ELSE (lead(v) OVER b - lag(v) OVER b) / 2 END AS x FROM dn WINDOW a AS (PARTITION BY c ORDER BY r), b AS (PARTITION BY r ORDER BY c)),
+pr AS (SELECT r, c, x * x AS xx, y * y AS yy, x * y AS xy FROM gr WHERE x <> 0 OR y <> 0), {_mirror("pr", 2, ["xx", "yy", "xy"], "js")}
+SELECT click.r AS "row", click.c AS col, round(0.5 * degrees(atan2(round(2 * xy, 12), round(xx - yy, 12))), 3) + 0.0 AS angle_deg FROM click JOIN js USING (r, c)""")
+def axial_orientation(spark, sf_dir):
+    clicks = event_cells(spark, sf_dir).where("layer = 'click'").select("row", "col", "value")
+    return fields.axial_orientation(clicks, EVENT_GRID, 2.0).select("row", "col", (F.round("angle_deg", 3) + F.lit(0.0)).alias("angle_deg"))
+
+
+# --- joint tables, sweeps and zones ---
+
+_JOINT = [0.0, 1.0, 2.0, 4.0, 8.0, 12.0]
+_JBIN = lambda e: "CASE " + " ".join(f"WHEN {e} >= {a} AND {e} < {b} THEN {i}" for i, (a, b) in enumerate(zip(_JOINT, _JOINT[1:]))) + " WHEN " + e + " = 12.0 THEN 4 END"
+_SIDED = f"{_OFFSETS}, z AS (SELECT x.*, abs(dy) AS a, abs(dx) AS b, sign(dx) AS side, EXISTS (SELECT 1 FROM err WHERE err.r = x.r AND abs(err.c - x.c) <= 2)::INT AS y FROM x)"
+
+
+def _sided(spark, sf_dir):
+    beside = stencil.spread(event_cells(spark, sf_dir).where("layer = 'error'").select("row", "col"), [(0, i) for i in range(-2, 3)]).select("row", "col").distinct().withColumn("y", F.lit(1))
+    out = _offsets(spark, sf_dir).join(beside, ["row", "col"], "left").fillna(0, ["y"])
+    return out.withColumns({"a": F.abs("dy"), "b": F.abs("dx"), "side": F.signum("dx")})
+
+
+@query("joint_enrichment", f"""WITH {_SIDED}, k AS (SELECT {_JBIN("a")} AS i, {_JBIN("b")} AS j, y FROM z)
+SELECT p.i::INTEGER AS bin_a, q.j::INTEGER AS bin_b, count(k.y) AS n_all, coalesce(sum(k.y), 0)::BIGINT AS n_pos, round(coalesce(avg(k.y), 0), 6) AS rate FROM range(5) p(i) CROSS JOIN range(5) q(j) LEFT JOIN k ON k.i = p.i AND k.j = q.j GROUP BY p.i, q.j""")
+def joint_enrichment(spark, sf_dir):
+    out = stats.joint_enrichment(_sided(spark, sf_dir), "a", "b", "y", _JOINT, _JOINT)
+    return out.select("bin_a", "bin_b", "n_all", F.col("n_pos").cast("long").alias("n_pos"), r6("rate").alias("rate"))
+
+
+@query("side_rates", f"""WITH {_SIDED}, s AS (SELECT coalesce(sum(y) FILTER (side < 0), 0) AS nl, coalesce(sum(y) FILTER (side > 0), 0) AS nr, count(*) FILTER (side < 0) AS al, count(*) FILTER (side > 0) AS ar FROM z)
+SELECT nl::BIGINT AS n_left, nr::BIGINT AS n_right, round(nl / greatest(al, 1), 6) AS rate_left, round(nr / greatest(ar, 1), 6) AS rate_right, CASE WHEN nl > 0 AND nr > 0 THEN round(ln((nr / ar) / (nl / al)), 5) END AS log_ratio FROM s""")
+def side_rates(spark, sf_dir):
+    out = stats.side_rates(_sided(spark, sf_dir), "side", "y")
+    return out.select(F.col("n_left").cast("long").alias("n_left"), F.col("n_right").cast("long").alias("n_right"), r6("rate_left").alias("rate_left"), r6("rate_right").alias("rate_right"), F.round("log_ratio", 5).alias("log_ratio"))
+
+
+@query("zone_limits", f"""WITH {_NEAR}, z AS (SELECT d, y, ((r >= 360)::INTEGER * 2 + (c >= 128)::INTEGER)::INTEGER AS fold FROM nn), f AS (SELECT fold, count(*) AS n FROM z GROUP BY fold),
+o AS (SELECT f.fold, any_value(n) AS n, quantile_cont(d, 0.9) FILTER (y = 1) AS zone, avg(y) AS rate FROM f JOIN z ON z.fold <> f.fold GROUP BY f.fold),
+i AS (SELECT o.fold, avg((d <= zone)::INT) AS fraction FROM o JOIN z ON z.fold <> o.fold WHERE y = 1 GROUP BY o.fold)
+SELECT fold, round(zone, 6) AS zone, round(fraction, 6) AS fraction, greatest(1, floor(200 * coalesce(fraction, 0)))::BIGINT AS cap, round(rate, 6) AS base_rate, round(rate * n, 5) AS n_expected FROM o LEFT JOIN i USING (fold)""")
+def zone_limits(spark, sf_dir):
+    fold = (F.col("row") >= 360).cast("int") * 2 + (F.col("col") >= 128).cast("int")
+    out = allocate.zone_limits(_near(spark, sf_dir).withColumn("fold", fold), "fold", "y", "d", 200)
+    return out.select("fold", r6("zone").alias("zone"), r6("fraction").alias("fraction"), "cap", r6("base_rate").alias("base_rate"), F.round("n_expected", 5).alias("n_expected"))
+
+
+_SWEEP = _PASS.replace("$PATIENCE", "30").replace(_CANDIDATES(0), f"""{_EVENTS},
+k AS (SELECT (r + dr)::INTEGER AS r, (c + dc)::INTEGER AS c, round(sum(v * (1 - sqrt(dr * dr + dc * dc) / 3.0)), 9) AS credit FROM pred, range(-3, 4) x(dr), range(-3, 4) y(dc)
+  WHERE dr * dr + dc * dc < 9 AND r + dr BETWEEN 0 AND 719 AND c + dc BETWEEN 0 AND 255 GROUP BY ALL),
+kd AS (SELECT k.r, k.c, credit, sqrt(min((k.r - t.r) ** 2 + (k.c - t.c) ** 2)) AS d FROM k, truth t GROUP BY ALL),
+cand AS (SELECT radius AS fold, r, c, least(1.0, credit) AS own, row_number() OVER (PARTITION BY radius ORDER BY credit DESC, r, c) AS i FROM kd, (SELECT unnest([2.0, 8.0])::DOUBLE AS radius) WHERE d > radius),
+nb AS (SELECT a.r, a.c, list({{'r': p.r, 'c': p.c, 'p': p.v, 'k': 1 - sqrt((a.r - p.r) ** 2 + (a.c - p.c) ** 2) / 3.0}} ORDER BY p.r, p.c) AS nb
+  FROM kd a JOIN pred p ON p.r BETWEEN a.r - 3 AND a.r + 3 AND p.c BETWEEN a.c - 3 AND a.c + 3 WHERE (a.r - p.r) ** 2 + (a.c - p.c) ** 2 < 9 GROUP BY a.r, a.c),
+cn AS MATERIALIZED (SELECT cand.*, coalesce(nb, []) AS nb FROM cand LEFT JOIN nb USING (r, c))""").replace("120.0", "300.0").replace("SELECT fold, unnest(acc).r", "SELECT fold AS radius, unnest(acc).r")
+
+
+@query("exclusion_sweep", _SWEEP)
+def exclusion_sweep(spark, sf_dir):
+    truth, prediction = event_roles(spark, sf_dir)
+    credit = stencil.kernel_sum(prediction, EVENT_GRID).select("row", "col", F.round("value", 9).alias("credit"))
+    near = nearest.distance_transform(truth, EVENT_GRID).select("row", "col", F.sqrt(F.col("d2").cast("double")).alias("d"))
+    cells = credit.join(prediction, ["row", "col"], "left").fillna(0.0, ["value"]).join(near, ["row", "col"])
+    return allocate.exclusion_sweep(cells, [2.0, 8.0], 300.0, 30)

@@ -31,16 +31,19 @@ def scalar_functions(spark, sf_dir):
         round(along_strike(y, w, a), 5) + 0D AS along, round(across_strike(y, w, a), 5) + 0D AS across, round(signed_obliquity(a, b), 5) + 0D AS oblique, round(dti(y, w, v), 6) AS dti FROM rastra_angles""")
 
 
-@query("column_functions", f"""WITH {_ANGLES} SELECT k, round(greatest(2, least(60, exp(1.2) * (greatest(v, 1) / 40) ** 0.6)), 5) AS half_width, CASE WHEN v / 100 BETWEEN 0 AND 1 THEN round(v / 100, 6) ELSE 0 END AS prior, round(greatest(a, b, v), 6) AS plane,
-round(a / sqrt(1 + v), 6) AS width, round(sqrt(v), 6) AS weight, round(0.5 * (0.2 * a + 0.8 * b), 6) AS credit, round(CASE WHEN v > 150 THEN -1 ELSE v END, 6) AS scrubbed, v > 100 AS beyond FROM x""")
+# Distances d to the nearest truth cell, values v, and lengths of ten cells for each cell of the distance.
+_COLUMNS = lambda near: f"""WITH {near} SELECT r AS "row", c AS col, round(greatest(2, least(60, exp(1.2) * (greatest(10 * d, 1) / 40) ** 0.6)), 5) AS half_width, v AS prior, round(greatest(d, v, 2.5), 6) AS plane,
+round(d / sqrt(1 + 10 * d), 6) AS width, round(sqrt(10 * d), 6) AS weight, round(v * (0.2 * d + 0.8 * 10 * d), 6) AS credit, round(CASE WHEN d > 8 THEN -1 ELSE d END, 6) AS scrubbed, d > 5 AS beyond FROM nn"""
+
+
 def column_functions(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    a, b, v = (F.col("o_orderkey") % 360).cast("double"), (F.col("o_custkey") % 360).cast("double"), F.col("o_totalprice") / 1000
+    near = _near(spark, sf_dir)
+    d, v, length = F.col("d"), F.col("v"), 10 * F.col("d")
     out = {
-        "half_width": F.round(scalars.half_width(v, 0.6, 1.2), 5), "prior": r6(scalars.canonical_prior(v / 100)), "plane": r6(scalars.consensus_plane(a, b, v)), "width": r6(scalars.width_feature(a, v)),
-        "weight": r6(scalars.length_weight(v)), "credit": r6(scalars.implied_credit(F.lit(0.5), a, b)), "scrubbed": r6(scalars.scrubbed(v, F.lit(-1.0), 150.0)), "beyond": scalars.off_flank(v, 100.0),
+        "half_width": F.round(scalars.half_width(length, 0.6, 1.2), 5), "prior": scalars.canonical_prior(v), "plane": r6(scalars.consensus_plane(d, v, F.lit(2.5))), "width": r6(scalars.width_feature(d, length)),
+        "weight": r6(scalars.length_weight(length)), "credit": r6(scalars.implied_credit(v, d, length)), "scrubbed": r6(scalars.scrubbed(d, F.lit(-1.0), 8.0)), "beyond": scalars.off_flank(d, 5.0),
     }
-    return o.select(F.col("o_orderkey").alias("k"), *[e.alias(n) for n, e in out.items()])
+    return near.select("row", "col", *[e.alias(n) for n, e in out.items()])
 
 
 # --- profiles ---
@@ -58,6 +61,8 @@ def _near(spark, sf_dir):
     return out.select("row", "col", F.col("value").alias("v"), F.sqrt(F.col("d2").cast("double")).alias("d"), "y")
 
 
+query("column_functions", _COLUMNS(_NEAR))(column_functions)
+
 _UNIT_EDGES = [float(i) for i in range(13)]
 _HIST = "h AS (SELECT i::INTEGER AS bin, count(d) AS n FROM range(12) g(i) LEFT JOIN nn ON least(11, floor(d)) = i GROUP BY i), dn0 AS (SELECT bin, n, n / sum(n) OVER () AS density FROM h)"
 
