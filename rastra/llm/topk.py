@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rastra.llm.common import shuffle_width
 from rastra.storage import stage_table
 
 
@@ -35,7 +36,7 @@ _PROBE = "leaf int, query_id long, vec binary, tau double"
 @dataclass(frozen=True)
 class Settings:
     sample: int = 4096
-    leaf_rows: int = 128
+    leaf_rows: int = 512
     leaves: int = 1024
     block: int = 2048
     queries: int = 512
@@ -293,15 +294,14 @@ def _group_probes(groups: DataFrame, tree: CoverTree, k: int, s: Settings, walk:
                 if walk:
                     group = Shape.of(x, x.mean(0)[None, :], np.zeros(len(x), int))
                     chosen = np.setdiff1d(_walk(group, tau.min(), tree), first).astype(int)
-                bound = tree.shape.at(leaves[chosen]).bounds(_points(x))
-                for j, leaf in enumerate(map(int, chosen)):
-                    at = np.flatnonzero(bound[:, j] >= tau)
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(at), leaf, np.int32)), pa.array(ids[at]), pa.array([row["members"][i]["vec"] for i in at], pa.binary()), pa.array(tau[at])], ["leaf", "query_id", "vec", "tau"]
-                        )
-
-    return groups.select("leaf", "members").mapInArrow(run, _PROBE)
+                at, leaf = np.nonzero(tree.shape.at(leaves[chosen]).bounds(_points(x)) >= tau[:, None])
+                vecs = pa.array([m["vec"] for m in row["members"]], pa.binary())
+                for i in range(0, len(at), 20_000):
+                    a, b = at[i : i + 20_000], leaf[i : i + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(chosen[b].astype(np.int32)), pa.array(ids[a]), vecs.take(pa.array(a)), pa.array(tau[a])], ["leaf", "query_id", "vec", "tau"])
+
+    groups = groups.select("leaf", "members").repartition(shuffle_width(groups.sparkSession))  # few rows with much work each
+    return stage_table(groups.mapInArrow(run, _PROBE), "probes")
 
 
 def _search(vectors: DataFrame, queries: DataFrame, k: int, s: Settings) -> DataFrame:
