@@ -86,30 +86,31 @@ def component_frame(labelled: DataFrame, grid: GridSpec) -> DataFrame:
     return lines.groupBy("row").applyInPandas(rows, kind)
 
 
-def k_nearest(asked: DataFrame, cells: DataFrame, k: int, grid: GridSpec, first: int = 8) -> DataFrame:
+def k_nearest(asked: DataFrame, cells: DataFrame, k: int, grid: GridSpec, first: int = 8, by: tuple[str, ...] = ()) -> DataFrame:
     """row, col, place (from 1), d2, then near_row, near_col and the other columns of the k nearest cells of each asked cell (itself
     too, where it is one of them), nearest first, ties to the least (row, column); fewer where there are fewer.
 
-    asked: row, col. Cells meet in square blocks as wide as the radius, three by three around an asked one. Whoever has k cells
-    within the radius is done; the others go on with the double radius, until it exceeds the grid.
+    asked: row, col. by: columns of both that a cell and its nearest ones share, a layer for instance; they are kept. Cells meet in
+    square blocks as wide as the radius, three by three around an asked one. Whoever has k cells within the radius is done; the
+    others go on with the double radius, until it exceeds the grid.
     """
-    rest = [c for c in cells.columns if c not in ("row", "col")]
-    todo, done, radius = asked.select("row", "col").distinct(), None, first
+    at, rest = [*by, "row", "col"], [c for c in cells.columns if c not in ("row", "col", *by)]
+    todo, done, radius = asked.select(*at).distinct(), None, first
     while True:
         block = lambda c: F.floor(F.col(c) / radius)
         around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-        near = cells.select(F.col("row").alias("near_row"), F.col("col").alias("near_col"), *rest, block("row").alias("_y"), block("col").alias("_x"))
-        ask = todo.withColumn("o", around).select("row", "col", (block("row") + F.col("o.a")).alias("_y"), (block("col") + F.col("o.b")).alias("_x"))
+        near = cells.select(*by, F.col("row").alias("near_row"), F.col("col").alias("near_col"), *rest, block("row").alias("_y"), block("col").alias("_x"))
+        ask = todo.withColumn("o", around).select(*at, (block("row") + F.col("o.a")).alias("_y"), (block("col") + F.col("o.b")).alias("_x"))
         d2 = (F.col("row") - F.col("near_row")).cast("long") ** 2 + (F.col("col") - F.col("near_col")).cast("long") ** 2
-        met = ask.join(near, ["_y", "_x"]).withColumn("d2", d2.cast("long")).where(F.col("d2") <= radius * radius).drop("_y", "_x")
-        place = F.row_number().over(Window.partitionBy("row", "col").orderBy("d2", "near_row", "near_col"))
-        found = stage_table(met.withColumn("place", place).where(F.col("place") <= k).select("row", "col", "place", "d2", "near_row", "near_col", *rest), "near")
+        met = ask.join(near, [*by, "_y", "_x"]).withColumn("d2", d2.cast("long")).where(F.col("d2") <= radius * radius).drop("_y", "_x")
+        place = F.row_number().over(Window.partitionBy(*at).orderBy("d2", "near_row", "near_col"))
+        found = stage_table(met.withColumn("place", place).where(F.col("place") <= k).select(*at, "place", "d2", "near_row", "near_col", *rest), "near")
         last = radius >= grid.height + grid.width
-        full = found if last else found.join(found.where(F.col("place") == k).select("row", "col"), ["row", "col"], "left_semi")
+        full = found if last else found.join(found.where(F.col("place") == k).select(*at), at, "left_semi")
         done = full if done is None else done.unionByName(full)
         if last:
             return done
-        todo = stage_table(todo.join(full.select("row", "col").distinct(), ["row", "col"], "left_anti"), "todo")
+        todo = stage_table(todo.join(full.select(*at).distinct(), at, "left_anti"), "todo")
         if todo.isEmpty():
             drop_staged(todo)
             return done

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rastra.grid import EVENT_GRID, LAYER_GRID, event_cells, event_roles, layer_cells, table
-from rastra.operators import allocate, components, crossfit, features, fields, fits, frames, metric, nearest, registry, stats, stencil, tensor
+from rastra.operators import allocate, components, crossfit, features, fields, fits, frames, metric, nearest, portfolio, registry, stats, stencil, tensor
 from rastra.plans.more import _AVG, _NEAR, _PAIRS, ORACLE_SQL, QUERIES, _near, query
 from rastra.plans.queries import _EVENTS, _GEOMETRY, _LABELS, _LAYERS, _mirror, label8, r4, r6
 from rastra.sources import sink
@@ -545,3 +545,66 @@ def exclusion_sweep(spark, sf_dir):
     near = nearest.distance_transform(truth, EVENT_GRID).select("row", "col", F.sqrt(F.col("d2").cast("double")).alias("d"))
     cells = credit.join(prediction, ["row", "col"], "left").fillna(0.0, ["value"]).join(near, ["row", "col"])
     return allocate.exclusion_sweep(cells, [2.0, 8.0], 300.0, 30)
+
+
+# --- portfolios ---
+
+#: The layers' full cells against those of layer 0.
+_PORTFOLIO = f"""{_LAYERS}, cl AS (SELECT layer, r, c, v FROM ly WHERE layer <> 0 AND v >= 0.5),
+cd AS (SELECT layer, cl.r, cl.c, cl.v, sqrt(min((cl.r - cand.r) ** 2 + (cl.c - cand.c) ** 2)) AS d FROM cl, cand GROUP BY ALL),
+sp AS (SELECT layer, quantile_cont(s, 0.5) AS spacing_median FROM (SELECT a.layer, sqrt(min((a.r - b.r) ** 2 + (a.c - b.c) ** 2)) AS s FROM cl a JOIN cl b ON a.layer = b.layer AND NOT (a.r = b.r AND a.c = b.c) GROUP BY a.layer, a.r, a.c) GROUP BY layer),
+pf AS (SELECT layer, count(*) AS dots, min(v) AS least, max(v) AS most, quantile_cont(d, 0.5) AS d_median, quantile_cont(d, 0.1) AS d_p10, min(d) AS d_least, avg((d <= 3)::INT) AS near_share,
+  any_value(spacing_median) AS spacing_median, count(*) FILTER (d = 0) / greatest(1, (SELECT count(*) FROM cand)) AS hit_share FROM cd LEFT JOIN sp USING (layer) GROUP BY layer)"""
+
+
+def _portfolio(spark, sf_dir):
+    cells = layer_cells(spark, sf_dir)
+    catalogue = cells.where("layer = 0 and value >= 1.0")
+    return portfolio.portfolio(cells.where("layer <> 0 and value >= 0.5"), catalogue, LAYER_GRID)
+
+
+@query("portfolio", f"""WITH {_PORTFOLIO} SELECT layer, dots, round(least, 6) AS least, round(most, 6) AS most, round(d_median, 6) AS d_median, round(d_p10, 6) AS d_p10, round(d_least, 6) AS d_least, round(near_share, 6) AS near_share, round(spacing_median, 6) AS spacing_median, round(hit_share, 6) AS hit_share FROM pf""")
+def portfolio_table(spark, sf_dir):
+    return _portfolio(spark, sf_dir).select("layer", "dots", *[r6(c).alias(c) for c in ("least", "most", "d_median", "d_p10", "d_least", "near_share", "spacing_median", "hit_share")])
+
+
+#: Ranks of a measure and of the score (the layer's mean discount) among the layers, and the p-value by integrating Student's density.
+_RANKED = " UNION ALL ".join(f"SELECT '{m}' AS measure, round({m}, 9)::DOUBLE AS value, round(score, 9) AS score FROM pf JOIN sc USING (layer)" for m in portfolio.MEASURES)
+
+
+@query("score_correlations", f"""WITH {_PORTFOLIO}, sc AS (SELECT layer, avg(v) AS score FROM ly GROUP BY layer), lg AS ({_RANKED}), k AS (SELECT *, {_AVG('measure', 'value')} AS a, {_AVG('measure', 'score')} AS b FROM lg WHERE value IS NOT NULL),
+c AS (SELECT measure, count(*) AS n, CASE WHEN count(*) >= 3 AND max(value) > min(value) AND max(score) > min(score) THEN corr(a, b) END AS rho FROM k GROUP BY measure),
+t AS (SELECT measure, n, rho, (n - 2)::DOUBLE AS f, abs(rho) * sqrt((n - 2) / greatest(1 - rho * rho, 1e-300)) AS t FROM c WHERE n >= 3),
+i AS (SELECT measure, sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((f + 1) / 2) - lgamma(f / 2) - 0.5 * ln(f * pi()) - (f + 1) / 2 * ln(1 + (t * i / 4000) ** 2 / f))) * any_value(t) / 4000 / 3 AS m FROM t, range(4001) x(i) GROUP BY measure)
+SELECT measure, n, round(rho, 6) AS rho, CASE WHEN rho IS NOT NULL THEN round(greatest(0, 1 - 2 * m), 5) + 0.0 END AS p FROM c LEFT JOIN i USING (measure)""")
+def score_correlations(spark, sf_dir):
+    score = layer_cells(spark, sf_dir).groupBy("layer").agg(F.round(F.avg("value"), 9).alias("score"))
+    table_ = _portfolio(spark, sf_dir).join(score, "layer").withColumns({m: F.round(m, 9) for m in portfolio.MEASURES if m != "dots"})
+    out = portfolio.score_correlations(table_, "score")
+    return out.select("measure", "n", r6("rho").alias("rho"), (F.round("p", 5) + F.lit(0.0)).alias("p"))
+
+
+@query("halo_decision", f"""WITH {_LAYERS}, cl AS (SELECT layer, r, c FROM ly WHERE layer >= 2 AND v >= 1.0), pn AS (SELECT layer, r, c FROM ly WHERE layer IN (0, 1) AND v >= 1.0),
+rc AS (SELECT DISTINCT layer, r + dr AS r, c + dc AS c FROM cl, range(-3, 4) x(dr), range(-3, 4) y(dc) WHERE dr * dr + dc * dc <= 9), fp AS (SELECT DISTINCT r, c FROM ly),
+h AS (SELECT layer, count(*) AS n FROM rc SEMI JOIN fp USING (r, c) GROUP BY layer), m AS (SELECT rc.layer, pn.layer AS mine, count(*) AS n FROM pn JOIN rc USING (r, c) GROUP BY ALL), z AS (SELECT layer AS mine, count(*) AS n FROM pn GROUP BY layer),
+o AS (SELECT m.layer, max(m.n / z.n) AS overlap FROM m JOIN z USING (mine) GROUP BY m.layer)
+SELECT d.layer, dots, round(coalesce(h.n, 0) / (SELECT count(*) FROM fp), 6) AS halo, round(coalesce(overlap, 0), 6) AS overlap, coalesce(h.n, 0) / (SELECT count(*) FROM fp) >= 0.5 AS is_blind
+FROM (SELECT layer, count(*) AS dots FROM cl GROUP BY layer) d LEFT JOIN h USING (layer) LEFT JOIN o USING (layer)""")
+def halo_decision(spark, sf_dir):
+    cells = layer_cells(spark, sf_dir)
+    full = cells.where("value >= 1.0").select("layer", "row", "col")
+    out = portfolio.halo_decision(full.where("layer >= 2"), full.where("layer < 2"), cells)
+    return out.select("layer", "dots", r6("halo").alias("halo"), r6("overlap").alias("overlap"), "is_blind")
+
+
+@query("shells", f"""WITH {_EVENTS}, st AS (SELECT unnest([1, 2, 3])::INTEGER AS step, unnest([0.0, 0.3, 0.7]) AS low), cr AS (SELECT step, sum(v) AS credit FROM st JOIN pred ON v >= low GROUP BY step),
+x AS (SELECT r, c, (1 + (v >= 0.3)::INT + (v >= 0.7)::INT)::INTEGER AS step FROM pred), d AS (SELECT x.r, x.c, x.step, sqrt(min((x.r - t.r) ** 2 + (x.c - t.c) ** 2)) AS d FROM x, truth t GROUP BY ALL),
+n AS (SELECT step, count(*) AS n, quantile_cont(d, 0.5) AS m FROM d GROUP BY step), g AS (SELECT step, credit - coalesce(lead(credit) OVER (ORDER BY step), 0) AS credit FROM cr)
+SELECT step, n, round(credit, 5) AS credit, round(credit / n, 6) AS mean_credit, round(m, 6) AS d_median FROM n JOIN g USING (step)""")
+def shells(spark, sf_dir):
+    truth, prediction = event_roles(spark, sf_dir)
+    chain = prediction.withColumn("step", F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(low).alias("low")) for i, low in ((1, 0.0), (2, 0.3), (3, 0.7))]), lambda s: F.col("value") >= s["low"])))
+    chain = chain.select(F.col("step.i").alias("step"), "row", "col", "value")
+    d = nearest.distance_transform(truth, EVENT_GRID).select("row", "col", F.sqrt(F.col("d2").cast("double")).alias("d"))
+    out = portfolio.shells(chain, chain.groupBy("step").agg(F.sum("value").alias("credit")), d)
+    return out.select("step", "n", F.round("credit", 5).alias("credit"), r6("mean_credit").alias("mean_credit"), r6("d_median").alias("d_median"))

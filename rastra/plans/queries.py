@@ -533,9 +533,14 @@ def gaussian(spark, sf_dir):
 @query("structure_tensor", f"""WITH {_DENSE}, w AS (SELECT i, exp(-0.5 * i * i) / (SELECT sum(exp(-0.5 * j * j)) FROM range(-4, 5) x(j)) AS k FROM range(-4, 5) y(i)),
 a AS (SELECT r + i AS r, c, sum(gr * gr * k) AS rr, sum(gc * gc * k) AS cc, sum(gr * gc * k) AS rc FROM gr, w WHERE r + i BETWEEN 0 AND 399 GROUP BY ALL),
 b AS (SELECT r, c + i AS c, sum(rr * k) AS rr, sum(cc * k) AS cc, sum(rc * k) AS rc FROM a, w WHERE c + i BETWEEN 0 AND 127 GROUP BY ALL)
-SELECT r::INTEGER AS "row", c::INTEGER AS col, round(CASE WHEN rr + cc > 1e-12 THEN sqrt((rr - cc) ** 2 + 4 * rc ** 2) / (rr + cc) ELSE 0 END, 5) AS coherence FROM b""")
+SELECT r::INTEGER AS "row", c::INTEGER AS col, round(CASE WHEN rr + cc > 1e-12 THEN sqrt((rr - cc) ** 2 + 4 * rc ** 2) / (rr + cc) ELSE 0 END, 5) AS coherence,
+CASE WHEN rr + cc > 1e-12 AND sqrt((rr - cc) ** 2 + 4 * rc ** 2) / (rr + cc) > 1e-3 THEN round((cc - rr) / sqrt((rr - cc) ** 2 + 4 * rc ** 2), 4) + 0.0 END AS strike_cos2,
+CASE WHEN rr + cc > 1e-12 AND sqrt((rr - cc) ** 2 + 4 * rc ** 2) / (rr + cc) > 1e-3 THEN round(2 * rc / sqrt((rr - cc) ** 2 + 4 * rc ** 2), 4) + 0.0 END AS strike_sin2 FROM b""")
 def structure_tensor(spark, sf_dir):
-    return tensor.structure_tensor(_dense(spark, sf_dir), LAYER_GRID, 1.0).select("row", "col", F.round("coherence", 5).alias("coherence"))
+    """The strike by its doubled angle, which does not jump at 180 degrees, where there is one."""
+    out = tensor.structure_tensor(_dense(spark, sf_dir), LAYER_GRID, 1.0)
+    twice = lambda f: F.when(F.col("coherence") > 1e-3, F.round(f(F.radians(2 * F.col("strike_deg"))), 4) + F.lit(0.0))
+    return out.select("row", "col", F.round("coherence", 5).alias("coherence"), twice(F.cos).alias("strike_cos2"), twice(F.sin).alias("strike_sin2"))
 
 
 @query("box_contrast", f"""WITH {_DENSE}, bx AS (SELECT a.r, a.c, a.v, avg(b.v) AS m, stddev_pop(b.v) AS sd FROM dn a JOIN dn b ON b.r BETWEEN a.r - 2 AND a.r + 2 AND b.c BETWEEN a.c - 2 AND a.c + 2 GROUP BY ALL)

@@ -23,6 +23,31 @@ def hashed_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def prior_files(spark: SparkSession, roots: list[str], pattern: str = "*", exclude: str | None = None, own: DataFrame | None = None, least_bytes: int = 0) -> DataFrame:
+    """sha256, bytes, path, copies of the contents below several roots: the first path of each and how many files hold it. Left out are
+    files of fewer than least_bytes, paths that match exclude (inputs, say), and every copy of the candidate's own contents
+    (own: sha256), whatever their names. A root that is missing raises."""
+    files = hashed_files(spark, roots[0], pattern)
+    for root in roots[1:]:
+        files = files.unionByName(hashed_files(spark, root, pattern))
+    files = files.distinct().where(F.col("bytes") >= least_bytes)  # roots may lie in one another
+    if exclude:
+        files = files.where(~F.col("path").rlike(exclude))
+    if own is not None:
+        files = files.join(own.select("sha256").distinct(), "sha256", "left_anti")
+    return files.groupBy("sha256", "bytes").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
+
+
+def require_files(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """files; reading it raises, with the first name, where an expected file (name, sha256) is missing or has another content. files:
+    path, sha256; a file's name is the end of its path."""
+    found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("_found"))
+    odd = expected.select("name", "sha256").join(found, "name", "left").where(F.col("_found").isNull() | (F.col("_found") != F.col("sha256")))
+    text = F.min(F.concat("name", F.when(F.col("_found").isNull(), ": missing").otherwise(": another content")))
+    checked = odd.agg(text.alias("_odd")).select(F.when(F.col("_odd").isNotNull(), F.raise_error(F.col("_odd")).cast("int")).otherwise(0).alias("_ok"))
+    return files.join(F.broadcast(checked)).where("_ok = 0").drop("_ok")  # one row
+
+
 def blob_id(content: str) -> Column:
     """The object id git gives to a blob: SHA-1 of its header and bytes."""
     data = F.col(content).cast("binary")

@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastra.grid import GridSpec
-from rastra.operators import allocate, crossfit, features, fields, fits, frames, registry, stats, stencil, tensor
+from rastra.operators import allocate, crossfit, features, fields, fits, frames, portfolio, registry, stats, stencil, tensor
 from rastra.operators.graph import connected_components
-from rastra.sources import sink
+from rastra.sources import files, sink
 
 GRID = GridSpec(40, 40)
 
@@ -272,3 +272,40 @@ def test_credit_does_not_cross_folds(spark):
     got = {r.fold: r for r in crossfit.fold_scores(truth, dots, "fold").collect()}
     assert math.isclose(got[1].tp, 2 / 3) and math.isclose(got[1].fp, 1 / 3) and got[2].tp == 0 and got[3].dti == 0
     assert (got[4].n_truth, got[4].n_dots, got[4].fp, got[4].dti) == (0, 1, 1.0, 0.0)
+
+
+def test_layers_that_are_not_nested_raise(spark):
+    chain = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 0, 2), (2, 0, 1), (2, 0, 2), (3, 0, 2)], "step int, row int, col int")
+    credits = spark.createDataFrame([(1, 6.0), (2, 5.0), (3, 3.0)], "step int, credit double")
+    d = spark.createDataFrame([(0, c, float(c)) for c in range(4)], "row int, col int, d double")
+    got = [tuple(r) for r in portfolio.shells(chain, credits, d).orderBy("step").collect()]
+    assert got == [(1, 1, 1.0, 1.0, 0.0), (2, 1, 2.0, 2.0, 1.0), (3, 1, 3.0, 3.0, 2.0)]
+    with pytest.raises(Exception, match="not nested"):
+        portfolio.shells(chain.unionByName(spark.createDataFrame([(3, 0, 3)], chain.schema)), credits, d).collect()
+
+
+def test_portfolio_of_far_and_single_dots(spark):
+    layers = spark.createDataFrame([("a", 0, 0, 0.5), ("a", 0, 39, 1.0), ("b", 20, 20, 0.25)], "layer string, row int, col int, value double")
+    got = {r.layer: r for r in portfolio.portfolio(layers, cells(spark, [(0, 0), (39, 39)]), GRID).collect()}
+    assert (got["a"].dots, got["a"].d_least, got["a"].spacing_median, got["a"].hit_share, got["a"].near_share) == (2, 0.0, 39.0, 0.5, 0.5)
+    assert got["b"].spacing_median is None and math.isclose(got["b"].d_median, math.hypot(19, 19))
+    table = spark.createDataFrame([(i, 5.0, float(i * i)) for i in range(6)], "score int, flat double, up double")
+    out = {r.measure: r for r in portfolio.score_correlations(table, "score", ["flat", "up"]).collect()}
+    assert out["flat"].rho is None and out["flat"].p is None and math.isclose(out["up"].rho, 1) and out["up"].p < 1e-9
+
+
+def test_prior_files_leave_out_inputs_own_and_copies(spark, tmp_path):
+    for name, text in (("a/x.tif", "same"), ("b/y.tif", "same"), ("b/own.tif", "mine"), ("a/input_z.tif", "input"), ("a/small.tif", ""), ("a/n.txt", "other")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    own = spark.createDataFrame([("mine",)], "t string").select(F.sha2("t", 256).alias("sha256"))
+    got = files.prior_files(spark, [str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path)], "*.tif", "input_", own, 1).collect()
+    assert [(r.path.rsplit("/", 2)[1:], r.copies, r.bytes) for r in got] == [(["a", "x.tif"], 2, 4)]
+    with pytest.raises(Exception):
+        files.prior_files(spark, [str(tmp_path / "none")]).collect()
+    here = files.hashed_files(spark, str(tmp_path), "*.tif")
+    want = here.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    assert files.require_files(here, want).count() == here.count() > 2
+    for name, what in (("gone.tif", "gone.tif: missing"), ("x.tif", "x.tif: another content")):
+        with pytest.raises(Exception, match=what):
+            files.require_files(here, want.unionByName(spark.createDataFrame([(name, "0")], "name string, sha256 string"))).collect()
