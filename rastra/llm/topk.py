@@ -255,7 +255,8 @@ def _probed(probes: DataFrame, blocks: DataFrame, k: int, width: int, s: Setting
                 ids, vecs = pa.array([None, *qid[row].tolist()], pa.int64()), pa.array([None, *vid[at].tolist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, vecs, pa.array([taken, *value.tolist()], pa.int64())], ["query_id", "vec_id", "score"])
 
-    return batched.join(blocks, "leaf").select("asked", "members").mapInArrow(run, "query_id long, vec_id long, score long")
+    # a staged table's files say little of its size, so neither side is broadcast
+    return batched.hint("merge").join(blocks, "leaf").select("asked", "members").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def _first_leaves(q: np.ndarray, tree: CoverTree, need: int, s: Settings) -> np.ndarray:
