@@ -92,7 +92,7 @@ def k_nearest(asked: DataFrame, cells: DataFrame, k: int, grid: GridSpec, first:
 
     asked: row, col. by: columns of both that a cell and its nearest ones share, a layer for instance; they are kept. Cells meet in
     square blocks as wide as the radius, three by three around an asked one. Whoever has k cells within the radius is done; the
-    others go on with the double radius, until it exceeds the grid.
+    others go on with four times the radius, until it exceeds the grid.
     """
     at, rest = [*by, "row", "col"], [c for c in cells.columns if c not in ("row", "col", *by)]
     todo, done, radius = asked.select(*at).distinct(), None, first
@@ -114,7 +114,7 @@ def k_nearest(asked: DataFrame, cells: DataFrame, k: int, grid: GridSpec, first:
         if todo.isEmpty():
             drop_staged(todo)
             return done
-        radius *= 2
+        radius *= 4
 
 
 def folded(a: Column, b: Column) -> Column:
