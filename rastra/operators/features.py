@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastra.grid import GridSpec
@@ -62,3 +62,42 @@ def boosted_surface(train: DataFrame, cells: DataFrame, columns: list[str], labe
     scored = model.transform(assembler.transform(train)).agg(F.sum(p * F.col(weight)).alias("p"), F.sum(F.col(label) * F.col(weight)).alias("y")).first()
     scale = scored["y"] / scored["p"] if scored["p"] else 1.0
     return model.transform(assembler.transform(cells)).select("row", "col", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p * scale)).alias("value"))
+
+
+def catalogue_covariates(cells: DataFrame, mask: DataFrame, coded: DataFrame, footprint: DataFrame, grid: GridSpec) -> DataFrame:
+    """row, col, d, log_len, strike_deg, coherence, side, sense, d_second, theta_deg of cells off the mask: predictors that come from
+    the mask alone. The distance, component size, strike, coherence and code (0: none) at the nearest mask cell, the side of it, the
+    distance to another component (null without one), and the strike of the footprint less the mask at the cell."""
+    from rastra.operators import frames
+    from rastra.storage import stage_table
+
+    labelled = stage_table(components.label8(mask, grid), "labelled")
+    sizes = labelled.groupBy(F.col("comp_id").alias("comp_1")).agg(F.count("*").alias("_n"))
+    near = frames.component_frame(labelled, grid).join(cells.select("row", "col"), ["row", "col"]).withColumnsRenamed({"near_row_1": "near_row", "near_col_1": "near_col"})
+    host = tensor.local_strike(mask, grid).join(coded.select("row", "col", "code"), ["row", "col"], "left")
+    host = host.select(F.col("row").cast("long").alias("near_row"), F.col("col").cast("long").alias("near_col"), "strike_deg", "coherence", F.coalesce("code", F.lit(0)).alias("sense"))
+    near = nearest.offset_frame(near.join(host, ["near_row", "near_col"]).join(sizes, "comp_1"))
+    open_ = footprint.select("row", "col").join(mask.select("row", "col"), ["row", "col"], "left_anti")
+    local = tensor.local_strike(open_, grid, 5.0).select("row", "col", F.col("strike_deg").alias("theta_deg"))
+    d = lambda i: F.sqrt(F.col(f"d2_{i}").cast("double"))
+    out = near.select("row", "col", d(1).alias("d"), F.log1p("_n").alias("log_len"), "strike_deg", "coherence", "side", "sense", d(2).alias("d_second"))
+    return out.join(local, ["row", "col"], "left")
+
+
+def interpolated(x: Column, at: list[float], values: list[float]) -> Column:
+    """The piecewise linear function through (at, values), constant beyond both ends."""
+    out = F.lit(float(values[-1]))
+    for a, b, u, v in reversed(list(zip(at, at[1:], values, values[1:]))):
+        out = F.when(x < b, u + (v - u) * (x - a) / (b - a)).otherwise(out)
+    return F.when(x < at[0], float(values[0])).otherwise(out)
+
+
+def analytic_intensity(cells: DataFrame, value: str, length_rates: list[float], length_at: list[float], sense_rates: dict[int, float], farthest: float) -> DataFrame:
+    """cells with intensity in [0, 1]: value (a distance profile's rate at the cell), times the rate of its host's length (between
+    the classes' centres, clipped to 0 to 8), times that of its host's sense (1 for others); 0 beyond farthest."""
+    by_length = interpolated(F.col("log_len"), length_at, [min(8.0, max(0.0, r)) for r in length_rates])
+    by_sense = F.lit(1.0)
+    for code, rate in sense_rates.items():
+        by_sense = F.when(F.col("sense") == code, float(rate)).otherwise(by_sense)
+    p = F.when(F.col("d") > farthest, 0.0).otherwise(F.col(value)) * by_length * by_sense
+    return cells.withColumn("intensity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))

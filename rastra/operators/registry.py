@@ -219,3 +219,29 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     text = F.concat(F.lit("keys differ: "), F.col("_less"), F.lit(" are only in the first table, "), F.col("_more"), F.lit(" only in the second"))
     checked = odd.select(F.when((F.col("_more") > 0) | (F.col("_less") > 0), F.raise_error(text).cast("int")).otherwise(0).alias("_odd"))
     return a.join(F.broadcast(checked)).where("_odd = 0").drop("_odd")  # one row
+
+
+def four_legs(audited: DataFrame, sizes: DataFrame, candidate: DataFrame, cells_of_grid: int, rho: float = 0.5, overlap_limit: float = 0.7, jaccard_limit: float = 0.5, dense_from: float = 0.5) -> DataFrame:
+    """leg, peers, flags, worst (overlap), passed: one audit read in four ways. literal: overlap or rho over its limit; representation:
+    the same among layers that cover no more than a share of the grid; scale_free: reverse overlap, Jaccard or rho, which do not rise
+    with a peer's size; support_matched: any of them, among peers of a third to three times the candidate's size. A leg without
+    peers passes with a null worst.
+
+    audited: layer, overlap, reverse_overlap, jaccard, rho (null: no correlation, never a flag); sizes: layer, n."""
+    mine = candidate.agg(F.count("*").alias("_mine"))
+    rows = audited.join(sizes.select("layer", "n"), "layer").join(F.broadcast(mine))  # one row
+    corr = F.coalesce(F.col("rho"), F.lit(0.0)) > rho
+    far, back, shared = F.col("overlap") > overlap_limit, F.col("reverse_overlap") > overlap_limit, F.col("jaccard") > jaccard_limit
+    some, all_ = F.col("n") <= dense_from * cells_of_grid, F.lit(True)
+    matched = (F.col("n") * 3 >= F.col("_mine")) & (F.col("n") <= 3 * F.col("_mine"))
+    legs = [("literal", all_, corr | far), ("representation", some, corr | far), ("scale_free", all_, back | shared | corr), ("support_matched", matched, far | back | shared | corr)]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("leg"), peer.alias("peer"), (peer & flag).alias("flag")) for n, peer, flag in legs])).alias("l")
+    out = rows.select("overlap", each).groupBy("l.leg").agg(F.count_if("l.peer").alias("peers"), F.count_if("l.flag").alias("flags"), F.max(F.when(F.col("l.peer"), F.col("overlap"))).alias("worst"))
+    return out.withColumn("passed", F.col("flags") == 0)
+
+
+def size_bands(audited: DataFrame, sizes: DataFrame, edges: list[int]) -> DataFrame:
+    """low, high, peers, worst_overlap, worst_jaccard of the layers by size, right-open; bands without a layer are left out."""
+    band = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("low"), F.lit(b).cast("long").alias("high")) for a, b in zip(edges, edges[1:])])).alias("b")
+    rows = audited.join(sizes.select("layer", "n"), "layer").select("n", "overlap", "jaccard", band).where("n >= b.low and n < b.high")
+    return rows.groupBy("b.low", "b.high").agg(F.count("*").alias("peers"), F.max("overlap").alias("worst_overlap"), F.max("jaccard").alias("worst_jaccard"))

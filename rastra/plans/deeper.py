@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rastra.grid import EVENT_GRID, LAYER_GRID, event_cells, event_roles, layer_cells, table
+from rastra.grid import EVENT_GRID, LAYER_GRID, cells_in, event_cells, event_roles, layer_cells, table
 from rastra.operators import allocate, components, crossfit, features, fields, fits, frames, metric, nearest, portfolio, registry, stats, stencil, tensor
 from rastra.plans.more import _AVG, _NEAR, _PAIRS, ORACLE_SQL, QUERIES, _near, query
 from rastra.plans.queries import _EVENTS, _GEOMETRY, _LABELS, _LAYERS, _mirror, label8, r4, r6
@@ -230,7 +230,8 @@ def edge_features(spark, sf_dir):
     return fields.edge_features(prediction, base, _scalar(spark, sf_dir), EVENT_GRID).select("row", "col", *[r4(c).alias(c) for c in fields.EDGE])
 
 
-_MIX = f"""cd AS (SELECT r, c, (least(2, floor(v * 3)) + 1)::INTEGER AS code FROM ev JOIN truth USING (r, c) WHERE layer = 'purchase'),
+_CODES = "cd AS (SELECT r, c, (least(2, floor(v * 3)) + 1)::INTEGER AS code FROM ev JOIN truth USING (r, c) WHERE layer = 'purchase')"
+_MIX = f"""{_CODES},
 sn AS (SELECT r, c, (code > 1)::INTEGER::DOUBLE AS a, (code = 1)::INTEGER::DOUBLE AS b FROM cd), {_flat("sn", 15.0, ["a", "b"], "sd", False)},
 mx AS (SELECT r, c, greatest(0, least(1, CASE WHEN (a + b) ** 2 > 1e-12 THEN 4 * a * b / (a + b) ** 2 ELSE 0 END
   * least(1, (a + b) / greatest((SELECT quantile_cont(a + b, 0.9) FROM sd WHERE a + b > 1e-7), 1e-7)))) AS mix FROM sd WHERE (SELECT max(a) > 0 AND max(b) > 0 FROM sn))"""
@@ -608,3 +609,63 @@ def shells(spark, sf_dir):
     d = nearest.distance_transform(truth, EVENT_GRID).select("row", "col", F.sqrt(F.col("d2").cast("double")).alias("d"))
     out = portfolio.shells(chain, chain.groupBy("step").agg(F.sum("value").alias("credit")), d)
     return out.select("step", "n", F.round("credit", 5).alias("credit"), r6("mean_credit").alias("mean_credit"), r6("d_median").alias("d_median"))
+
+
+# --- audits and covariates ---
+
+_LEGS = f"""{_LAYERS}, cs AS (SELECT count(*) AS n FROM cand), sz AS (SELECT layer, count(*) AS n FROM reg GROUP BY layer), fo AS (SELECT layer, count(*) AS h FROM hit GROUP BY layer),
+bk AS (SELECT layer, count(*) FILTER (EXISTS (SELECT 1 FROM cand WHERE (cand.r - reg.r) ** 2 + (cand.c - reg.c) ** 2 <= 9)) / count(*) AS b FROM reg GROUP BY layer),
+sh AS (SELECT layer, count(*) AS s FROM reg JOIN cand USING (r, c) GROUP BY layer),
+au AS (SELECT layer, sz.n, coalesce(h, 0) / cs.n AS f, b, coalesce(s, 0) / (sz.n + cs.n - coalesce(s, 0)) AS j, (51200.0 * coalesce(s, 0) - cs.n * sz.n) / (sqrt(cs.n * (51200.0 - cs.n)) * sqrt(sz.n * (51200.0 - sz.n))) AS rho, cs.n AS mine
+  FROM sz JOIN bk USING (layer) LEFT JOIN fo USING (layer) LEFT JOIN sh USING (layer), cs)"""
+
+
+def _audited(spark, sf_dir):
+    cells = layer_cells(spark, sf_dir).where("value >= 1.0").select("layer", "row", "col")
+    candidate, layers = cells.where("layer = 0").select("row", "col"), cells.where("layer <> 0")
+    audited = registry.audit(candidate, layers).join(registry.tied_spearman(candidate, layers, LAYER_GRID.height * LAYER_GRID.width), "layer")
+    return audited, layers.groupBy("layer").agg(F.count("*").alias("n")), candidate
+
+
+@query("four_legs", f"""WITH {_LEGS}, l AS (
+  SELECT 'literal' AS leg, f, true AS peer, rho > 0.5 OR f > 0.1 AS flag FROM au UNION ALL SELECT 'representation', f, n <= 512, rho > 0.5 OR f > 0.1 FROM au
+  UNION ALL SELECT 'scale_free', f, true, b > 0.1 OR j > 0.05 OR rho > 0.5 FROM au UNION ALL SELECT 'support_matched', f, n * 3 >= mine AND n <= 3 * mine, f > 0.1 OR b > 0.1 OR j > 0.05 OR rho > 0.5 FROM au)
+SELECT leg, count(*) FILTER (peer) AS peers, count(*) FILTER (peer AND flag) AS flags, round(max(f) FILTER (peer), 6) AS worst, count(*) FILTER (peer AND flag) = 0 AS passed FROM l GROUP BY leg""")
+def four_legs(spark, sf_dir):
+    out = registry.four_legs(*_audited(spark, sf_dir), LAYER_GRID.height * LAYER_GRID.width, overlap_limit=0.1, jaccard_limit=0.05, dense_from=0.01)
+    return out.select("leg", "peers", "flags", r6("worst").alias("worst"), "passed")
+
+
+@query("size_bands", f"""WITH {_LEGS}, e AS (SELECT unnest([0, 50, 200, 800, 100000])::BIGINT AS low, unnest([50, 200, 800, 100000, 10000000])::BIGINT AS high)
+SELECT low, high, count(*) AS peers, round(max(f), 6) AS worst_overlap, round(max(j), 6) AS worst_jaccard FROM e JOIN au ON n >= low AND n < high GROUP BY low, high""")
+def size_bands(spark, sf_dir):
+    audited, sizes, _ = _audited(spark, sf_dir)
+    out = registry.size_bands(audited, sizes, [0, 50, 200, 800, 100_000, 10_000_000])
+    return out.select("low", "high", "peers", r6("worst_overlap").alias("worst_overlap"), r6("worst_jaccard").alias("worst_jaccard"))
+
+
+#: Covariates of _GEOMETRY's chain, the second component and the host's code; the class rates of the intensity are fixed here.
+_COVARIATES = f"""{_GEOMETRY}, {_CODES}, {_FRAME("pred")},
+cv AS (SELECT ft.r, ft.c, d, log_len, cos2, sin2, ft.coherence, side, code AS sense, sqrt(two.d2) AS d_second FROM ft JOIN fr2 USING (r, c) JOIN nr USING (r, c) JOIN cd ON cd.r = nt[1] AND cd.c = nt[2])"""
+
+
+def _covariates(spark, sf_dir):
+    truth, prediction = event_roles(spark, sf_dir)
+    every = cells_in(EVENT_GRID, spark)
+    return features.catalogue_covariates(prediction, truth, _coded(spark, sf_dir), every, EVENT_GRID)
+
+
+@query("catalogue_covariates", f"""WITH RECURSIVE {_COVARIATES} SELECT r AS "row", c AS col, round(d, 4) AS d, round(log_len, 4) AS log_len, round(cos2, 4) + 0.0 AS strike_cos2, round(sin2, 4) + 0.0 AS strike_sin2, round(coherence, 4) AS coherence, side::DOUBLE AS side, sense, round(d_second, 4) AS d_second FROM cv""")
+def catalogue_covariates(spark, sf_dir):
+    twice = F.radians(2 * F.col("strike_deg"))
+    out = _covariates(spark, sf_dir).withColumns({"strike_cos2": F.cos(twice), "strike_sin2": F.sin(twice)})
+    return out.select("row", "col", *[r4(c).alias(c) for c in ("d", "log_len", "strike_cos2", "strike_sin2", "coherence")], "side", "sense", r4("d_second").alias("d_second"))
+
+
+@query("analytic_intensity", f"""WITH RECURSIVE {_COVARIATES}, i AS (SELECT r, c, CASE WHEN d > 30 THEN 0 ELSE 0.6 / (1 + d) END * CASE WHEN log_len < 0.7 THEN 0.5 WHEN log_len < 1.4 THEN 0.5 + 0.5 * (log_len - 0.7) / 0.7 WHEN log_len < 3 THEN 1 + 7 * (log_len - 1.4) / 1.6 ELSE 8 END
+  * CASE sense WHEN 1 THEN 0.8 WHEN 2 THEN 1.5 ELSE 1 END AS p FROM cv)
+SELECT r AS "row", c AS col, round(greatest(0, least(1, p)), 6) AS intensity FROM i""")
+def analytic_intensity(spark, sf_dir):
+    cells = _covariates(spark, sf_dir).withColumn("rate", 0.6 / (1 + F.col("d")))
+    out = features.analytic_intensity(cells, "rate", [0.5, 1.0, 9.0], [0.7, 1.4, 3.0], {1: 0.8, 2: 1.5}, 30.0)
+    return out.select("row", "col", r6("intensity").alias("intensity"))
