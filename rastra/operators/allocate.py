@@ -248,6 +248,7 @@ def spaced(cells: DataFrame, gap: float) -> DataFrame:
     return chosen
 
 
-def candidates(cells: DataFrame, floor: float, cap: int, value: str = "credit") -> DataFrame:
-    """The cells of at least `floor`, the cap best of them: the budget of a pass."""
-    return top_cells(cells.where(F.col(value) >= floor), cap, value)
+def candidates(cells: DataFrame, floor: float, cap: int | None = None, value: str = "credit") -> DataFrame:
+    """The cells of at least `floor`: all of them, or the cap best, where a pass has a budget."""
+    open_ = cells.where(F.col(value) >= floor)
+    return open_ if cap is None else top_cells(open_, cap, value)

@@ -416,10 +416,11 @@ def hide_and_recover(spark, sf_dir):
 
 
 @query("candidates", f"""WITH {_EVENTS}, k AS (SELECT (r + dr)::INTEGER AS r, (c + dc)::INTEGER AS c, sum(v * (1 - sqrt(dr * dr + dc * dc) / 3.0)) AS k FROM click, range(-3, 4) x(dr), range(-3, 4) y(dc) WHERE dr * dr + dc * dc < 9 AND r + dr BETWEEN 0 AND 719 AND c + dc BETWEEN 0 AND 255 GROUP BY ALL)
-SELECT r AS "row", c AS col, round(k, 6) AS credit FROM (SELECT r, c, round(k, 9) AS k FROM k) WHERE k >= 0.5 ORDER BY k DESC, r, c LIMIT 10""")
+SELECT r AS "row", c AS col, round(k, 6) AS credit FROM (SELECT r, c, round(k, 9) AS k FROM k) WHERE k >= 0.5""")
 def candidates(spark, sf_dir):
     credit = stencil.kernel_sum(event_cells(spark, sf_dir).where("layer = 'click'"), EVENT_GRID).select("row", "col", F.round("value", 9).alias("credit"))
-    return allocate.candidates(credit, 0.5, 10).select("row", "col", r6("credit").alias("credit"))
+    millionths = F.round(F.col("credit") * 1e6)  # of nine decimals rounded before, so ties are common: cut as SQL cuts them
+    return allocate.candidates(credit, 0.5).select("row", "col", (millionths / 1e6).alias("credit"))
 
 
 @query("laplacian", f"""WITH {_DENSE} SELECT r AS "row", c AS col, round(coalesce(lag(v) OVER a, v) + coalesce(lead(v) OVER a, v) + coalesce(lag(v) OVER b, v) + coalesce(lead(v) OVER b, v) - 4 * v, 4) + 0.0 AS laplacian, round(sqrt(gr * gr + gc * gc), 5) AS slope
