@@ -131,13 +131,15 @@ def surrogate_terms(dots: DataFrame, probability: DataFrame, n_truth: float, rad
 
 
 def thinned_scores(truth: DataFrame, prediction: DataFrame, scales: list[float], seed: int = 1) -> DataFrame:
-    """scale, n_dots, dti: the index of Bernoulli subsamples of the prediction, nested by one hash of the cell."""
+    """scale, n_dots, dti: the index of Bernoulli subsamples of the prediction, nested by one hash of the cell. Dots of value 0 are
+    counted too; null and NaN values are none."""
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", "row", "col", F.lit(seed))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    t, p = credits(truth, prediction)
     steps = truth.sparkSession.createDataFrame([(s,) for s in scales], "scale double")  # as many rows as scales
-    kept = prediction.where("value > 0 and not isnan(value)").withColumn("_u", draw).join(F.broadcast(steps), F.col("_u") < F.col("scale"))
-    fp = kept.join(p.select("row", "col", "q"), ["row", "col"]).groupBy("scale").agg(F.count("*").alias("n_dots"), F.sum(F.col("value") * (1 - F.col("q"))).alias("fp"))
+    kept = prediction.where("value is not null and not isnan(value)").withColumn("_u", draw).join(F.broadcast(steps), F.col("_u") < F.col("scale"))
     near = spread(truth.select("row", "col"), kernel_offsets()).join(kept.select("row", "col", "value", "scale"), ["row", "col"])
+    q = near.groupBy("row", "col").agg(F.max("k").alias("q"))
+    missed = F.col("value") * (1 - F.coalesce("q", F.lit(0.0)))
+    fp = kept.join(q, ["row", "col"], "left").groupBy("scale").agg(F.count("*").alias("n_dots"), F.sum(missed).alias("fp"))
     tp = near.groupBy("scale", "src_row", "src_col").agg(F.max(F.col("value") * F.col("k")).alias("c")).groupBy("scale").agg(F.sum("c").alias("tp"))
-    out = steps.join(fp, "scale", "left").join(tp, "scale", "left").fillna(0, ["n_dots", "fp", "tp"]).join(F.broadcast(t.agg(F.count("*").alias("n"))))
+    out = steps.join(fp, "scale", "left").join(tp, "scale", "left").fillna(0, ["n_dots", "fp", "tp"]).join(F.broadcast(truth.agg(F.count("*").alias("n"))))
     return out.select("scale", "n_dots", dti(F.col("tp"), F.col("fp"), F.col("n") - F.col("tp")).alias("dti"))
