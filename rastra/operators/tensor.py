@@ -104,7 +104,7 @@ def strikes(mask: DataFrame, grid: GridSpec, sigmas: list[float]) -> DataFrame:
     """row, col, then strike_0, coherence_0, ... for each sigma, of every mask cell: the structure tensor of the smoothed mask, smoothed
     by sigma, mirrored at the grid's edges.
 
-    Differences below 1e-12 count as none, so that rounding gives no direction."""
+    Differences below 1e-12 count as none, so that rounding gives no direction: a cell without one (of coherence 0) has strike 0."""
     first, reach = gaussian_weights(1.0), max(len(gaussian_weights(s)) // 2 for s in sigmas)
 
     def run(w: Window) -> pd.DataFrame:
@@ -114,7 +114,7 @@ def strikes(mask: DataFrame, grid: GridSpec, sigmas: list[float]) -> DataFrame:
         out = {}
         for i, sigma in enumerate(sigmas):
             rr, cc, rc = (smoothed(a, gaussian_weights(sigma), True) for a in (y * y, x * x, y * x))
-            diff, cross = np.round(cc - rr, 12), np.round(2 * rc, 12)
+            diff, cross = np.round(cc - rr, 12) + 0.0, np.round(2 * rc, 12) + 0.0  # -0.0 would turn the axis
             across = 0.5 * np.arctan2(cross, diff) + np.pi / 2
             out[f"strike_{i}"] = np.degrees(np.arctan2(np.round(np.cos(across), 12), -np.sin(across))) % 180.0
             out[f"coherence_{i}"] = np.sqrt(diff * diff + cross * cross) / np.maximum(rr + cc, 1e-12)
