@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastra.grid import GridSpec
-from rastra.operators.components import extents
+from rastra.operators.components import axis_angle
 
 #: Slip-sense codes.
 SENSE_CODES = {"N": 1, "RL": 2, "LL": 3}
@@ -42,9 +42,13 @@ def sense_raster(traces: DataFrame, grid: GridSpec, codes: dict[str, int] = SENS
 def record_segments(traces: DataFrame, grid: GridSpec, known: list[str], scale: float = 100.0) -> DataFrame:
     """record_id, n_fragments, size, length, span, strike_deg, sense. size, span and strike (array frame) are of all pixels of
     the record's lines, length sums the lines' own lengths over scale, and sense is the commonest one (a missing sense is the
-    class unk; ties: first seen), unk if it is none of known."""
-    pixels = pixelise(traces, grid).select("record_id", "row", "col")
-    shape = extents(pixels, "record_id").select("record_id", "size", "span", "strike_deg")
+    class unk; ties: first seen), unk if it is none of known.
+
+    Pixels are made twice and summed as they are made, once for the axis and once along it: only lines are joined and sorted."""
+    axis = pixelise(traces, grid).groupBy("record_id").agg(F.count("*").alias("size"), F.avg("row").alias("cy"), F.avg("col").alias("cx"), axis_angle().alias("_a"))
+    along = (F.col("row") - F.col("cy")) * F.cos("_a") + (F.col("col") - F.col("cx")) * F.sin("_a")
+    ends = pixelise(traces.join(axis, "record_id"), grid).groupBy("record_id").agg(*[F.first(c).alias(c) for c in ("size", "_a")], (F.max(along) - F.min(along)).alias("span"))
+    shape = ends.select("record_id", "size", "span", F.pmod(F.degrees("_a"), F.lit(180.0)).alias("strike_deg"))
     lines = traces.groupBy("record_id").agg(F.count("*").alias("n_fragments"), (F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))) / scale).alias("length"))
     named = traces.select("record_id", "row_no", F.coalesce("sense", F.lit("unk")).alias("sense"))
     counts = named.groupBy("record_id", "sense").agg(F.count("*").alias("_c"), F.min("row_no").alias("_f"))
