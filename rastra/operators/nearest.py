@@ -48,11 +48,15 @@ def distance_transform(mask: DataFrame, grid: GridSpec) -> DataFrame:
 def nearest_within(cells: DataFrame, mask: DataFrame, radius: float) -> DataFrame:
     """cells with d2, near_row, near_col of the nearest mask cell within a closed radius; cells without one are left out.
 
-    A hash join through the disk's offsets: no grid is made, so it suits small radii on sparse layers of any extent.
+    A hash join through the disk's offsets: no grid is made, so it suits small radii on sparse layers of any extent. The order of
+    distance, row and column is one of the offsets, so the least place in it is a number that hashing sums up; no pair is sorted.
     """
-    reach = spread(mask.select("row", "col"), disk_offsets(radius)).withColumn("d2", (F.col("row") - F.col("src_row")) ** 2 + (F.col("col") - F.col("src_col")) ** 2)
-    best = reach.groupBy("row", "col").agg(F.min(F.struct(F.col("d2").cast("long").alias("d2"), F.col("src_row").alias("near_row"), F.col("src_col").alias("near_col"))).alias("m"))
-    return cells.join(best, ["row", "col"]).select(*cells.columns, "m.d2", "m.near_row", "m.near_col")
+    offsets = sorted(disk_offsets(radius), key=lambda o: (o[0] ** 2 + o[1] ** 2, -o[0], -o[1]))
+    reach = spread(mask.select("row", "col"), [(*o, i) for i, o in enumerate(offsets)])
+    best = reach.groupBy("row", "col").agg(F.min("k").alias("_k"))
+    dr, dc = (F.get(F.array(*[F.lit(o[i]) for o in offsets]), F.col("_k")) for i in (0, 1))
+    near = [(dr * dr + dc * dc).cast("long").alias("d2"), (F.col("row") - dr).alias("near_row"), (F.col("col") - dc).alias("near_col")]
+    return cells.join(best, ["row", "col"]).select(*cells.columns, *near)
 
 
 def two_nearest_components(cells: DataFrame, labelled: DataFrame, radius: float) -> DataFrame:
